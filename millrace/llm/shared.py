@@ -54,3 +54,30 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """UTF-8 of each text; null counts as empty."""
     return [x or b"" for x in batch.column(column).cast(pa.large_binary()).to_pylist()]
+
+
+def store(uri: str):
+    """(file system, path) of a folder in the shared folder: any store that pyarrow reaches (file, hdfs, s3, gs)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+class SharedFile:
+    """A file that appears under its name only when it is complete, so a retried or doubled task leaves one whole file."""
+
+    def __init__(self, folder: str, name: str):
+        self.fs, root = store(folder)
+        self.fs.create_dir(root, recursive=True)
+        self.path, self.part = f"{root}/{name}", f"{root}/.{name}.{uuid.uuid4().hex}"
+        self.out, self.size = self.fs.open_output_stream(self.part), 0
+
+    def write(self, data: bytes) -> int:
+        """Appends; says where the data begin."""
+        self.out.write(data)
+        self.size += len(data)
+        return self.size - len(data)
+
+    def close(self) -> None:
+        self.out.close()
+        self.fs.move(self.part, self.path)
