@@ -113,11 +113,12 @@ def start(seed: int = 3) -> Model:
     return Model(draw(n, HIDDEN) * 4, np.zeros(HIDDEN, np.float32), draw(HIDDEN, GATE), draw(HIDDEN, GATE), draw(GATE), draw(HIDDEN), np.zeros(1, np.float32))
 
 
-def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, epochs: int = 12, batch: int = 200, rate: float = 3e-3, decay: float = 1e-4, seed: int = 4) -> Model:
-    """Adam over mini-batches of documents, the rate falling to a tenth."""
+def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 200, rate: float = 3e-3, decay: float = 1e-4, seed: int = 4) -> Model:
+    """Adam over about `steps` mini-batches of documents, the rate falling to a tenth."""
     model, rng, step = start(), np.random.default_rng(seed), 0
     last = np.append(first[1:], len(x))
     m, v = [np.zeros_like(p) for p in model.parts()], [np.zeros_like(p) for p in model.parts()]
+    epochs = max(1, round(steps / -(-len(y) // batch)))
     for epoch in range(epochs):
         order = rng.permutation(len(y))
         for at in range(0, len(y), batch):
