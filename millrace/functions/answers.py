@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: The marker shapes, section titles and limits that answers keep to.
 FENCE = r"(?s)```.*?```"
@@ -24,7 +23,7 @@ def parse_citations(answer: Column, evidence: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(numbers, lambda n: F.try_to_number(F.left(n, F.lit(9)), F.lit("999999999")).cast("int")), lambda n: (n >= 1) & (n <= evidence)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def render_markers(answers: pd.Series, links: pd.Series) -> pd.Series:
     """Markers in prose as [n](url), or [n] where the map of links has none; lists space-joined; fences untouched."""
     import re

@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..functions import paths as P
 from ..functions import text as T
@@ -44,7 +45,7 @@ def _compiled(rules: str) -> list:
     return [(n, re.compile(p, re.S)) for n, p in filter(None, map(_pattern, rules.split("\n")))]
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def gitignored(paths: pd.Series, levels: pd.Series) -> pd.Series:
     """Whether any ignore file on the way ignores the path. levels: array of struct(dir, rules); a deeper file can't take back what one above ignores."""
 
@@ -66,7 +67,7 @@ def gitignored(paths: pd.Series, levels: pd.Series) -> pd.Series:
     return pd.Series([one(p, f) for p, f in zip(paths, levels, strict=True)], dtype=object)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def binary_file(contents: pd.Series) -> pd.Series:
     """A NUL byte, broken UTF-8, or more than a tenth of control bytes in the first 512; texts in UTF-16 with a byte-order mark aren't."""
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,39 +127,44 @@ def trigrams(text: Column) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))))
 
 
-def word_similarity(probe: list[str], text: list[str]) -> float:
-    """Best share of the probe's trigrams in a run of the text's: common / (probe + run - common), over runs that begin and end on one of the probe's."""
+def word_similarity(probe: list[str], text: list[str], least: float = WORD_SIMILARITY) -> float:
+    """Best share of the probe's trigrams in a run of the text's: common / (probe + run - common), over runs that begin and end on one of the probe's. Exact from `least` on: longer runs can't reach it."""
     wanted, best = set(probe), 0.0
     at = [i for i, t in enumerate(text) if t in wanted]
-    longest = int(len(wanted) / 0.3) + 1
+    longest = len(wanted) / least
     for n, i in enumerate(at):
         seen: set[str] = set()
-        common: set[str] = set()
-        last = i
+        common, last = 0, i
         for j in at[n:]:
-            if len(seen) > longest * 2:
-                break
+            common += text[j] not in seen
             seen.update(text[last : j + 1])
-            common.add(text[j])
+            if len(seen) > longest:
+                break
             last = j
-            best = max(best, len(common) / (len(wanted) + len(seen) - len(common)))
+            best = max(best, common / (len(wanted) + len(seen) - common))
     return best
 
 
-@F.pandas_udf("double")
-def _similarity(probes: pd.Series, texts: pd.Series) -> pd.Series:
-    return pd.Series([word_similarity(list(p), list(t)) for p, t in zip(probes, texts, strict=True)], dtype="float64")
-
-
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = FUZZY_K, least: float = WORD_SIMILARITY) -> DataFrame:
     """query_id, chunk_id, score, rank for queries that name identifiers. A chunk below ceil(least * trigrams) shared trigrams can't reach the score, so an equi-join on trigrams finds all candidates."""
     asked = queries.select("query_id", "project_id", trigrams(F.array_join(T.identifier_tokens(F.col("text")), " ")).alias("probe")).withColumn("probe", F.array_distinct("probe")).filter(F.size("probe") > 0)
     grams = asked.select("query_id", "project_id", F.size("probe").alias("n"), F.explode("probe").alias("gram"))
-    # Only trigrams that some query asks for leave the chunks' side of the join.
-    held = chunks.select("project_id", "chunk_id", F.explode(F.array_distinct(trigrams(F.col("search_text")))).alias("gram"))
+    # Each distinct word of the corpus is cut once; only its trigrams that some query asks for meet the chunks that hold it.
+    words = chunks.select("project_id", "chunk_id", F.explode(F.array_distinct(T.lexemes(F.col("search_text")))).alias("lexeme"))
+    cut = words.select("lexeme").distinct().select("lexeme", F.explode(F.array_distinct(trigrams(F.col("lexeme")))).alias("gram"))
+    useful = cut.join(grams.select("gram").distinct(), "gram").groupBy("lexeme").agg(F.collect_set("gram").alias("grams"))
+    held = words.join(useful, "lexeme").select("project_id", "chunk_id", F.explode("grams").alias("gram")).distinct()
     near = held.join(grams, ["project_id", "gram"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).filter(F.col("m") >= F.ceil(least * F.col("n")))
     pairs = near.select("query_id", "chunk_id").join(asked.select("query_id", "probe"), "query_id").join(chunks.select("chunk_id", "search_text"), "chunk_id")
-    scored = pairs.select("query_id", "chunk_id", F.round(_similarity("probe", trigrams(F.col("search_text"))), 6).alias("score")).filter(F.col("score") >= least)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = [word_similarity(p, t, least) for p, t in zip(batch.column("probe").to_pylist(), batch.column("grams").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("chunk_id"), pa.array(score, pa.float64())], ["query_id", "chunk_id", "score"])
+
+    rows = pairs.select("query_id", "chunk_id", "probe", trigrams(F.col("search_text")).alias("grams"))
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id"))
+    scored = rows.mapInArrow(run, f"{kinds}, score double").withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
     return top_k(scored, k)
 
 

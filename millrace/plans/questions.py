@@ -72,9 +72,17 @@ def ann_search(spark, sf_dir):
 @query()
 def trigram_search(spark, sf_dir):
     """Questions that name an identifier with a letter missing; chunks that hold it."""
-    chunks = _identified(spark, sf_dir)
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("project_id"), F.format_string("where is validateUsr%d called", "item_id").alias("text"))
-    return R.trigram_search(chunks, asked)
+    from ..functions.text import search_text
+
+    def name(n):
+        return F.translate(F.substring(F.md5(n.cast("string")), 1, 10), "0123456789", "ghijklmnop")
+
+    chunks = whole_chunks(spark, sf_dir, "all")
+    content = F.concat("content", F.lit(" find"), F.initcap(name(F.regexp_extract("path", r"(\d+)\.txt", 1).cast("long") % 500)))
+    chunks = chunks.withColumn("content", content).withColumn("search_text", search_text(F.col("content")))
+    asked = table(spark, sf_dir, "benchmark").withColumn("n", name(F.col("item_id")))
+    text = F.concat(F.lit("where is find"), F.initcap(F.concat(F.substring("n", 1, 5), F.substring("n", 7, 9))), F.lit(" called"))
+    return R.trigram_search(chunks, asked.select(F.col("item_id").alias("query_id"), F.lit("all").alias("project_id"), text.alias("text")))
 
 
 def _identified(spark, sf_dir):
