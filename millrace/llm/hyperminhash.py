@@ -59,7 +59,7 @@ def shingle_sets(texts: list[bytes], shingle: int) -> Iterator[np.ndarray]:
     split = [t.lower().split() for t in texts]
     ends = np.cumsum([len(w) for w in split], dtype=np.int64)
     coded = pa.array([w for own in split for w in own], pa.large_binary()).dictionary_encode()
-    word = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    word = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_numpy(zero_copy_only=False).tolist()), np.uint64, len(coded.dictionary))
     word = word[coded.indices.to_numpy()] if len(coded) else np.zeros(0, np.uint64)
     n = max(0, len(word) - shingle + 1)
     rolled = np.zeros(n, np.uint64)

@@ -44,7 +44,7 @@ class Block:
         self.starts = np.zeros(len(split) + 1, np.int64)
         np.cumsum([len(w) for w in split], out=self.starts[1:])
         coded = pa.array([w for own in split for w in own], pa.large_binary()).dictionary_encode()
-        self.ids, self.distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+        self.ids, self.distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
 
 
 def repeated_words(block: Block) -> list[int]:
