@@ -21,11 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunk_memo import ChunkMemo
-from .shared import slices, texts_of
+from .chunk_memo import ChunkMemo, forget_half
+from .shared import slices
 
-#: Distinct pieces remembered beside the chunks.
-PIECES = 200_000
+#: Distinct pieces remembered by a worker beside the chunks, at about 200 bytes each; past it, the older half is forgotten.
+PIECES = 2_000_000
 
 
 class RankQueue:
@@ -72,43 +72,70 @@ class BytePairs:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
-        self.longest = max(map(len, ranks))
+        # Of each token: its rank and where a queue has the rank's bits.
+        self.places = {t: (r, r >> 6, 1 << (r & 63), r >> 12, 1 << ((r >> 6) & 63), 1 << (r >> 12)) for t, r in ranks.items()}
         self.queue = RankQueue(max(ranks.values()))
         self.pieces: dict[str, bytes] = {}
         self.bytes_of = {b"%d" % rank: token for token, rank in ranks.items()}
-        self.memo = ChunkMemo(self._chunks, b" ")
+        self.memo = ChunkMemo(self._chunks, 1)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one match of the pattern."""
-        ranks, longest = self.ranks, self.longest
+        ranks = self.ranks
         if piece in ranks:
             return [ranks[piece]]
         n, queue = len(piece), self.queue
-        push, pop = queue.push, queue.pop
+        low, mid, top, buckets, place_of = queue.low, queue.mid, 0, queue.buckets, self.places.get
         after, before, rank_at = list(range(1, n + 2)), list(range(-1, n)), [-1] * (n + 1)
-        for i in range(n - 1):
-            rank = ranks.get(piece[i : i + 2], -1)
-            if rank >= 0:
-                rank_at[i] = rank
-                push(rank, i)
+        fresh = [(i, i + 2) for i in range(n - 1)]  # pairs whose ranks are to be queued: from, to
         while True:
-            rank, i = pop()
-            if rank < 0:
+            # What push() and pop() do, here without a call for each entry. An empty queue has no bits set.
+            for i, end in fresh:
+                place = place_of(piece[i:end])
+                if place is None:
+                    continue
+                rank, word, bit, upper, upper_bit, top_bit = place
+                rank_at[i] = rank
+                bucket = buckets.get(rank)
+                if bucket:
+                    heappush(bucket, i)
+                else:
+                    buckets[rank] = [i]
+                    low[word] |= bit
+                    mid[upper] |= upper_bit
+                    top |= top_bit
+            if not top:
                 break
+            a = (top & -top).bit_length() - 1
+            bits = mid[a]
+            b = (a << 6) + (bits & -bits).bit_length() - 1
+            bits = low[b]
+            rank = (b << 6) + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                low[b] = bits = bits & (bits - 1)
+                if not bits:
+                    mid[a] = bits = mid[a] & (mid[a] - 1)
+                    if not bits:
+                        top &= top - 1
             if rank_at[i] != rank:
+                fresh = ()
                 continue  # stale: the pair at i has changed since
             gone = after[i]
             end = after[gone]
             after[i] = end
             before[end] = i
-            rank_at[gone] = -1
-            for left, right in ((i, after[end] if end < n else 0), (before[i], end)):
-                if left < 0:
-                    continue
-                new = ranks.get(piece[left:right], -1) if 0 < right - left <= longest else -1
-                rank_at[left] = new
-                if new >= 0:
-                    push(new, left)
+            left = before[i]
+            rank_at[gone] = rank_at[i] = -1
+            if left < 0:
+                fresh = ((i, after[end]),) if end < n else ()
+            else:
+                rank_at[left] = -1
+                fresh = ((i, after[end]), (left, end)) if end < n else ((left, end),)
         ids, i = [], 0
         while i < n:
             ids.append(ranks[piece[i : after[i]]])
@@ -116,24 +143,25 @@ class BytePairs:
         return ids
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Decimal ids of each chunk, a space after each id."""
         pieces, out = self.pieces, []
         for chunk in chunks:
             ids = []
             for piece in self.split(chunk):
                 known = pieces.get(piece)
                 if known is None:
-                    known = b" ".join([b"%d" % x for x in self.merge(piece.encode())])
+                    known = b"".join([b"%d " % x for x in self.merge(piece.encode())])
                     if len(piece) <= 64:
                         if len(pieces) >= PIECES:
-                            pieces.clear()
+                            forget_half(pieces)
                         pieces[piece] = known
                 ids.append(known)
-            out.append(b" ".join(ids))
+            out.append(b"".join(ids))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         """Decimal ids of each text, joined by one space."""
-        return self.memo.encode(texts)
+        return [x[:-1] for x in self.memo.encode(texts)]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.split()))
@@ -153,7 +181,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
         pairs = byte_pairs(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = [list(map(int, x.split())) for x in pairs.encode([t.decode() for t in texts_of(part, "text")])]
+                ids = [list(map(int, x.split())) for x in pairs.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -186,7 +214,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         pairs = byte_pairs(ranks_path, pattern)
         for batch in batches:
             for part in slices(batch, "text"):
-                ids = pairs.encode([t.decode() for t in texts_of(part, "text")])
+                ids = pairs.encode(part.column("text"))
                 columns = [
                     part.column("id"),
                     pa.array([x.count(b" ") + 1 if x else 0 for x in ids], pa.int64()),

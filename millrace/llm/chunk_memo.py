@@ -8,36 +8,85 @@ chunk by chunk. A text with other white space beside a space is encoded as one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
-#: Chunks remembered by a worker, at about 200 bytes each; past it, only those of the current texts stay.
-REMEMBERED = 500_000
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks remembered by a worker, at about 200 bytes each; past it, the older half is forgotten.
+REMEMBERED = 1_000_000
 #: Longer chunks are encoded each time, so that memory stays bounded by the number of chunks.
 LONGEST = 64
+#: A letter and one of these at a chunk's end are always matches of their own, so the chunk is encoded as its two parts.
+TAILS = ",.;:!?"
+
+
+def forget_half(known: dict) -> None:
+    """Drops what was learned first."""
+    for key in list(islice(known, len(known) // 2)):
+        del known[key]
 
 
 class ChunkMemo:
-    """encode_chunks: chunks -> encoded bytes of each; glue joins the bytes of neighbouring chunks."""
+    """encode_chunks: chunks -> encoded bytes of each. The bytes of a text are those of its chunks, one after the other; width: size of their units."""
 
-    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], glue: bytes, remembered: int = REMEMBERED):
-        self.encode_chunks, self.glue, self.remembered = encode_chunks, glue, remembered
+    def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], width: int, remembered: int = REMEMBERED):
+        self.encode_chunks, self.width, self.remembered = encode_chunks, width, remembered
         self.known: dict[str, bytes] = {}
+        self.tails = dict(zip(TAILS, encode_chunks(list(TAILS)), strict=True))
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The encoded bytes of each text; null counts as empty."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "").cast(pa.large_string())
+        if not len(texts):
+            return []
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy() - cut.offsets[0].as_py()
+        coded = cut.flatten().dictionary_encode()
+        codes, chunks = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        # A text's first chunk has no space before it.
+        heads = [chunks[c] for c in codes[starts[:-1]].tolist()]
+        inner = np.ones(len(codes), bool)
+        inner[starts[:-1]] = False
+        found = list(map(self.known.get, chunks))
+        missing = [i for i, f in enumerate(found) if f is None]
+        if missing:
+            used = np.zeros(len(chunks), bool)
+            used[codes[inner]] = True
+            missing = [i for i, u in zip(missing, used[missing].tolist(), strict=True) if u]
+            self._learn([chunks[i] for i in missing])
+            for i in missing:
+                found[i] = self.known.get(chunks[i])
+        odd = np.zeros(len(chunks), bool)
+        odd[[i for i in missing if found[i] is None]] = True
+        whole = np.bitwise_or.reduceat(odd[codes] & inner, starts[:-1])
+        whole |= np.array([h[-1:].isspace() for h in heads], bool) & (np.diff(starts) > 1)
+        at = np.flatnonzero(whole).tolist()
+        for i, text in zip(at, texts.take(pa.array(at, pa.int64())).to_pylist(), strict=True):
+            heads[i] = text
+        first = iter(self.encode_chunks([h for h in heads if h]))
+        codes[starts[:-1]] = np.arange(len(heads)) + len(chunks)
+        return self._joined([f or b"" for f in found] + [next(first) if h else b"" for h in heads], codes, starts, whole, len(chunks))
+
+    def _joined(self, values: list[bytes], codes: np.ndarray, starts: np.ndarray, whole: np.ndarray, n: int) -> list[bytes]:
+        unit = np.dtype(f"u{self.width}")
+        size = np.array([len(v) for v in values], np.int64) // self.width
+        begin = np.cumsum(size) - size
+        length = size[codes]
+        length[np.repeat(whole, np.diff(starts)) & (codes < n)] = 0  # all of such a text is in its head
+        ends = np.cumsum(length)
+        pick = np.repeat(begin[codes] - (ends - length), length)
+        pick += np.arange(len(pick))
+        data, bounds = np.frombuffer(b"".join(values), unit)[pick].tobytes(), np.concatenate([[0], ends[starts[1:] - 1]]) * self.width
+        return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        heads = [c.pop(0) for c in cut]
-        wanted = set().union(*cut)
-        new = [p for p in wanted if p not in self.known and p and len(p) <= LONGEST and not p[0].isspace() and not p[-1].isspace()]
+    def _learn(self, missing: list[str]) -> None:
+        new = [c for c in missing if c and len(c) <= LONGEST and not c[0].isspace() and not c[-1].isspace()]
         if len(self.known) + len(new) > self.remembered:
-            self.known = {p: self.known[p] for p in wanted if p in self.known}
-        self.known.update(zip(new, self.encode_chunks([" " + p for p in new]), strict=True))
-        get, rests = self.known.__getitem__, []
-        for i, (text, parts) in enumerate(zip(texts, cut, strict=True)):
-            try:
-                if parts and heads[i] and heads[i][-1].isspace():
-                    raise KeyError
-                rests.append(self.glue.join(map(get, parts)))
-            except KeyError:  # encoded as one: all of it is the head
-                heads[i] = text
-                rests.append(b"")
-        starts = iter(self.encode_chunks([h for h in heads if h]))
-        return [self.glue.join([x for x in (next(starts) if h else b"", rest) if x]) for h, rest in zip(heads, rests, strict=True)]
+            forget_half(self.known)
+        tailed = [c for c in new if c[-1] in TAILS and c[-2:-1].isalpha()]
+        stems = {c[:-1] for c in tailed}.difference(self.known)
+        first = list(stems.union(new).difference(tailed))
+        self.known.update(zip(first, self.encode_chunks([" " + c for c in first]), strict=True))
+        self.known.update((c, self.known[c[:-1]] + self.tails[c[-1]]) for c in tailed)

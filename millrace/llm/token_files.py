@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_memo import ChunkMemo
-from .shared import SharedFile, shared_folder, slices, store, texts_of, written
+from .shared import SharedFile, shared_folder, slices, store, written
 
 DICTIONARY_ROWS, DICTIONARY_BYTES, SAMPLE_BYTES = 1_000, 64 << 10, 32 << 10
 #: A shard is closed after the document with which its frames reach this size.
 SHARD_BYTES = 64 << 20
 FORMAT = "millrace-tokens-1"
 INDEX = np.dtype([("id", "<i8"), ("null_id", "u1"), ("offset", "<u8"), ("length", "<u4"), ("tokens", "<u4")])
-#: Chunks to one call of the library, with a special token between them.
-_TOGETHER = 200
+#: Chunks that are encoded as one text.
+_TOGETHER = 500
 
 
 class LibraryTokenizer:
@@ -48,29 +48,33 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.library, self.width = Tokenizer.from_file(path), width
-        special = [(t.content, i) for i, t in self.library.get_added_tokens_decoder().items() if t.special]
-        self.between, self.between_id = special[0] if special else (None, None)
-        self.special = [t for t, _ in special]
-        self.memo = ChunkMemo(self._chunks, b"")
+        vocabulary = self.library.get_vocab()
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes_of[i] = len(token)  # the byte-level alphabet has a letter for each byte
+        self.memo = ChunkMemo(self._chunks, np.dtype(width).itemsize)
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        plain = [c for c in chunks if len(c) <= 200 and not any(s in c for s in self.special)] if self.between else []
-        out = dict.fromkeys(plain, b"")
-        plain = list(out)
-        groups = [plain[i : i + _TOGETHER] for i in range(0, len(plain), _TOGETHER)]
-        for own, encoding in zip(groups, self.library.encode_batch_fast([self.between.join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(encoding.ids, self.width)
-            ends = [*np.flatnonzero(ids == self.between_id).tolist(), len(ids)]
-            data, width, start = ids.tobytes(), ids.itemsize, 0
-            for chunk, end in zip(own, ends, strict=True):
-                out[chunk] = data[start * width : end * width]
-                start = end + 1
-        rest = [c for c in chunks if c not in out]
-        for chunk, encoding in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            out[chunk] = np.array(encoding.ids, self.width).tobytes()
-        return [out[c] for c in chunks]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each chunk. Many are encoded as one text, as they follow each other in texts; the bytes that ids stand for tell where each ends."""
+        out: list[bytes] = []
+        groups = [chunks[i : i + _TOGETHER] for i in range(0, len(chunks), _TOGETHER)]
+        joined = [g if all(c[0] == " " and len(c) > 1 for c in g) else None for g in groups]
+        encoded = iter(self.library.encode_batch_fast(["".join(g) for g in joined if g], add_special_tokens=False))
+        for own, together in zip(groups, joined, strict=True):
+            ids = np.array(next(encoded).ids, self.width) if together else np.zeros(0, self.width)
+            last = np.cumsum(self.bytes_of[ids])
+            ends = np.cumsum([len(c.encode()) for c in own])
+            cuts = np.searchsorted(last, ends) + 1
+            if together and len(last) == cuts[-1] and (last[cuts - 1] == ends).all():
+                data, width, start = ids.tobytes(), ids.itemsize, 0
+                for end in cuts.tolist():
+                    out.append(data[start * width : end * width])
+                    start = end
+            else:  # heads of texts, single tails, or a vocabulary that isn't byte-level
+                out += [np.array(e.ids, self.width).tobytes() for e in self.library.encode_batch_fast(own, add_special_tokens=False)]
+        return out
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         return self.memo.encode(texts)
 
 
@@ -91,7 +95,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: str, end_id: i
         end = np.array([end_id], width).tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
-                own = tokenizer(tokenizer_path, width).encode([t.decode() for t in texts_of(part, "text")])
+                own = tokenizer(tokenizer_path, width).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([(x + end)[:SAMPLE_BYTES] for x in own], pa.binary())], ["ids"])
 
     share = min(1.0, DICTIONARY_ROWS / max(1, docs.count()))
@@ -139,7 +143,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
 
         for batch in batches:
             for part in slices(batch, "text"):
-                encoded = tokenizer(tokenizer_path, width).encode([t.decode() for t in texts_of(part, "text")])
+                encoded = tokenizer(tokenizer_path, width).encode(part.column("text"))
                 for key, ids in zip(part.column("id").to_pylist(), encoded, strict=True):
                     data = data or SharedFile(folder, f"tokens-{partition:06d}-{number:04d}.bin")
                     whole = ids + end.tobytes()
