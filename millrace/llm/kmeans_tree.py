@@ -8,7 +8,8 @@ until the wanted share of those neighbours lies in visited leaves.
 
 Queries and rows meet by leaf. Leaves are cut into blocks of rows and blocks of queries, so a leaf of any size, and a
 vector of any number of copies, is dealt out over many tasks; each gives its queries' nearest, and the nearest of those
-remain.
+remain. A query's first leaves are looked at before the others: a later leaf gives only what is no farther than the k-th
+row found by then.
 
 Defined results: vectors that are null, all zero, of another length than most, or hold null or non-finite parts take no
 part, nor do rows without id. Distances are Euclidean, in double precision; ties go to the smaller id; repeated ids are
@@ -34,6 +35,8 @@ from .shared import written
 FIT_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 16_384, 8, 200, 1_024
 CALIBRATION_ROWS, RECALL = 200, 0.97
 BLOCK_ROWS, BLOCK_QUERIES = 2_048, 256
+#: Leaves that a query visits first; what it finds there bounds what later leaves give.
+FIRST_LEAVES = 2
 
 
 @dataclass
@@ -127,15 +130,19 @@ def _finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
-def nearest_in(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query's row, rows of x, exact distances): its k nearest in x, by distance and id. A product finds who may be near; differences decide."""
+def nearest_in(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndarray, k: int, most: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(query's row, rows of x, exact distances): its k nearest in x, no farther than `most`, by distance and id. A product finds who may be near; differences decide."""
     rough = squared(q, x)
     for i in range(len(q)):
         row = np.where(x_ids == q_ids[i], np.inf, rough[i])
-        bound = np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1] if len(row) else 0
+        bound = 0 if not len(row) else np.partition(row, min(k, len(row)) - 1)[min(k, len(row)) - 1]
+        if most is not None:
+            bound = min(bound, most[i] ** 2)
         slack = 1e-9 * (1 + (q[i] * q[i]).sum() + (0 if np.isinf(bound) else bound))
         rows = np.flatnonzero((row <= bound + slack) & np.isfinite(row))
         exact = np.sqrt(((x[rows] - q[i]) ** 2).sum(1))
+        if most is not None:
+            rows, exact = rows[exact <= most[i]], exact[exact <= most[i]]
         order = np.lexsort((x_ids[rows], exact))[:k]
         yield i, rows[order], exact[order]
 
@@ -203,21 +210,30 @@ class TreeIndex:
                 found = [tree.value.visits(q, least, sizes, k + 1) for q in matrix(batch.column("v"))]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(found, pa.list_(pa.int32()))], ["id", "v", "leaves"])
 
-        walked = asked.mapInArrow(walk, "id long, v array<double>, leaves array<int>").select("id", "v", F.explode("leaves").alias("leaf"))
-        visiting = written(walked)
+        walked = asked.mapInArrow(walk, "id long, v array<double>, leaves array<int>")
+        visiting = written(walked.select("id", "v", F.posexplode("leaves").alias("turn", "leaf")))
+        first = written(self._top(self._meet(visiting.filter(F.col("turn") < FIRST_LEAVES).withColumn("most", F.lit(float("inf"))))))
+        bounds = first.groupBy(F.col("query_id").alias("of")).agg(F.when(F.count(F.lit(1)) >= k, F.max("score")).alias("most"))
+        later = visiting.filter(F.col("turn") >= FIRST_LEAVES).join(bounds, F.col("id") == F.col("of"), "left").withColumn("most", F.coalesce("most", F.lit(float("inf"))))
+        return self._top(first.drop("rank").unionByName(self._meet(written(later)))).select("query_id", "rank", self.id_col, "score")
+
+    def _top(self, found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy("score", self.id_col)
+        return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= self.k)
+
+    def _meet(self, visiting: DataFrame) -> DataFrame:
+        """query_id, id, score: of every visited leaf, the query's nearest in each block. visiting: id, v, leaf, most."""
+        k, name = self.k, self.id_col
         # One row per leaf: into how many blocks its rows and its queries are cut.
         cuts = visiting.groupBy("leaf").count().join(self.rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("rows")), "leaf")
         cuts = F.broadcast(written(cuts.select("leaf", F.ceil(F.col("rows") / BLOCK_ROWS).cast("int").alias("rbs"), F.ceil(F.col("count") / BLOCK_QUERIES).cast("int").alias("qbs"))))
-        left = self.rows.join(cuts, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), "rbs").cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"))
-        right = visiting.join(cuts, "leaf").select("id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)).alias("rb"), F.pmod(F.xxhash64("id"), "qbs").cast("int").alias("qb"))
+        left = self.rows.join(cuts, "leaf").select("id", "v", "leaf", F.pmod(F.xxhash64("id", "v"), "rbs").cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.col("qbs") - 1)).alias("qb"))
+        right = visiting.join(cuts, "leaf").select("id", "v", "most", "leaf", F.explode(F.sequence(F.lit(0), F.col("rbs") - 1)).alias("rb"), F.pmod(F.xxhash64("id"), "qbs").cast("int").alias("qb"))
 
-        def meet(rows: pa.Table, asked_: pa.Table) -> pa.Table:
-            ids, q_ids = rows.column("id").to_numpy(), asked_.column("id").to_numpy()
-            x, q = matrix(rows.column("v").combine_chunks()), matrix(asked_.column("v").combine_chunks())
-            found = list(nearest_in(q, q_ids, x, ids, k)) if len(ids) and len(q_ids) else []
-            return pa.table({"query_id": pa.array(np.repeat([q_ids[i] for i, _, _ in found], [len(d) for _, _, d in found]), pa.int64()), self_id: pa.array(np.concatenate([ids[r] for _, r, _ in found]) if found else [], pa.int64()), "score": pa.array(np.concatenate([d for _, _, d in found]) if found else [], pa.float64())})
+        def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+            ids, q_ids = rows.column("id").to_numpy(), asked.column("id").to_numpy()
+            found = list(nearest_in(matrix(asked.column("v").combine_chunks()), q_ids, matrix(rows.column("v").combine_chunks()), ids, k, asked.column("most").to_numpy())) if len(ids) and len(q_ids) else []
+            columns = [np.repeat([q_ids[i] for i, _, _ in found], [len(d) for _, _, d in found]), np.concatenate([ids[r] for _, r, _ in found] or [[]]), np.concatenate([d for _, _, d in found] or [[]])]
+            return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", name, "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-        self_id = self.id_col
-        met = left.groupBy("leaf", "rb", "qb").cogroup(right.groupBy("leaf", "rb", "qb")).applyInArrow(meet, out)
-        order = Window.partitionBy("query_id").orderBy("score", self.id_col)
-        return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", self.id_col, "score")
+        return left.groupBy("leaf", "rb", "qb").cogroup(right.groupBy("leaf", "rb", "qb")).applyInArrow(meet, f"query_id long, {name} long, score double")
