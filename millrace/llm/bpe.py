@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from .chunk_memo import ChunkMemo, forget_half
 from .shared import slices
 
-#: Distinct pieces remembered by a worker beside the chunks, at about 200 bytes each; past it, the older half is forgotten.
-PIECES = 2_000_000
+#: Pieces without a space before them, remembered by a worker beside the chunks, at about 150 bytes each; past it, the older half is forgotten.
+PIECES = 300_000
 
 
 class RankQueue:
@@ -77,6 +77,7 @@ class BytePairs:
         self.queue = RankQueue(max(ranks.values()))
         self.pieces: dict[str, bytes] = {}
         self.bytes_of = {b"%d" % rank: token for token, rank in ranks.items()}
+        self.memo: ChunkMemo | None = None
         self.memo = ChunkMemo(self._chunks, 1)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -144,14 +145,15 @@ class BytePairs:
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Decimal ids of each chunk, a space after each id."""
-        pieces, out = self.pieces, []
+        pieces, known_chunk, out = self.pieces, self.memo.get if self.memo else {}.get, []
         for chunk in chunks:
             ids = []
             for piece in self.split(chunk):
-                known = pieces.get(piece)
+                # A piece with a space before it is a chunk of its own elsewhere, and remembered as such.
+                known = known_chunk(piece[1:]) if piece[0] == " " else pieces.get(piece)
                 if known is None:
                     known = b"".join([b"%d " % x for x in self.merge(piece.encode())])
-                    if len(piece) <= 64:
+                    if piece[0] != " " and len(piece) <= 64:
                         if len(pieces) >= PIECES:
                             forget_half(pieces)
                         pieces[piece] = known
@@ -180,7 +182,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 ids = [list(map(int, x.split())) for x in pairs.encode(part.column("text"))]
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
@@ -213,7 +215,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs = byte_pairs(ranks_path, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 ids = pairs.encode(part.column("text"))
                 columns = [
                     part.column("id"),

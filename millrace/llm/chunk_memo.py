@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks remembered by a worker, at about 200 bytes each; past it, the older half is forgotten.
-REMEMBERED = 1_000_000
+#: Chunks remembered by a worker for good, at about 150 bytes each: the first ones, hence the frequent ones. A third as many later ones are remembered for a while.
+REMEMBERED = 600_000
 #: Longer chunks are encoded each time, so that memory stays bounded by the number of chunks.
 LONGEST = 64
-#: A letter and one of these at a chunk's end are always matches of their own, so the chunk is encoded as its two parts.
+#: A letter and one of these at a chunk's end are always matches of their own, so the chunk is put together from its two parts.
 TAILS = ",.;:!?"
 
 
@@ -34,6 +34,7 @@ class ChunkMemo:
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], width: int, remembered: int = REMEMBERED):
         self.encode_chunks, self.width, self.remembered = encode_chunks, width, remembered
         self.known: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
         self.tails = dict(zip(TAILS, encode_chunks(list(TAILS)), strict=True))
 
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
@@ -55,9 +56,11 @@ class ChunkMemo:
             used = np.zeros(len(chunks), bool)
             used[codes[inner]] = True
             missing = [i for i, u in zip(missing, used[missing].tolist(), strict=True) if u]
-            self._learn([chunks[i] for i in missing])
-            for i in missing:
-                found[i] = self.known.get(chunks[i])
+            stems = [c[:-1] if c[-1:] in self.tails and c[-2:-1].isalpha() else c for c in map(chunks.__getitem__, missing)]
+            self._learn(set(stems))
+            for i, stem in zip(missing, stems, strict=True):
+                known, tail = self.get(stem), chunks[i][len(stem) :]
+                found[i] = known + self.tails[tail] if known is not None and tail else known
         odd = np.zeros(len(chunks), bool)
         odd[[i for i in missing if found[i] is None]] = True
         whole = np.bitwise_or.reduceat(odd[codes] & inner, starts[:-1])
@@ -81,12 +84,15 @@ class ChunkMemo:
         data, bounds = np.frombuffer(b"".join(values), unit)[pick].tobytes(), np.concatenate([[0], ends[starts[1:] - 1]]) * self.width
         return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
-    def _learn(self, missing: list[str]) -> None:
-        new = [c for c in missing if c and len(c) <= LONGEST and not c[0].isspace() and not c[-1].isspace()]
+    def _learn(self, chunks: set[str]) -> None:
+        new = [c for c in chunks.difference(self.known).difference(self.recent) if c and len(c) <= LONGEST and not c[0].isspace() and not c[-1].isspace()]
+        store = self.known
         if len(self.known) + len(new) > self.remembered:
-            forget_half(self.known)
-        tailed = [c for c in new if c[-1] in TAILS and c[-2:-1].isalpha()]
-        stems = {c[:-1] for c in tailed}.difference(self.known)
-        first = list(stems.union(new).difference(tailed))
-        self.known.update(zip(first, self.encode_chunks([" " + c for c in first]), strict=True))
-        self.known.update((c, self.known[c[:-1]] + self.tails[c[-1]]) for c in tailed)
+            store = self.recent
+            if len(self.recent) + len(new) > self.remembered // 3:
+                self.recent.clear()
+                new = [c for c in chunks.difference(self.known) if c and len(c) <= LONGEST and not c[0].isspace() and not c[-1].isspace()]
+        store.update(zip(new, self.encode_chunks([" " + c for c in new]), strict=True))
+
+    def get(self, chunk: str) -> bytes | None:
+        return self.known.get(chunk) or self.recent.get(chunk)

@@ -40,7 +40,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about `size` bytes together; a longer text is a part alone. No row is cut or lost."""
     lengths = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(lengths.buffers()[1], np.int64, len(lengths) + 1, lengths.offset * 8) if len(lengths) else np.zeros(1, np.int64)
@@ -49,6 +49,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, min(end, batch.num_rows) - at)
         at = end
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:

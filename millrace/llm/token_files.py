@@ -94,7 +94,7 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: str, end_id: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], width).tobytes()
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 own = tokenizer(tokenizer_path, width).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([(x + end)[:SAMPLE_BYTES] for x in own], pa.binary())], ["ids"])
 
@@ -142,7 +142,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
             return pa.RecordBatch.from_pylist([{"part": partition, "number": number, "name": name, "documents": len(rows), "tokens": int(rows["tokens"].sum()), "bytes": data.size}])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 4 << 20):
                 encoded = tokenizer(tokenizer_path, width).encode(part.column("text"))
                 for key, ids in zip(part.column("id").to_pylist(), encoded, strict=True):
                     data = data or SharedFile(folder, f"tokens-{partition:06d}-{number:04d}.bin")
