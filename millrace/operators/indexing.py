@@ -100,7 +100,7 @@ def decide(walked: DataFrame, ignore_files: DataFrame | None = None) -> DataFram
         rows = rows.join(levels, "project_id", "left").withColumn("__ignored", gitignored("path", "__levels")).drop("__levels")
     else:
         rows = rows.withColumn("__ignored", F.lit(False))
-    text = T.normal_text(F.decode("content", F.lit("UTF-8")))
+    text = T.normal_text(F.make_valid_utf8(F.col("content").cast("string")))
     binary = binary_file("content")
     rows = rows.withColumn("__binary", binary).withColumn("text", F.when(~F.col("__binary"), text))
     reason = P.skip_reason(F.col("path"), F.col("size"), F.col("__ignored"), F.col("__binary"), T.minified(F.col("text")))
