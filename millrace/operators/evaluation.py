@@ -26,8 +26,8 @@ def reciprocal_rank(items: Column, expected: Column) -> Column:
 
 def evaluate_retrieval(retrieved: DataFrame, questions: DataFrame) -> DataFrame:
     """query_id, mode, recall_5, recall_10, rr. retrieved: query_id, mode, rank, path; questions: query_id, expected (array)."""
-    modes = retrieved.select("mode").distinct()
-    asked = questions.join(F.broadcast(modes))  # a handful of modes
+    modes = [r["mode"] for r in retrieved.select("mode").distinct().collect()]  # a handful
+    asked = questions.withColumn("mode", F.explode(F.array(*map(F.lit, modes)).cast("array<string>")))
     lists = asked.join(ranked_paths(retrieved), ["query_id", "mode"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return lists.select("query_id", "mode", recall_at(F.col("items"), F.col("expected"), 5).alias("recall_5"), recall_at(F.col("items"), F.col("expected"), 10).alias("recall_10"), reciprocal_rank(F.col("items"), F.col("expected")).alias("rr"))
 

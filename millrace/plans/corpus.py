@@ -98,9 +98,9 @@ SELECT path, row_number() OVER (ORDER BY path) AS rank, (SELECT count(*) FROM m)
 def list_files(spark, sf_dir):
     """Files that match a glob: the first 200 and how many there are in all."""
     rows = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^[a-z]+://", "").alias("path")).filter(P.matches_glob(F.col("path"), "**/en/*.html"))
-    total = rows.agg(F.count(F.lit(1)).alias("matching"))
+    total = rows.count()
     first = rows.orderBy("path").limit(200).withColumn("rank", F.row_number().over(Window.orderBy("path")))
-    return first.join(F.broadcast(total)).select("path", "rank", "matching")
+    return first.select("path", "rank", F.lit(total).cast("long").alias("matching"))
 
 
 _DECIDED = f"""d AS (SELECT project_id, path, CASE WHEN doc_id % 17 = 0 THEN 'gitignored' WHEN strlen(text) > 20000 THEN 'too_large'
@@ -272,3 +272,29 @@ def repo_digest(spark, sf_dir):
     f = files(spark, sf_dir)
     manifest = f.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).select("project_id", F.format_string('{"name": "%s", "dependencies": {"react": "^18.2.0"}, "scripts": {"build": "x"}}', "project_id").alias("content"))
     return A.repo_digest(f, manifest, f.groupBy("project_id").agg(F.min_by("text", "path").alias("content")), {x: x.upper() for x in ("en", "de", "fr", "es")})
+
+
+@query(f"WITH {FILES}, l AS (SELECT path, string_split(text, chr(10)) AS lines FROM files) SELECT path, CASE WHEN len(lines) >= 3 THEN array_to_string(lines[3:302], chr(10)) END AS view FROM l")
+def read_range(spark, sf_dir):
+    """A window of lines from the third on; null for files that end before it."""
+    return files(spark, sf_dir).select("path", T.read_range(F.split("text", "\n", -1), F.lit(3), F.lit(None).cast("int")).alias("view"))
+
+
+@query(f"WITH {FILES}, c AS (SELECT project_id, path, 0 AS ord FROM files WHERE doc_id % 4 = 0) SELECT f.project_id, f.path, c.ord FROM files f JOIN c USING (project_id, path)")
+def changed_file_chunks(spark, sf_dir):
+    chunks = whole_chunks(spark, sf_dir)
+    changed = files(spark, sf_dir).filter("doc_id % 4 = 0").select("project_id", "path")
+    return chunks.join(changed, ["project_id", "path"], "left_semi").select("project_id", "path", "ord")
+
+
+@query(f"WITH {JOBS} SELECT project_id, job_id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) AS place FROM jobs QUALIFY place <= 3")
+def listings(spark, sf_dir):
+    """The newest three jobs of each project."""
+    order = Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("job_id"))
+    return jobs(spark, sf_dir).withColumn("place", F.row_number().over(order)).filter("place <= 3").select("project_id", "job_id", "place")
+
+
+@query(f"WITH {FILES} SELECT path, regexp_replace(CASE WHEN len(p) > 500 THEN substr(p, 1, 500) || '…' ELSE p END, '^$', '') AS lead FROM (SELECT path, trim(regexp_replace(text, '[ \\n\\t\\r\\f\\v]+', ' ', 'g')) AS p FROM files WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND text NOT LIKE '#%')")
+def first_paragraphs(spark, sf_dir):
+    plain = files(spark, sf_dir).filter(~F.contains("text", F.lit("\n\n")) & ~F.startswith("text", F.lit("#")))
+    return plain.select("path", T.first_paragraph(F.col("text")).alias("lead"))

@@ -317,3 +317,28 @@ def provider_errors(spark, sf_dir):
     status = F.get(F.array(*map(F.lit, (429, 503, 413, 401, 403, 500, 200))), (F.col("event_id") % 7).cast("int"))
     text = F.get(F.array(*map(F.lit, ("x", "got 429 too many requests", "line 429", "RESOURCE_EXHAUSTED"))), (F.col("event_id") % 4).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", N.classify_provider_error(status, text).alias("kind"))
+
+
+@query(f"WITH {FILES}, c AS (SELECT path, doc_id % 100 AS n FROM files), r AS (SELECT item_id AS query_id, path, row_number() OVER (PARTITION BY item_id ORDER BY path) AS rank FROM c JOIN benchmark b ON b.item_id % 100 = n QUALIFY rank <= 100) SELECT query_id, path, path || ': 1-1' AS line FROM r")
+def references_by_file(spark, sf_dir):
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("project_id"), F.concat(F.lit("validateUser"), (F.col("item_id") % 100).cast("string")).alias("symbol"))
+    return A.references_by_file(R.find_references(_identified(spark, sf_dir), asked))
+
+
+@query("SELECT item_id, '[' || item_id || '] p:1-2' || chr(10) || text || chr(10) || chr(10) || 'Question?' AS prompt FROM benchmark")
+def assemble_prompts(spark, sf_dir):
+    """Evidence blocks and a question; the missing summary leaves no gap."""
+    e = F.array(F.struct(F.col("item_id").alias("marker"), F.lit("p").alias("path"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.col("text").alias("content")))
+    return table(spark, sf_dir, "benchmark").select("item_id", N.assemble_prompt(F.lit(None).cast("string"), N.evidence_block(e), F.lit("Question?")).alias("prompt"))
+
+
+@query()
+def change_evidence(spark, sf_dir):
+    """Chunks of changed files and callers of their symbols, a change for each source."""
+    chunks = _identified(spark, sf_dir).withColumn("project_id", F.lit("all"))
+    number = F.regexp_extract("path", r"(\d+)\.txt", 1).cast("long")
+    chunks = chunks.withColumn("symbol", F.concat(F.lit("validateUser"), (number % 100).cast("string")))
+    changed = files(spark, sf_dir).filter("doc_id % 10 = 0").select(F.col("project_id").alias("change_id"), F.lit("all").alias("project_id"), "path", F.col("doc_id").cast("int").alias("pos"), (F.col("doc_id") % 30 == 0).alias("binary"))
+    asked = A.changed_symbols(changed, chunks).withColumn("query_id", F.concat_ws(":", "change_id", F.col("file_no").cast("string")))
+    found = R.find_references(chunks, asked).join(asked.select("query_id", "change_id", "file_no"), "query_id")
+    return A.change_evidence(changed, chunks, found)
