@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import round_trip
-from millrace.llm.hyperminhash import near_duplicates
+from millrace.llm.hyperminhash import BROADCAST_ROWS, near_duplicates
 from millrace.llm.mixing import mix
 from millrace.llm.passage_attention import keep_good, train
 from millrace.llm.secrets import redact, scan_secrets
@@ -39,6 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = written(near_duplicates(docs, PERCENT, SHINGLE))
     # Only the ids that go are joined; rows that share an id are told apart by the hash of their text.
     gone = found.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = written(gone)
+    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # 16 bytes a row
     kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
     again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
     if again.isEmpty():
