@@ -52,6 +52,8 @@ RULES = (
     Rule("chat_token", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 1, 0, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("web_token", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, 0, ("eyj",)),
 )
+#: Spans, and two more for each blob's hash, at about 50 bytes each.
+BROADCAST_SPANS = 200_000
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _HEX_OR_NOT = bytes(104 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
 _HEX_RUN = b"h" * 32
@@ -142,8 +144,13 @@ def scan_secrets(versions: DataFrame, ledger_dir: str | None = None, rules: tupl
 
 
 def redact(docs: DataFrame, findings: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
-    """The documents with their found spans masked; overlapping spans are masked as one. findings: blob, spans."""
-    spans = findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.struct("blob", "spans").alias("__found"))
+    """The documents with their found spans masked; overlapping spans are masked as one. findings: blob, spans.
+
+    The blobs with findings are broadcast after their spans have been counted; beyond BROADCAST_SPANS the texts are shuffled to them.
+    """
+    spans = written(findings.filter(F.size("spans") > 0).dropDuplicates(["blob"]).select(F.struct("blob", "spans").alias("__found")))
+    held = spans.agg(F.coalesce(F.sum(F.size("__found.spans") + 2), F.lit(0))).first()[0]
+    spans = F.broadcast(spans) if held <= BROADCAST_SPANS else spans
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
