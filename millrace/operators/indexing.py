@@ -259,6 +259,20 @@ def embed_pending(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int,
     return set_embeddings(chunks, found, dim), fresh.select(F.lit(model_id).alias("model_id"), "text_hash", F.col("vector").alias("embedding"))
 
 
+def embed_queries(queries: DataFrame, dim: int, factory: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder) -> DataFrame:
+    """queries plus vector. queries: text."""
+    rows = queries.withColumn("__input", T.model_input(F.coalesce("text", F.lit("")), True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        embed = factory()
+        for batch in batches:
+            vectors = np.asarray(embed(batch.column("__input").to_pylist()), np.float32).reshape(batch.num_rows, dim)
+            yield batch.drop_columns(["__input"]).append_column("vector", pa.array(list(vectors), pa.list_(pa.float32())))
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema.fields)
+    return rows.mapInArrow(run, f"{kinds}, vector array<float>")
+
+
 def latest_job(jobs: DataFrame, keys: str = "project_id", order: Column | None = None) -> DataFrame:
     """The newest row of each project: partial maxima, no sort of the whole."""
     columns = [c for c in jobs.columns if c != keys]

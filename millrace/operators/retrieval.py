@@ -72,7 +72,8 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> D
                 take = min(k, len(rows))
                 for i, (query, _) in enumerate(asked):
                     edge = np.partition(score[i], len(rows) - take)[len(rows) - take]
-                    found += [(query, int(rows[j]), float(score[i, j])) for j in np.flatnonzero(score[i] >= edge - 1e-12)]
+                    # Scores are ranked by six digits: what may round to the edge's stays.
+                    found += [(query, int(rows[j]), float(score[i, j])) for j in np.flatnonzero(score[i] >= edge - 1.001e-6)]
             ids = batch.column("chunk_id").take(pa.array([r for _, r, _ in found], pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in found], queries_type), ids, pa.array([s for _, _, s in found], pa.float64())], ["query_id", "chunk_id", "score"])
 
@@ -197,11 +198,14 @@ def union_arms(chunks: DataFrame, arms: dict[str, DataFrame]) -> DataFrame:
     return out.join(chunks.select("chunk_id", "path"), "chunk_id")
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, index: DataFrame | None = None, with_vectors: bool = True, with_fuzzy: bool = True) -> DataFrame:
-    """query_id, rank, score, chunk_id, path, start_line, end_line: arms, one place per file, fused; metadata joined last. queries: query_id, project_id, text, vector."""
+def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, index: DataFrame | None = None, with_vectors: bool = True, with_fuzzy: bool = True, embedded: DataFrame | None = None) -> DataFrame:
+    """query_id, rank, score, chunk_id, path, start_line, end_line: arms, one place per file, fused; metadata joined last. queries: query_id, project_id, text, vector.
+
+    embedded: the chunks with their vectors, read by the vector arm alone; none: `chunks` has them.
+    """
     arms = {"fts": fulltext_search(chunks, queries, POOLS["fts"], index)}
     if with_vectors:
-        arms["vector"] = vector_search(chunks, queries, POOLS["vector"])
+        arms["vector"] = vector_search(chunks if embedded is None else embedded, queries, POOLS["vector"])
     if with_fuzzy:
         arms["trigram"] = trigram_search(chunks, queries, POOLS["trigram"])
     best = fuse(dedupe_by_file(union_arms(chunks, arms))).filter(F.col("rank") <= limit)

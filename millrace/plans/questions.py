@@ -109,11 +109,26 @@ def hybrid_search(spark, sf_dir):
     return R.hybrid_search(whole_chunks(spark, sf_dir, "all"), passages(spark, sf_dir), with_vectors=False, with_fuzzy=False).drop("end_line")
 
 
+def _embedded(spark, chunks):
+    """The chunks with vectors, with a cache that holds none."""
+    cache = spark.createDataFrame([], "model_id string, text_hash string, embedding array<float>")
+    return I.embed_pending(chunks.withColumn("embedding", F.lit(None).cast("array<float>")), cache, "hash-64", 64)[0]
+
+
+@query()
+def hybrid_search_all_arms(spark, sf_dir):
+    """As hybrid_search, whose SQL has the full-text arm alone, with the vector and the trigram arm."""
+    chunks = whole_chunks(spark, sf_dir, "all")
+    return R.hybrid_search(chunks, I.embed_queries(passages(spark, sf_dir), 64), embedded=_embedded(spark, chunks)).drop("end_line")
+
+
 @query()
 def multi_project_search(spark, sf_dir):
+    """All three arms; every source is in every question's scope."""
     chunks = whole_chunks(spark, sf_dir)
-    scopes = passages(spark, sf_dir).select("query_id", F.explode(F.array(F.lit("src0"), F.lit("src1"), F.lit("src2"))).alias("project_id"))
-    return R.multi_project_search(chunks, passages(spark, sf_dir), scopes, with_vectors=False, with_fuzzy=False)
+    asked = I.embed_queries(passages(spark, sf_dir), 64)
+    scopes = asked.select("query_id").crossJoin(chunks.select("project_id").distinct())
+    return R.multi_project_search(chunks, asked, scopes, embedded=_embedded(spark, chunks))
 
 
 # Three arms out of the events: their places by value, id and time, per user.
