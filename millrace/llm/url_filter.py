@@ -1,8 +1,8 @@
 """URL filters: domain rules, then pattern rules found by their rarest literal token.
 
 A pattern rule is a regular expression with the literal tokens (runs of a-z and 0-9 in the lower-cased URL) that every
-URL it matches must have. The rule is indexed under the one of its tokens that the fewest URLs have, counted over all
-URLs. A URL's own tokens fetch candidate rules from that index, and only those run their regular expressions. All of it
+URL it matches must have, or with alternatives of which every such URL has one. The rule is indexed under the one of its
+tokens that the fewest URLs have, counted over all URLs, or under all of its alternatives. A URL's own tokens fetch candidate rules from that index, and only those run their regular expressions. All of it
 is Spark's own functions in one pass over the URLs, without a shuffle of them: the rules are a parameter of bounded size.
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule, and verdict "allow"; empty tables
@@ -29,9 +29,12 @@ class DomainRule:
 
 @dataclass(frozen=True)
 class PatternRule:
+    """tokens: every matching URL has all of them; either: every matching URL has one of them at least. One of the two is given."""
+
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    tokens: tuple[str, ...] = ()
+    either: tuple[str, ...] = ()
 
 
 #: Production rules. Every pattern is matched against the lower-cased URL.
@@ -46,7 +49,7 @@ PATTERN_RULES = (
     PatternRule("block", r"[/.]casino-win[./]", ("casino", "win")),
     PatternRule("block", r"[/.]free-bets?[./]", ("free",)),
     PatternRule("block", r"[/.]cheap-pills?[./]", ("cheap",)),
-    PatternRule("block", r"[/.](?:xxx|adult)-[a-z0-9-]*videos?[./]", ("videos",)),
+    PatternRule("block", r"[/.](?:xxx|adult)-[a-z0-9-]*videos?[./]", either=("xxx", "adult")),
     PatternRule("block", r"[?&]utm_source=spam(?:&|#|$)", ("utm", "source", "spam")),
     PatternRule("block", r"/wp-login\.php(?:[?#]|$)", ("wp", "login", "php")),
     PatternRule("block", r"[?&]replytocom=[0-9]+", ("replytocom",)),
@@ -89,7 +92,8 @@ def rarest_tokens(urls: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str,
     counts = {r["token"]: r["count"] for r in seen.collect()}
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
-        index.setdefault(min(r.tokens, key=lambda t: (counts.get(t, 0), t)), []).append(i)
+        for token in [min(r.tokens, key=lambda t: (counts.get(t, 0), t))] if r.tokens else sorted(set(r.either)):
+            index.setdefault(token, []).append(i)
     return index
 
 
@@ -107,7 +111,7 @@ def pattern_verdict(url: Column, rules: tuple[PatternRule, ...], index: dict[str
 
 def judge_urls(urls: DataFrame, domain_rules: tuple[DomainRule, ...] = DOMAIN_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict: the longest domain rule's verdict, else the first matching pattern rule's, else "allow"."""
-    if len(domain_rules) + len(pattern_rules) > MAX_RULES or any(not r.tokens for r in pattern_rules):
+    if len(domain_rules) + len(pattern_rules) > MAX_RULES or any(not r.tokens and not r.either for r in pattern_rules):
         raise ValueError(f"at most {MAX_RULES} rules, and a literal token for every pattern rule")
     narrow = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     index = rarest_tokens(narrow, pattern_rules)
