@@ -89,3 +89,39 @@ def test_multi_project_search_in_all_sources(spark, tmp_path):
         want |= {(q, rank): (c, round(total[c], 6), files[c][0]) for rank, c in enumerate(best, 1)}
     assert got == want
     assert {p for _, _, p in got.values()} > {"src0", "src1", "src2"}
+
+
+def recall(rows, found, k=10):
+    """Share of the exact k nearest rows of each query, itself left out. found: (query, id)."""
+    x = {r.vec_id: np.array(r.embedding, float) for r in rows}
+    ids = np.array(sorted(x))
+    m = np.array([x[i] / np.linalg.norm(x[i]) for i in ids])
+    hits, n = 0, 0
+    for q in {q for q, _ in found}:
+        s = m @ x[q]
+        s[ids == q] = -9
+        hits += len(set(ids[np.argsort(-s)[:k]].tolist()) & {i for a, i in found if a == q})
+        n += k
+    return hits / n
+
+
+def test_registered_ann_search(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    found = [(r.query_id, r.chunk_id) for r in registry.queries()["ann_search"](spark, sf).collect()]
+    assert {q for q, _ in found} == {r.vec_id for r in rows if r.vec_id % 20 == 0}
+    assert recall(rows, found) >= 0.9
+
+
+def test_vector_search_of_every_twentieth_row(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in registry.queries()["vector_search_20"](spark, sf).collect()}
+    want = {}
+    for q in rows:
+        if q.vec_id % 20 == 0:
+            a = np.array(q.embedding, float)
+            near = sorted((-round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b))), 6), r.vec_id) for r in rows if r.label == q.label for b in [np.array(r.embedding, float)])[:20]
+            want |= {(q.vec_id, rank): (c, -s) for rank, (s, c) in enumerate(near, 1)}
+    assert {k: c for k, (c, _) in got.items()} == {k: c for k, (c, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
