@@ -1,7 +1,7 @@
 """Secret scans with an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its text (its blob). The ledger says which rule versions have
-seen which blob and keeps what they found. A scan reads only the blobs for which some rule version is missing, each
+seen which blob and keeps what each of them found, as kind@version. A scan reads only the blobs for which some rule version is missing, each
 once however many paths and versions share it, runs only the missing rules, adds to the ledger, and joins the findings
 back to all paths. Paths and blobs meet as narrow rows; only the texts of unseen blobs move.
 
@@ -39,6 +39,12 @@ class Rule:
         return f"{self.kind}@{self.version}"
 
 
+#: What follows a private key's header: all up to its END line; without one, header fields and the block of base64 (long
+#: runs, then lines of nothing else), whose line ends may be escaped.
+_TO_END = (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+)*+-----END (?:[A-Z]+ )?PRIVATE KEY-----"
+    r"|(?:\s*+(?:Proc-Type|DEK-Info):[^\n]*+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{20,}+={0,2})*+(?:(?:\r?\n)[A-Za-z0-9+/]++={0,2}(?=\s*(?:\n|\Z)))*+)"
+)
 #: Fixed patterns of the three base kinds, then the ones that this scan adds.
 BASE_RULES = (
     Rule("assign", 1, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 1, ("password", "passwd", "secret", "token", "apikey", "api_key")),
@@ -47,7 +53,7 @@ BASE_RULES = (
 )
 RULES = (
     *BASE_RULES,
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----", 1, 0, ("private key-----",)),
+    Rule("private_key", 2, r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----" + _TO_END, 1, 0, ("private key-----",)),
     Rule("vcs_token", 1, r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|glpat-[A-Za-z0-9_-]{20,})", 1, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "glpat-")),
     Rule("chat_token", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 1, 0, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("web_token", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, 0, ("eyj",)),
@@ -108,7 +114,7 @@ def scan_blobs(versions: DataFrame, todo: DataFrame, rules: tuple[Rule, ...], id
                 for text, missing in zip(texts_of(part, "text"), part.column("missing").to_pylist(), strict=True):
                     own = tuple(rules[k] for k in missing)
                     used.append([names[k] for k in missing])
-                    spans.append([{"kind": own[k].kind, "start": a, "end": b} for a, k, b in find_spans(text, own)])
+                    spans.append([{"kind": own[k].name, "start": a, "end": b} for a, k, b in find_spans(text, own)])
                 yield pa.RecordBatch.from_arrays([part.column("blob"), pa.array(used, pa.list_(pa.string())), pa.array(spans, kind)], ["blob", "rules", "spans"])
 
     texts = versions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -130,14 +136,17 @@ def scan_secrets(versions: DataFrame, ledger_dir: str | None = None, rules: tupl
     folder = ledger_dir or shared_folder(spark)
     new = scan_blobs(versions, unseen(paths, ledger, rules), rules, id_col, text_col)
     new.write.mode("append").parquet(folder)
-    kinds = F.array(*[F.lit(r.kind) for r in rules])
     names = F.array(*[F.lit(r.name) for r in rules])
-    # Findings of these rule versions only; blobs without findings needn't be joined.
+    # Blobs without findings needn't be joined.
     found = spark.read.schema(schema).parquet(folder).filter((F.size("spans") > 0) & F.arrays_overlap("rules", names))
-    found = found.groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    # Older ledgers have the kind alone; its version is the one among the row's rules.
+    versioned = F.transform("spans", lambda s: F.struct(F.when(F.contains(s["kind"], F.lit("@")), s["kind"]).otherwise(F.get(F.filter("rules", lambda r: F.substring_index(r, "@", 1) == s["kind"]), F.lit(0))).alias("name"), s["start"].alias("start"), s["end"].alias("end")))
+    # Findings of these rule versions only.
+    own = F.filter(versioned, lambda s: F.array_contains(names, s["name"]))
+    found = found.select("blob", own.alias("spans")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     ordered = F.transform(
-        F.array_sort(F.transform(F.filter("spans", lambda s: F.array_contains(kinds, s["kind"])), lambda s: F.struct(s["start"].alias("start"), F.array_position(kinds, s["kind"]).alias("k"), s["end"].alias("end"), s["kind"].alias("kind")))),
-        lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
+        F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.array_position(names, s["name"]).alias("k"), s["end"].alias("end"), s["name"].alias("name")))),
+        lambda s: F.struct(F.substring_index(s["name"], "@", 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
     joined = paths.join(found.select("blob", ordered.alias("spans")), "blob", "left")
     return joined.select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
