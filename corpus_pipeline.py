@@ -5,7 +5,8 @@ one's docs. All but the last return the columns of docs.
 
 1. quality_classifier: documents that score below QUALITY_FROM go. Learned from `labels` (quality), a bounded sample.
 2. near_dedup: of each group of near-duplicates (shingles of five words, similarity of 0.8 or more) one document stays:
-   the one with the smallest id; of rows with that id, one. Rows without id stay.
+   the one with the smallest id; of rows with that id, one. Rows with one id and different texts are documents of their
+   own. Rows without id stay.
 3. secret_scan: found secrets are masked in the texts; n_chars follows. No document goes.
 4. mixing: each document is repeated, kept once or left out, so that sources near their targets.
 5. bpe: each row of the mix is encoded and decoded; ids as digests, with the number of tokens.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.bpe import round_trip
-from millrace.llm.hyperminhash import BROADCAST_ROWS, near_duplicates
+from millrace.llm.hyperminhash import BROADCAST_ROWS, near_duplicates, with_sets
 from millrace.llm.mixing import mix
 from millrace.llm.passage_attention import keep_good, train
 from millrace.llm.secrets import redact, scan_secrets
@@ -36,19 +37,28 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = written(near_duplicates(docs, PERCENT, SHINGLE))
-    # Only the ids that go are joined; rows that share an id are told apart by the hash of their text.
+    found = written(near_duplicates(docs, PERCENT, SHINGLE, sets=True))
+    # Only the ids that go are joined.
     gone = found.filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = written(gone)
-    gone = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone  # 16 bytes a row
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    again = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
+    again = written(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
-        return kept
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    marked = kept.join(again, kept["doc_id"] == again["__again"], "left")
-    once = marked.filter("__again IS NOT NULL").dropDuplicates(["doc_id"]).select(columns)
-    return marked.filter("__again IS NULL").select(columns).unionByName(once)
+        return docs.join(_small(written(gone)), docs["doc_id"] == F.col("__gone"), "left_anti")
+    # Rows that share an id are told apart by the hash of their set of shingles, those without shingles by that of their text.
+    again = _small(again)
+    gone = _small(written(gone.join(again, gone["__gone"] == again["__again"], "left_anti")))
+    once = docs.join(again, docs["doc_id"] == again["__again"], "left_anti")
+    once = once.join(gone, once["doc_id"] == gone["__gone"], "left_anti")
+    rows = with_sets(docs.join(again, docs["doc_id"] == again["__again"], "left_semi"), SHINGLE)
+    best = found.filter("chosen AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id"), F.col("set").alias("__of")).distinct()
+    best = best.join(again, best["__id"] == again["__again"], "left_semi")
+    chosen = rows.filter("__set IS NOT NULL").join(best, (rows["doc_id"] == best["__id"]) & (rows["__set"] == best["__of"]), "left_semi")
+    empty = rows.filter("__set IS NULL").withColumn("__set", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    kept = chosen.unionByName(empty).dropDuplicates(["doc_id", "__set"]).drop("__set")
+    return once.unionByName(kept)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # 16 bytes a row
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

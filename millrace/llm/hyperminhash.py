@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .components import Sets, components, grouped
 from .shared import slices, texts_of, written
@@ -294,15 +295,32 @@ def links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, id_co
     return first.unionByName(written(verified(both, percent)))
 
 
-def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id, kept (whether the row's id names its component)."""
+def with_sets(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
+    """docs plus __set: the hash of each row's whole set, as sketches has it; null if empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, text_col):
+                hashes = [hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None for own in shingle_sets(texts_of(part, text_col), shingle)]
+                yield part.append_column("__set", pa.array(hashes, pa.binary()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__set", BinaryType())]))
+
+
+def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text", sets: bool = False) -> DataFrame:
+    """id, n_shingles, component_id, kept (whether the row's id names its component).
+
+    sets: also set (hash of the row's whole set; null if empty) and chosen (whether id and set are those that represent the component).
+    """
     rows = written(sketches(docs, shingle, id_col, text_col))
     classes = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     linked = components(links(docs, classes, percent, shingle, id_col, text_col))
     named = classes.select("cid", "set", "rep").join(linked.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    names = named.groupBy("label").agg(F.min("rep").alias("component_id"))
-    of_set = written(named.join(names, "label").select("set", "component_id"))
+    names = named.groupBy("label").agg(F.min(F.when(F.col("rep").isNotNull(), F.struct("rep", F.col("set").alias("of")))).alias("name"))
+    of_set = written(named.join(names, "label").select("set", F.col("name.rep").alias("component_id"), F.col("set").eqNullSafe(F.col("name.of")).alias("best")))
     placed = rows.select("id", "n", "set").join(of_set, "set", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    kept = F.col("id").eqNullSafe(component)
+    more = [F.col("set"), (kept & F.coalesce("best", F.lit(False))).alias("chosen")] if sets else []
+    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), *more)

@@ -81,3 +81,14 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
     assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 0, 1, 2, 3]
     assert [r.text for r in corpus_pipeline.secret_scan(spark, docs, "").filter("doc_id = 2").collect()] == ["[REDACTED]"]
     assert corpus_pipeline.quality_classifier(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_near_dedup_tells_rows_of_one_id_apart(spark):
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    a, b = text("a"), text("b")
+    near_a, near_b = a + " more", b + " more"
+    kept = lambda rows: sorted((r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect())
+    assert kept([(1, a), (5, near_a), (1, b), (0, near_b)]) == [(0, near_b), (1, a)]
+    assert kept([(1, text("c")), (1, text("d")), (2, text("e"))]) == sorted([(1, text("c")), (1, text("d")), (2, text("e"))])
+    assert [i for i, _ in kept([(1, a), (1, near_a), (1, a), (7, a)])] == [1]
+    assert kept([(3, ""), (3, ""), (3, b), (4, near_b)]) == [(3, ""), (3, b)]
