@@ -27,7 +27,7 @@ from .shared import slices, texts_of
 
 PASSAGE_WORDS, PAIRS, WORDS, MEASURES = 128, 512, 256, 6
 HIDDEN, GATE = 32, 16
-#: About so many labelled documents are learned from.
+#: So many labelled documents are learned from.
 TRAINING_ROWS = 4_000
 PREDICT_FROM = 0.7
 

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, slices, texts_of
+from .shared import SPACES, lowest_hashes, slices, texts_of, written
 
 #: A text has few words below this; repeated words fail it above this share (%); kept from this probability of good quality.
 FEW_WORDS, REPEATED, KEEP_FROM = 50, 50, 0.5
-#: About so many labelled documents are learned from, chosen by the hash of their id; of these, so large a part calibrates.
+#: So many labelled documents are learned from, chosen by the hash of their id; of these, so large a part calibrates.
 TRAINING_ROWS, CALIBRATION = 6_000, 0.3
 BUCKETS = 1 << 15
 GROUPS = ("word 1", "word 2", "char 2", "char 3")
@@ -171,11 +171,15 @@ def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
-    """id, text, label of about `rows` labelled documents: those with the lowest hashes of their ids. The ids are broadcast; there are about `rows`."""
-    marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    share = min(1.0, rows / max(1, labels.count()))
-    chosen = marked.filter(F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) < int(share * 1_000_000)).select(F.col(id_col).alias("of"), "label")
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), F.col("id") == F.col("of")).select("id", "text", "label")
+    """id, text, label of `rows` labelled documents (all, if there are fewer): those with the lowest hashes of their ids. The ids are broadcast.
+
+    An id that several rows share counts once for the sample, and once among the texts: the smallest text by its hash.
+    """
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("of")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    chosen = written(lowest_hashes(written(marked), rows, ["of"], seed))
+    found = own.join(F.broadcast(chosen), F.col("id") == F.col("of"))
+    return found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Model | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space: what separates words in every contract of this package.
 SPACES = b" \t\n\r\x0b\x0c"
@@ -16,16 +18,30 @@ SPACES = b" \t\n\r\x0b\x0c"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder name inside spark.checkpoint.dir, which all machines of a cluster share.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of this application inside spark.checkpoint.dir, which all machines of a cluster share.
 
-    Where the setting is missing (tests on one machine), a temporary folder is made and set.
+    Where the setting is missing, a temporary folder is made on one machine (local master: tests); on a cluster that is an error.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("millrace.shared.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir="/tmp")
         spark.conf.set("millrace.shared.dir", root)
-    return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder name inside the application's shared folder."""
+    return f"{shared_root(spark)}/{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Removes all that this application has written to its shared folder. For the end of a job, when its results are stored elsewhere."""
+    fs, root = store(shared_root(spark))
+    if fs.get_file_info(root).type.name == "Directory":
+        fs.delete_dir(root)
 
 
 def written(df: DataFrame, folder: str | None = None) -> DataFrame:
@@ -40,6 +56,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lowest_hashes(rows: DataFrame, n: int, keys: list[str], seed: int = 0, count: int | None = None) -> DataFrame:
+    """The n rows with the lowest hashes of their keys, or all if there are fewer: the same ones at any size and in any partitioning.
+
+    Of rows with equal keys one is taken. Rows far above the bound that n of `count` need go in a first filter, so a task
+    never holds or sends more than its part of about 2n rows; should the filter leave too few, all rows are ordered.
+    """
+    total = rows.count() if count is None else count
+    hashed = rows.withColumn("__h", F.xxhash64(F.lit(seed), *keys).bitwiseAND((1 << 63) - 1))
+    few = hashed
+    if total > 4 * n:
+        few = hashed.filter(F.col("__h") < int((2 * n + 40) / total * (1 << 63))).dropDuplicates(["__h", *keys])
+        if few.count() < n:
+            few = hashed
+    return few.dropDuplicates(["__h", *keys]).orderBy("__h", *keys).limit(n).drop("__h")
+
+
 def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about `size` bytes together; a longer text is a part alone. No row is cut or lost."""
     lengths = batch.column(column).cast(pa.large_binary())
@@ -49,7 +81,17 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield batch.slice(at, min(end, batch.num_rows) - at)
         at = end
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a worker has freed goes back to the machine: workers live on through the stages of a job."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def texts_of(batch: pa.RecordBatch, column: str) -> list[bytes]:
