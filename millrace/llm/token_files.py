@@ -6,8 +6,9 @@ tokens), then an array of (id, flags, offset, length, tokens). A document is rea
 its own frame; the dictionary is what lets frames of few tokens be short. A reader refuses a dictionary whose hash isn't
 the header's.
 
-The dictionary is trained on the serialized ids of a bounded sample of documents (DICTIONARY_ROWS, by the hash of the
-id). Documents are range-partitioned by id before they are encoded, so ids never move, and shards follow each other.
+The dictionary is trained on the serialized ids of a bounded sample of documents (DICTIONARY_ROWS, by the hash of id and
+text). Documents are range-partitioned by id and the beginning of the text before they are encoded, so ids never move,
+shards follow each other, and the rows of one id (or without id) may be many.
 
 Defined results: null and empty texts are the closing token alone; null ids come first and stay null; rows with one id
 stay together, ordered by their texts; empty tables give a set without shards. Other columns are not looked at.
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .chunk_memo import ChunkMemo
-from .shared import SharedFile, shared_folder, slices, store, written
+from .shared import SharedFile, lowest_hashes, shared_folder, slices, store, written
 
 DICTIONARY_ROWS, DICTIONARY_BYTES, SAMPLE_BYTES = 1_000, 64 << 10, 32 << 10
 #: A shard is closed after the document with which its frames reach this size.
@@ -89,7 +90,10 @@ def id_width(vocabulary: int) -> str:
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: str, end_id: int) -> bytes:
-    """From about DICTIONARY_ROWS documents, at most SAMPLE_BYTES of each. With too little to train on, the samples themselves are the dictionary."""
+    """From the DICTIONARY_ROWS documents with the lowest hashes of id and text (all, if there are fewer), at most SAMPLE_BYTES of ids of each.
+
+    With too little to train on, the samples themselves are the dictionary.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.array([end_id], width).tobytes()
@@ -98,9 +102,11 @@ def train_dictionary(docs: DataFrame, tokenizer_path: str, width: str, end_id: i
                 own = tokenizer(tokenizer_path, width).encode(part.column("text"))
                 yield pa.RecordBatch.from_arrays([pa.array([(x + end)[:SAMPLE_BYTES] for x in own], pa.binary())], ["ids"])
 
-    share = min(1.0, DICTIONARY_ROWS / max(1, docs.count()))
-    chosen = docs.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000)).select("text").limit(2 * DICTIONARY_ROWS)
-    samples = sorted(bytes(r.ids) for r in chosen.mapInArrow(run, "ids binary").collect())
+    # Documents are chosen by a hash of theirs; then the texts of those few are fetched.
+    keyed = docs.select(F.xxhash64("id", "text").alias("key"), "text")
+    chosen = written(lowest_hashes(keyed.select("key"), DICTIONARY_ROWS, ["key"]))
+    texts = keyed.join(F.broadcast(chosen), "key", "left_semi").groupBy("key").agg(F.first("text").alias("text"))
+    samples = sorted(bytes(r.ids) for r in texts.select("text").mapInArrow(run, "ids binary").collect())
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -155,7 +161,9 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int, folder: str
         if data:
             yield closed()
 
-    ordered = narrow.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
+    # Ranges are cut by id and how the text begins, which is in keeping with the order by id and text.
+    order = [F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first()]
+    ordered = narrow.repartitionByRange(order[0], F.substring("text", 1, 64).asc_nulls_first()).sortWithinPartitions(*order)
     ordered.mapInArrow(run, "part long, number long, name string, documents long, tokens long, bytes long").write.parquet(f"{folder}/shards")
     return folder
 
