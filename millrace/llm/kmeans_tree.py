@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .shared import written
+from .shared import lowest_hashes, written
 
 FIT_ROWS, BRANCHES, LEAF_ROWS, MOST_LEAVES = 16_384, 8, 200, 1_024
 CALIBRATION_ROWS, RECALL = 200, 0.97
@@ -172,10 +172,8 @@ class TreeIndex:
             self._calibrate(recall)
 
     def _some(self, rows: DataFrame, n: int, seed: int) -> list:
-        """About n rows by the hash of their ids, in order of id."""
-        share = min(1.0, n / self.count)
-        chosen = rows.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * n).collect()
-        return sorted(chosen or rows.limit(1).collect(), key=lambda r: (r.id, r.v))
+        """The n rows with the lowest hashes of id and vector (all, if there are fewer), in order of id."""
+        return sorted(lowest_hashes(rows, n, ["id", "v"], seed, self.count).collect(), key=lambda r: (r.id, r.v))
 
     def _calibrate(self, recall: float) -> None:
         """True neighbours of a bounded set of rows, from a scan of all rows in blocks; then the fewest leaf visits that reach the recall."""
