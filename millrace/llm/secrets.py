@@ -1,9 +1,11 @@
 """Secret scans with an incremental blob ledger.
 
 Every version of every path is addressed by the SHA-256 of its text (its blob). The ledger says which rule versions have
-seen which blob and keeps what each of them found, as kind@version. A scan reads only the blobs for which some rule version is missing, each
-once however many paths and versions share it, runs only the missing rules, adds to the ledger, and joins the findings
-back to all paths. Paths and blobs meet as narrow rows; only the texts of unseen blobs move.
+seen which blob and keeps what each of them found, as kind@version. A scan reads only the blobs for which some rule
+version is missing, one text of each however many paths and versions share it, runs only the missing rules, adds to the
+ledger, and joins the findings back to all paths. Paths and blobs meet as narrow rows. If a
+tenth of the paths or less has unseen blobs, and they are BROADCAST_BLOBS or fewer, they are broadcast to the texts, so that
+no text moves; else, as in a first scan, texts are shuffled to them.
 
 Defined results: a null text counts as empty; a null or repeated id is a path like any other and gets its row for each
 of its versions; a text without findings has an empty list; empty tables give empty results. Spans count code points,
@@ -58,6 +60,8 @@ RULES = (
     Rule("chat_token", 1, r"\bxox[abprs]-[A-Za-z0-9-]{10,}", 1, 0, ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("web_token", 1, r"\beyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 1, 0, ("eyj",)),
 )
+#: Unseen blobs, at about 200 bytes each.
+BROADCAST_BLOBS = 200_000
 #: Spans, and two more for each blob's hash, at about 50 bytes each.
 BROADCAST_SPANS = 200_000
 SPANS = "array<struct<kind:string,start:int,end:int>>"
@@ -90,26 +94,33 @@ def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def unseen(paths: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...]) -> DataFrame:
+def unseen(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """blob, id of one path that has it, missing (numbers of the rules that haven't seen it). Ids and hashes only."""
     blobs = paths.groupBy("blob").agg(F.min("id").alias("id"))
     names = F.array(*[F.lit(r.name) for r in rules])
-    if ledger is None:
-        return blobs.withColumn("missing", F.sequence(F.lit(0), F.lit(len(rules) - 1)))
     seen = ledger.groupBy("blob").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("seen"))
     marked = blobs.join(seen, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
     missing = F.transform(F.filter(F.arrays_zip(names.alias("n"), F.sequence(F.lit(0), F.lit(len(rules) - 1)).alias("k")), lambda x: ~F.array_contains(F.col("seen"), x["n"])), lambda x: x["k"])
     return marked.select("blob", "id", missing.alias("missing")).filter(F.size("missing") > 0)
 
 
-def scan_blobs(versions: DataFrame, todo: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> DataFrame:
-    """blob, rules, spans: ledger rows for the blobs of `todo`. One text per blob is moved, keyed by blob and id, so copies of one text don't meet."""
+def scan_blobs(versions: DataFrame, todo: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str, few: bool) -> DataFrame:
+    """blob, rules, spans: ledger rows for the blobs of `todo`. Texts are asked for by blob and id, so copies of one text don't meet. few: `todo` is broadcast.
+
+    Rows with one id (or none) and one text do meet; each task scans the first of them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [r.name for r in rules]
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+        done: set[str] = set()  # as many as the task has texts, at most
         for batch in batches:
-            for part in slices(batch, "text"):
+            blobs, first = batch.column("blob").to_pylist(), []
+            for row, blob in enumerate(blobs):
+                if blob not in done:
+                    done.add(blob)
+                    first.append(row)
+            for part in slices(batch if len(first) == len(blobs) else batch.take(pa.array(first, pa.int64())), "text"):
                 used, spans = [], []
                 for text, missing in zip(texts_of(part, "text"), part.column("missing").to_pylist(), strict=True):
                     own = tuple(rules[k] for k in missing)
@@ -119,7 +130,9 @@ def scan_blobs(versions: DataFrame, todo: DataFrame, rules: tuple[Rule, ...], id
 
     texts = versions.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     texts = texts.withColumn("blob", blob_of(F.col("text")))
-    picked = texts.join(todo.withColumnRenamed("id", "of").withColumnRenamed("blob", "of_blob"), (texts["blob"] == F.col("of_blob")) & texts["id"].eqNullSafe(F.col("of")))
+    wanted = todo.withColumnRenamed("id", "of").withColumnRenamed("blob", "of_blob")
+    wanted = F.broadcast(wanted) if few else wanted
+    picked = texts.join(wanted, (texts["blob"] == F.col("of_blob")) & texts["id"].eqNullSafe(F.col("of")))
     rows = picked.select("blob", "text", "missing").mapInArrow(run, f"blob string, rules array<string>, spans {SPANS}")
     return rows.dropDuplicates(["blob"])  # a path repeated with the same text
 
@@ -127,20 +140,26 @@ def scan_blobs(versions: DataFrame, todo: DataFrame, rules: tuple[Rule, ...], id
 def scan_secrets(versions: DataFrame, ledger_dir: str | None = None, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, blob, spans for every version of every path.
 
-    ledger_dir: a folder of ledger rows (Parquet), read first and added to; none: a new ledger in the shared folder.
+    ledger_dir: a folder of ledger rows (Parquet), made if it isn't there, read first and added to; none: a new ledger in the shared folder.
     """
     spark = versions.sparkSession
     schema = f"blob string, rules array<string>, spans {SPANS}"
-    ledger = None if ledger_dir is None else spark.read.schema(schema).parquet(ledger_dir)
-    paths = written(manifest(versions, id_col, text_col))
     folder = ledger_dir or shared_folder(spark)
-    new = scan_blobs(versions, unseen(paths, ledger, rules), rules, id_col, text_col)
-    new.write.mode("append").parquet(folder)
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
+    paths = written(manifest(versions, id_col, text_col))
+    todo = written(unseen(paths, spark.read.schema(schema).parquet(folder), rules))
+    n = todo.count()
+    few = n <= BROADCAST_BLOBS and 10 * n <= paths.count()
+    scan_blobs(versions, todo, rules, id_col, text_col, few).write.mode("append").parquet(folder)
     names = F.array(*[F.lit(r.name) for r in rules])
     # Blobs without findings needn't be joined.
     found = spark.read.schema(schema).parquet(folder).filter((F.size("spans") > 0) & F.arrays_overlap("rules", names))
     # Older ledgers have the kind alone; its version is the one among the row's rules.
-    versioned = F.transform("spans", lambda s: F.struct(F.when(F.contains(s["kind"], F.lit("@")), s["kind"]).otherwise(F.get(F.filter("rules", lambda r: F.substring_index(r, "@", 1) == s["kind"]), F.lit(0))).alias("name"), s["start"].alias("start"), s["end"].alias("end")))
+    of_kind = lambda s: F.get(F.filter("rules", lambda r: F.substring_index(r, "@", 1) == s["kind"]), F.lit(0))
+    versioned = F.transform(
+        "spans",
+        lambda s: F.struct(F.when(F.contains(s["kind"], F.lit("@")), s["kind"]).otherwise(of_kind(s)).alias("name"), s["start"].alias("start"), s["end"].alias("end")),
+    )
     # Findings of these rule versions only.
     own = F.filter(versioned, lambda s: F.array_contains(names, s["name"]))
     found = found.select("blob", own.alias("spans")).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))

@@ -2,6 +2,7 @@ import hashlib
 import re
 from dataclasses import replace
 
+from millrace.llm import secrets
 from millrace.llm.queries_op4 import op4_secret_scan
 from millrace.llm.secrets import RULES, redact, scan_secrets
 
@@ -79,3 +80,31 @@ def test_private_keys_are_masked_whole(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
     got = {r.doc_id: r.text for r in redact(docs, scan_secrets(docs)).collect()}
     assert got == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_cold_ledger_and_the_shuffle_of_an_incremental_scan(spark, tmp_path):
+    texts = [(i, f"document {i} " + "filler words " * 400) for i in range(400)]
+    texts += [(None, "token: abcdefgh1234 " * 3)] * 500 + [(400, "token: abcdefgh1234 " * 3)] * 3
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    folder = f"file://{tmp_path}/none/yet"
+    first = scan_secrets(docs, folder)
+    assert first.count() == len(texts) and first.filter("size(spans) = 3").count() == 503
+    assert spark.read.parquet(folder).count() == 401
+    new = docs.union(spark.createDataFrame([(500, "password = qwertzuiop")], docs.schema))
+    seen = []
+    original = secrets.scan_blobs
+
+    def spy(versions, todo, rules, id_col, text_col, few):
+        out = original(versions, todo, rules, id_col, text_col, few)
+        seen.append((todo.count(), few, out._jdf.queryExecution().executedPlan().toString()))
+        return out
+
+    secrets.scan_blobs = spy
+    try:
+        again = scan_secrets(new, folder)
+        assert again.filter("doc_id = 500 AND size(spans) = 1").count() == 1 and again.count() == len(texts) + 1
+    finally:
+        secrets.scan_blobs = original
+    # One unseen blob: it is broadcast, and no text is shuffled to it.
+    assert [(n, few) for n, few, _ in seen] == [(1, True)] and "BroadcastHashJoin" in seen[0][2] and "SortMergeJoin" not in seen[0][2]
+    assert spark.read.parquet(folder).count() == 402
