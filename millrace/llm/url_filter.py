@@ -1,9 +1,15 @@
 """URL filters: domain rules, then pattern rules found by their rarest literal token.
 
 A pattern rule is a regular expression with the literal tokens (runs of a-z and 0-9 in the lower-cased URL) that every
-URL it matches must have, or with alternatives of which every such URL has one. The rule is indexed under the one of its
-tokens that the fewest URLs have, counted over all URLs, or under all of its alternatives. A URL's own tokens fetch candidate rules from that index, and only those run their regular expressions. All of it
-is Spark's own functions in one pass over the URLs, without a shuffle of them: the rules are a parameter of bounded size.
+URL it matches must have, or with alternatives of which every such URL has one; that they are bound to occur is checked
+against the parsed expression (literal_tokens). The rule is indexed under the one of its tokens that the fewest URLs have,
+counted over all URLs, or under all of its alternatives. A URL's own tokens fetch candidate rules from that index, and only
+those run their regular expressions. Domain rules are fetched by the host and its parent domains.
+
+Both indexes are hash tables that each worker gets once; URLs pass by them without a shuffle. More than RULES_A_PASS rules
+are cut into parts, and the URLs pass by one part after the other: a worker holds the rules of one part at a time.
+
+Expressions are written in what Java's, Python's and RE2's syntax have in common.
 
 Defined results: a null URL or one without "://" has an empty host and path, no rule, and verdict "allow"; empty tables
 give empty results; repeated rows are judged alike, each by itself; other columns of the input are not looked at.
@@ -11,13 +17,19 @@ give empty results; repeated rows are judged alike, each by itself; other column
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
+from re import _constants as K
+from re import _parser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rules are a parameter kept in memory by every task; more than this is refused.
-MAX_RULES = 10_000
+#: Rules that a worker holds at a time, at about 300 bytes each, compiled expressions aside.
+RULES_A_PASS = 100_000
 
 
 @dataclass(frozen=True)
@@ -65,31 +77,84 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def tokens_of(url: Column) -> Column:
-    lowered = F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.regexp_extract_all(lowered, F.lit("([a-z0-9]+)"), F.lit(1)))
-
-
-def domain_rule(host: Column, path: Column, rules: tuple[DomainRule, ...]) -> Column:
-    """The longest rule whose host is the URL's or a parent domain and whose path starts the URL's: struct(rule, verdict)."""
-    by_host: dict[str, list[DomainRule]] = {}
+def tokens_of(url: str) -> tuple[str, set[str]]:
+    """The URL with A-Z lower-cased, and its tokens."""
+    lowered = url.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    return lowered, set(_TOKENS(lowered))
+
+
+_TOKENS = re.compile("[a-z0-9]+").findall
+_EDGE, _ANY = object(), object()
+
+
+def literal_tokens(pattern: str) -> tuple[set[str], list[set[str]]]:
+    """(tokens that every match must have, sets of tokens of which every match must have one).
+
+    A run of token characters counts if what stands on both of its sides can't be one: another literal, a set of such, or an
+    anchor. Anything else (repeats, classes, ends of the expression) leaves open how a token goes on, so its runs don't count.
+    """
+    sure: set[str] = set()
+    either: list[set[str]] = []
+    run: list[list[str]] | None = None  # what follows an edge so far: literals, or one group of alternatives
+    for item in [*_items(_parser.parse(pattern)), _ANY]:
+        if item is _EDGE:
+            if run and all(len(x) == 1 for x in run):
+                sure.add("".join(x[0] for x in run))
+            elif run and len(run) == 1:
+                either.append(set(run[0]))
+            run = []
+        elif item is _ANY:
+            run = None
+        elif run is not None:
+            run.append(item)
+    return sure, either
+
+
+def _items(parsed) -> Iterator:
+    """_EDGE, _ANY, or the alternatives of a stretch of token characters."""
+    for op, value in parsed:
+        if op is K.LITERAL:
+            yield [chr(value)] if _TOKENS(chr(value)) else _EDGE
+        elif op is K.AT:
+            yield _EDGE
+        elif op is K.IN:
+            yield _EDGE if all(o is K.LITERAL and not _TOKENS(chr(v)) for o, v in value) else _ANY
+        elif op is K.SUBPATTERN:
+            yield from _items(value[-1])
+        elif op is K.BRANCH:
+            ways = [list(_items(w)) for w in value[1]]
+            if all(w and all(x is _EDGE for x in w) for w in ways):
+                yield _EDGE
+            elif all(w and all(isinstance(x, list) and len(x) == 1 for x in w) for w in ways):
+                yield ["".join(x[0] for x in w) for w in ways]
+            else:
+                yield _ANY
+        else:
+            yield _ANY
+
+
+def check_rules(rules: tuple[PatternRule, ...]) -> None:
     for r in rules:
-        by_host.setdefault(r.host, []).append(r)
-    known = F.create_map(*[x for h, own in by_host.items() for x in (F.lit(h), F.array(*[F.struct(F.lit(r.path).alias("path"), F.lit(r.host + r.path).alias("rule"), F.lit(r.verdict).alias("verdict")) for r in own]))])
-    labels = F.split(host, r"\.")
-    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    fitting = F.filter(F.flatten(F.filter(F.transform(parents, lambda p: F.element_at(known, p)), lambda x: x.isNotNull())), lambda r: F.startswith(path, r["path"]))
-    longest = F.array_sort(F.transform(fitting, lambda r: F.struct((-F.length(r["rule"])).alias("rank"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
-    return F.try_element_at(longest, F.lit(1))
+        sure, either = literal_tokens(r.pattern)
+        if not r.tokens and not r.either or not set(r.tokens) <= sure or r.either and not any(own <= set(r.either) for own in either):
+            raise ValueError(f"{r.pattern}: tokens {r.tokens or r.either} aren't bound to occur in a match; sure are {sorted(sure)} and {either}")
 
 
 def rarest_tokens(urls: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str, list[int]]:
     """Index: token -> numbers of the rules kept under it. Frequencies are counted over all URLs; one count per rule token comes to the driver."""
-    wanted = sorted({t for r in rules for t in r.tokens})
-    if not wanted:
-        return {}
-    seen = urls.select(F.explode(F.array_intersect(tokens_of(F.col("url")), F.lit(wanted))).alias("token")).groupBy("token").count()
-    counts = {r["token"]: r["count"] for r in seen.collect()}
+    wanted = urls.sparkSession.sparkContext.broadcast({t for r in rules for t in r.tokens})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter[str] = Counter()
+        for batch in batches:
+            for url in batch.column("url").to_pylist():
+                seen.update(tokens_of(url or "")[1] & wanted.value)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["token", "n"])
+
+    counts = {}
+    if wanted.value:
+        found = urls.select("url").mapInArrow(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+        counts = {r["token"]: r["n"] for r in found.collect()}
     index: dict[str, list[int]] = {}
     for i, r in enumerate(rules):
         for token in [min(r.tokens, key=lambda t: (counts.get(t, 0), t))] if r.tokens else sorted(set(r.either)):
@@ -97,25 +162,61 @@ def rarest_tokens(urls: DataFrame, rules: tuple[PatternRule, ...]) -> dict[str,
     return index
 
 
-def pattern_verdict(url: Column, rules: tuple[PatternRule, ...], index: dict[str, list[int]]) -> Column:
-    """Verdict of the first rule, in the given order, among the candidates that the URL's tokens fetch; null if none matches."""
-    if not index:
-        return F.lit(None).cast("string")
-    fetched = F.create_map(*[x for t, own in sorted(index.items()) for x in (F.lit(t), F.array(*map(F.lit, own)))])
-    patterns, verdicts = F.array(*[F.lit(r.pattern) for r in rules]), F.array(*[F.lit(r.verdict) for r in rules])
-    lowered = F.translate(url, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    candidates = F.flatten(F.filter(F.transform(tokens_of(url), lambda t: F.element_at(fetched, t)), lambda x: x.isNotNull()))
-    hits = F.filter(F.array_sort(candidates), lambda i: F.regexp_like(lowered, F.get(patterns, i)))
-    return F.get(verdicts, F.get(hits, F.lit(0)))
+def domain_index(rules: tuple[DomainRule, ...]) -> dict[str, list[tuple[int, str, str, str]]]:
+    """Host -> (minus length, rule, path, verdict) of its rules, best first."""
+    index: dict[str, list[tuple[int, str, str, str]]] = {}
+    for r in rules:
+        index.setdefault(r.host, []).append((-len(r.host + r.path), r.host + r.path, r.path, r.verdict))
+    return {host: sorted(own) for host, own in index.items()}
+
+
+def domain_rule(host: str, path: str, index: dict[str, list[tuple[int, str, str, str]]]) -> tuple[int, str, str, str] | None:
+    """The longest rule whose host is the URL's or a parent domain and whose path starts the URL's."""
+    best, at = None, 0
+    while True:
+        for rule in index.get(host[at:], ()):
+            if path.startswith(rule[2]):
+                best = rule if best is None else min(best, rule)
+                break
+        at = host.find(".", at) + 1
+        if not at:
+            return best
+
+
+def one_pass(judged: DataFrame, domains: tuple[DomainRule, ...], patterns: tuple[PatternRule, ...]) -> DataFrame:
+    """judged with what these rules say: a longer domain rule replaces the one found before, a pattern rule only fills what is open."""
+    check_rules(patterns)
+    index = rarest_tokens(judged, patterns)
+    shared = judged.sparkSession.sparkContext.broadcast((domain_index(domains), index, [(r.pattern, r.verdict) for r in patterns]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hosts, fetched, rules = shared.value
+        compiled: dict[int, re.Pattern] = {}
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("url", "host", "path", "rule", "base", "found")}
+            for row, (url, host, path) in enumerate(zip(columns["url"], columns["host"], columns["path"], strict=True)):
+                fits = domain_rule(host, path, hosts)
+                old = columns["rule"][row]
+                if fits and (old is None or fits[:2] < (-len(old), old)):
+                    columns["rule"][row], columns["base"][row] = fits[1], fits[3]
+                if columns["found"][row] is None and url:
+                    lowered, tokens = tokens_of(url)
+                    for k in sorted({k for t in tokens if t in fetched for k in fetched[t]}):
+                        if k not in compiled:
+                            compiled[k] = re.compile(rules[k][0])
+                        if compiled[k].search(lowered):
+                            columns["found"][row] = rules[k][1]
+                            break
+            out = [batch.column("id"), *[batch.column(c) for c in ("url", "host", "path")], *[pa.array(columns[c], pa.string()) for c in ("rule", "base", "found")]]
+            yield pa.RecordBatch.from_arrays(out, ["id", "url", "host", "path", "rule", "base", "found"])
+
+    return judged.mapInArrow(run, judged.schema)
 
 
 def judge_urls(urls: DataFrame, domain_rules: tuple[DomainRule, ...] = DOMAIN_RULES, pattern_rules: tuple[PatternRule, ...] = PATTERN_RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """id, host, path, rule, verdict: the longest domain rule's verdict, else the first matching pattern rule's, else "allow"."""
-    if len(domain_rules) + len(pattern_rules) > MAX_RULES or any(not r.tokens and not r.either for r in pattern_rules):
-        raise ValueError(f"at most {MAX_RULES} rules, and a literal token for every pattern rule")
-    narrow = urls.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
-    index = rarest_tokens(narrow, pattern_rules)
-    placed = narrow.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    base = domain_rule(F.col("host"), F.col("path"), domain_rules) if domain_rules else F.lit(None).cast("struct<rank:int,rule:string,verdict:string>")
-    judged = placed.withColumn("base", base)
-    return judged.select(F.col("id").alias(id_col), "host", "path", F.col("base.rule").alias("rule"), F.coalesce("base.verdict", pattern_verdict(F.col("url"), pattern_rules, index), F.lit("allow")).alias("verdict"))
+    url, none = F.col(url_col), F.lit(None).cast("string")
+    judged = urls.select(F.col(id_col).alias("id"), url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"), none.alias("rule"), none.alias("base"), none.alias("found"))
+    for at in range(0, max(len(domain_rules), len(pattern_rules)), RULES_A_PASS):
+        judged = one_pass(judged, domain_rules[at : at + RULES_A_PASS], pattern_rules[at : at + RULES_A_PASS])
+    return judged.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("base", "found", F.lit("allow")).alias("verdict"))
