@@ -11,11 +11,14 @@ agree in a register with a probability of their Jaccard similarity.
 3. In a bucket, registers are compared. A pair goes on if its estimate, corrected for registers that agree by chance of
    compression, isn't more than five deviations below the threshold. A spanning forest of these pairs leaves the task.
 4. The forests' components are the candidate groups: every link is inside one. Full sets of their members are made from
-   the texts again and compared exactly, all pairs of a group in blocks of bounded size; again only forests leave.
-   Groups beyond one block are compared within chunks that share some hub members; then members outside the group's
-   main component, if any, are compared with all its others.
+   the texts again and compared exactly; again only forests leave.
 5. Components of the verified links, and the smallest id in each.
 
+Buckets and groups beyond one block (of members, for groups also of shingles) are compared within chunks that share some
+hub members; then members outside the main component, if any, are compared with all others (in_blocks). Near-copies of
+one text thus cost a constant number of blocks each, however many they are. What stays quadratic is a bucket or group
+of more than a block whose members are mostly not linked to each other.
+
 No task holds more than two chunks of a bucket or group; no pairs are listed; nothing of the corpus goes to the driver.
 
 Defined results: null and empty texts have empty sets and are linked with nothing; texts with fewer words than a shingle
@@ -27,12 +30,12 @@ kept); empty tables give empty results. Other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
@@ -44,6 +47,8 @@ REGISTERS, BANDS = 128, 32
 ZEROS, MANTISSA, ROUNDS = 5, 9, 3
 #: Members of a bucket, and of a candidate group, that one side of a block holds.
 BUCKET_BLOCK, GROUP_BLOCK, HUBS = 512, 256, 16
+#: Shingles of all sets on one side of a block, on average (8 bytes each); a longer set is there alone or with few others.
+BLOCK_SHINGLES = 1 << 20
 #: A table of candidate members is broadcast up to so many rows (16 bytes each); beyond, Spark joins it by shuffling.
 BROADCAST_ROWS = 500_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -133,7 +138,7 @@ def least_estimate(percent: int) -> float:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n (size of the set), set (hash of the whole set; null if empty), regs (128 registers)."""
+    """id, row (hash of the text), n (size of the set), set (hash of the whole set; null if empty), regs (128 registers)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,11 +148,12 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", te
                     sizes.append(len(own))
                     hashes.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                     regs.append(registers(own).tobytes() if len(own) else None)
-                yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())], ["id", "n", "set", "regs"])
+                columns = [part.column("id"), part.column("row"), pa.array(sizes, pa.int64()), pa.array(hashes, pa.binary()), pa.array(regs, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "row", "n", "set", "regs"])
 
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    narrow = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n long, set binary, regs binary")
+    return narrow.mapInArrow(run, f"id {kind}, row long, n long, set binary, regs binary")
 
 
 def _regs(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -172,23 +178,18 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
     buckets = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("cid").alias("lo"), F.max("cid").alias("hi"), F.bit_xor(h).alias("sum")).filter("m > 1")
     once = written(buckets.groupBy("m", "lo", "hi", "sum").agg(F.min("key").alias("key")).select("key", "m"))
     small = F.broadcast(once) if once.count() <= BROADCAST_ROWS else once
-    members = rows.join(small, "key").withColumn("chunks", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int"))
-    members = members.join(classes.select("cid", "n", "regs"), "cid").withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int"))
-    blocks = members.select("key", "cid", "n", "regs", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    blocks = blocks.select("key", "cid", "n", "regs", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    members = rows.join(small, "key").withColumnRenamed("key", "g").withColumn("chunks", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int"))
+    members = members.join(classes.select("cid", "n", "regs"), "cid")
     least = least_estimate(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for group in grouped(batches, ["key", "i", "j"]):
-            cid, n, regs, own = group.column("cid").to_numpy(), group.column("n").to_numpy(), _regs(group.column("regs")), group.column("own").to_numpy()
-            sets, cross = Sets(len(cid)), group.column("i")[0] != group.column("j")[0]
-            by_chance = chance(np.minimum(n, 1 << 40))
+        for group in grouped(batches, ["g", "i", "j"]):
+            cid, n, regs, label = group.column("cid").to_numpy(), group.column("n").to_numpy(), _regs(group.column("regs")), group.column("label").to_numpy()
+            sets, by_chance = Sets(len(cid)), chance(np.minimum(n, 1 << 40))
             for x in range(len(cid) - 1):
                 rest = slice(x + 1, None)
-                good = (estimates(regs[x], regs[rest], by_chance[x, rest]) >= least) & (100 * np.minimum(n[x], n[rest]) >= percent * np.maximum(n[x], n[rest]))
-                if cross:
-                    good &= own[rest] != own[x]
+                good = (estimates(regs[x], regs[rest], by_chance[x, rest]) >= least) & (100 * np.minimum(n[x], n[rest]) >= percent * np.maximum(n[x], n[rest])) & (label[rest] != label[x])
                 for y in (np.flatnonzero(good) + x + 1).tolist():
                     if sets.join(x, y):
                         a.append(int(cid[x]))
@@ -198,8 +199,43 @@ def candidate_edges(classes: DataFrame, percent: int) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    dealt = blocks.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    def compared(blocks: DataFrame) -> DataFrame:
+        return dealt(blocks.select("g", "i", "j", "cid", "label", "n", "regs")).mapInArrow(run, "a long, b long")
+
+    return in_blocks(members, compared, not once.filter(F.col("m") > BUCKET_BLOCK).isEmpty())
+
+
+def dealt(blocks: DataFrame) -> DataFrame:
+    """Blocks in partitions, each block in one piece."""
+    return blocks.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j")
+
+
+def in_blocks(members: DataFrame, compared: Callable[[DataFrame], DataFrame], any_large: bool) -> DataFrame:
+    """a, b: forests of the links inside groups, found by comparing blocks of members. members: g, cid, m (members of g), chunks, more.
+
+    Groups of one chunk are one block each. The others are compared within chunks that share about HUBS of their members
+    (one chunk's worth at most); then members outside the group's main component, if any, are compared with all others,
+    block by block: two members of one component needn't be compared. `compared` gives the links of g, i, j (one block's
+    keys), cid, label; pairs of one label needn't be found.
+    """
+    placed = members.withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int")).withColumn("label", F.col("cid"))
+    hub = F.pmod(F.xxhash64(F.lit(1), "cid"), F.greatest(F.ceil(F.col("m") / HUBS), "chunks")) == 0
+    at = F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
+    first = written(compared(placed.withColumn("i", F.explode(at)).withColumn("j", F.lit(0))))
+    if not any_large:
+        return first
+    large = written(placed.filter("chunks > 1"))
+    joined = components(first).withColumnRenamed("label", "found")
+    labelled = large.drop("label").join(joined, large["cid"] == joined["v"], "left").withColumn("label", F.coalesce("found", "cid")).drop("v", "found")
+    labelled = written(labelled)
+    parts = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"))
+    most = parts.groupBy("g").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all"))
+    main = written(most.select("g", F.col("most.label").alias("main"), (F.col("all") - F.col("most.k")).alias("others")).filter("others > 0"))
+    # Members outside the main component meet all members, block by block.
+    rest = written(labelled.join(main, "g").withColumn("blocks", F.ceil(F.col("others") * F.col("chunks") / F.col("m")).cast("int")))
+    asked = rest.filter("label <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(2), "cid"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.col("own"))
+    return first.unionByName(written(compared(asked.unionByName(met))))
 
 
 def links_in(sets: list[np.ndarray], labels: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
@@ -243,56 +279,46 @@ def verified(blocks: DataFrame, percent: int) -> DataFrame:
             found = list(links_in(sets, group.column("label").to_numpy(), percent))
             yield pa.RecordBatch.from_arrays([pa.array([int(cid[x]) for x, _ in found], pa.int64()), pa.array([int(cid[y]) for _, y in found], pa.int64())], ["a", "b"])
 
-    return blocks.select("g", "i", "j", "cid", "label", "shingles").repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(run, "a long, b long")
+    return dealt(blocks.select("g", "i", "j", "cid", "label", "shingles")).mapInArrow(run, "a long, b long")
 
 
 def full_sets(docs: DataFrame, members: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """cid, g, shingles: the whole sets of candidate classes, made from one text each. members: cid, g, rep, set."""
+    """cid, g, n, shingles: the whole sets of candidate classes, made from one text each. members: cid, g, rep, row.
+
+    Texts are asked for by id and hash of 64 bits; of rows that are alike in both, each task makes the first one's set.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: set[int] = set()  # classes whose text the task has seen: a part of its rows
         for batch in batches:
-            for part in slices(batch, "text"):
-                keep, out = [], []
-                for row, (own, wanted) in enumerate(zip(shingle_sets(texts_of(part, "text"), shingle), part.column("set").to_pylist(), strict=True)):
-                    if hashlib.blake2b(own.tobytes(), digest_size=16).digest() == wanted:  # else another text of the same id
-                        keep.append(row)
-                        out.append(own.tobytes())
-                kept = part.select(["cid", "g"]).take(pa.array(keep, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(out, pa.binary())], ["cid", "g", "shingles"])
-
-    few = members.select("cid", "g", "set", F.col("rep").alias("of"))
+            first = []
+            for row, cid in enumerate(batch.column("cid").to_pylist()):
+                if cid not in made:
+                    made.add(cid)
+                    first.append(row)
+            for part in slices(batch.take(pa.array(first, pa.int64())), "text"):
+                own = list(shingle_sets(texts_of(part, "text"), shingle))
+                columns = [part.column("cid"), part.column("g"), pa.array([len(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["cid", "g", "n", "shingles"])
+
+    few = members.select("cid", "g", F.col("rep").alias("of"), F.col("row").alias("of_row"))
     few = F.broadcast(few) if members.count() <= BROADCAST_ROWS else few
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    picked = texts.join(few, texts["id"].eqNullSafe(F.col("of"))).select("text", "cid", "g", "set")
-    return picked.mapInArrow(run, "cid long, g long, shingles binary").dropDuplicates(["cid"])
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("row"), F.col(text_col).alias("text"))
+    picked = texts.join(few, texts["id"].eqNullSafe(F.col("of")) & (texts["row"] == F.col("of_row"))).select("text", "cid", "g")
+    return picked.mapInArrow(run, "cid long, g long, n long, shingles binary").dropDuplicates(["cid"])
 
 
 def links(docs: DataFrame, classes: DataFrame, percent: int, shingle: int, id_col: str, text_col: str) -> DataFrame:
     """a, b: exact links between classes; their components are those of all links."""
     groups = components(candidate_edges(classes, percent))
-    members = written(groups.join(classes.select(F.col("cid").alias("v"), "rep", "set"), "v").select(F.col("v").alias("cid"), F.col("label").alias("g"), "rep", "set"))
+    members = written(groups.join(classes.select(F.col("cid").alias("v"), "rep", "row"), "v").select(F.col("v").alias("cid"), F.col("label").alias("g"), "rep", "row"))
     sets = written(full_sets(docs, members, shingle, id_col, text_col))
-    sizes = written(sets.groupBy("g").agg(F.count(F.lit(1)).alias("m")))
-    sized = sets.join(sizes, "g").withColumn("chunks", F.ceil(F.col("m") / (GROUP_BLOCK - HUBS)).cast("int")).withColumn("own", F.pmod(F.xxhash64("cid"), "chunks").cast("int")).withColumn("label", F.col("cid"))
-    one = sized.filter(F.col("m") <= GROUP_BLOCK).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    # Larger groups: chunks with shared hubs first. About HUBS members of each group are hubs.
-    large = sized.filter(F.col("m") > GROUP_BLOCK)
-    hub = F.pmod(F.xxhash64(F.lit(1), "cid"), F.ceil(F.col("m") / HUBS)) == 0
-    at = F.when(hub, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("own"))
-    chunked = large.withColumn("i", F.explode(at)).withColumn("j", F.lit(0))
-    first = written(verified(one.unionByName(chunked), percent))
-    if sizes.filter(F.col("m") > GROUP_BLOCK).isEmpty():
-        return first
-    joined = components(first).withColumnRenamed("label", "found")
-    labelled = large.drop("label").join(joined, large["cid"] == joined["v"], "left").withColumn("label", F.coalesce("found", "cid")).drop("v", "found")
-    parts = labelled.groupBy("g", "label").agg(F.count(F.lit(1)).alias("k"))
-    main = written(parts.groupBy("g").agg(F.max(F.struct("k", "label")).alias("most"), F.sum("k").alias("all")).select("g", F.col("most.label").alias("main"), (F.col("all") - F.col("most.k")).alias("others")).filter("others > 0"))
-    # Members outside the main component meet all members, block by block.
-    rest = written(labelled.join(main, "g").withColumn("blocks", F.ceil(F.col("others") / GROUP_BLOCK).cast("int")))
-    asked = rest.filter("label <> main").withColumn("i", F.pmod(F.xxhash64(F.lit(2), "cid"), "blocks").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = rest.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("j", F.col("own"))
-    both = asked.select("g", "i", "j", "cid", "label", "shingles").unionByName(met.select("g", "i", "j", "cid", "label", "shingles"))
-    return first.unionByName(written(verified(both, percent)))
+    # A block has so many members, and so many shingles together, on average at most.
+    chunks = F.greatest(F.ceil(F.col("m") / (GROUP_BLOCK - HUBS)), F.ceil(F.col("total") / BLOCK_SHINGLES))
+    whole = (F.col("m") <= GROUP_BLOCK) & (F.col("total") <= 2 * BLOCK_SHINGLES) | (F.col("m") <= 2)
+    sizes = sets.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
+    sizes = written(sizes.select("g", "m", F.when(whole, 1).otherwise(F.least("m", chunks)).cast("int").alias("chunks")))
+    return in_blocks(sets.join(sizes, "g"), lambda blocks: verified(blocks, percent), not sizes.filter("chunks > 1").isEmpty())
 
 
 def with_sets(docs: DataFrame, shingle: int = SHINGLE, text_col: str = "text") -> DataFrame:
@@ -313,7 +339,10 @@ def near_duplicates(docs: DataFrame, percent: int = LEAST_PERCENT, shingle: int
     sets: also set (hash of the row's whole set; null if empty) and chosen (whether id and set are those that represent the component).
     """
     rows = written(sketches(docs, shingle, id_col, text_col))
-    classes = rows.filter("n > 0").groupBy("set").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    # A class is represented by its smallest row with an id, if it has one.
+    named = F.min(F.when(F.col("id").isNotNull(), F.struct("id", "row")))
+    classes = rows.filter("n > 0").groupBy("set").agg(F.coalesce(named, F.min(F.struct("id", "row"))).alias("best"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = classes.select("set", F.col("best.id").alias("rep"), F.col("best.row").alias("row"), "n", "regs")
     classes = written(classes.withColumn("cid", F.monotonically_increasing_id()))
     linked = components(links(docs, classes, percent, shingle, id_col, text_col))
     named = classes.select("cid", "set", "rep").join(linked.withColumnRenamed("v", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))

@@ -1,6 +1,6 @@
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -112,3 +112,19 @@ def test_components(spark):
     assert {got[i] for i in range(51)} == {got[0]} and got[100] == got[200] == got[300] and len({got[i] for i in range(1000, 1200)}) == 1
     assert len(set(got.values())) == 3
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_many_rows_without_id_and_long_sets(spark, monkeypatch):
+    """Groups of rows without id, of one id and of long texts, with blocks so small that all ways of comparing are taken."""
+    monkeypatch.setattr(hyperminhash, "BUCKET_BLOCK", 8)
+    monkeypatch.setattr(hyperminhash, "GROUP_BLOCK", 24)
+    monkeypatch.setattr(hyperminhash, "BLOCK_SHINGLES", 2_000)
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join(base[:i] + ["x"] + base[i + 1 :]) for i in range(0, 120, 2)]
+    long = " ".join(f"l{i}" for i in range(6_000))
+    rows = [(None, t) for t in near for _ in range(160)] + [(7, near[0]), (3, near[5]), (3, "an other text of this id"), (9, long), (8, long + " more"), (2, long + " yet more words")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows)
+    sizes = Counter((r.doc_id, r.component_id, r.kept) for r in got)
+    # Texts of this table are all within reach of each other: one component, named 3.
+    assert sizes == Counter({(None, 3, False): 9600, (7, 3, False): 1, (3, 3, True): 2, (9, 2, False): 1, (8, 2, False): 1, (2, 2, True): 1})
