@@ -15,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Chunks remembered by a worker for good, at about 150 bytes each: the first ones, hence the frequent ones. A third as many later ones are remembered for a while.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 #: Longer chunks are encoded each time, so that memory stays bounded by the number of chunks.
 LONGEST = 64
 #: A letter and one of these at a chunk's end are always matches of their own, so the chunk is put together from its two parts.
