@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 REMEMBERED = 300_000
 #: Longer chunks are encoded each time, so that memory stays bounded by the number of chunks.
 LONGEST = 64
+#: Chunks that are put together at a time.
+TOGETHER = 1 << 15
 #: A letter and one of these at a chunk's end are always matches of their own, so the chunk is put together from its two parts.
 TAILS = ",.;:!?"
 
@@ -73,15 +75,20 @@ class ChunkMemo:
         return self._joined([f or b"" for f in found] + [next(first) if h else b"" for h in heads], codes, starts, whole, len(chunks))
 
     def _joined(self, values: list[bytes], codes: np.ndarray, starts: np.ndarray, whole: np.ndarray, n: int) -> list[bytes]:
+        """Puts texts together from the values' units, TOGETHER chunks at a time, so that little is held beside them however long the texts are."""
         unit = np.dtype(f"u{self.width}")
         size = np.array([len(v) for v in values], np.int64) // self.width
         begin = np.cumsum(size) - size
         length = size[codes]
         length[np.repeat(whole, np.diff(starts)) & (codes < n)] = 0  # all of such a text is in its head
-        ends = np.cumsum(length)
-        pick = np.repeat(begin[codes] - (ends - length), length)
-        pick += np.arange(len(pick))
-        data, bounds = np.frombuffer(b"".join(values), unit)[pick].tobytes(), np.concatenate([[0], ends[starts[1:] - 1]]) * self.width
+        units, parts = np.frombuffer(b"".join(values), unit), []
+        for at in range(0, len(codes), TOGETHER):
+            own = length[at : at + TOGETHER]
+            ends = np.cumsum(own)
+            pick = np.repeat(begin[codes[at : at + TOGETHER]] - (ends - own), own)
+            pick += np.arange(len(pick))
+            parts.append(units[pick].tobytes())
+        data, bounds = b"".join(parts), np.concatenate([[0], np.cumsum(length)[starts[1:] - 1]]) * self.width
         return [data[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
     def _learn(self, chunks: set[str]) -> None:

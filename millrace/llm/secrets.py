@@ -145,7 +145,7 @@ def scan_secrets(versions: DataFrame, ledger_dir: str | None = None, rules: tupl
     spark = versions.sparkSession
     schema = f"blob string, rules array<string>, spans {SPANS}"
     folder = ledger_dir or shared_folder(spark)
-    spark.createDataFrame([], schema).write.mode("ignore").parquet(folder)
+    spark.range(0).select(F.lit("").alias("blob"), F.array().cast("array<string>").alias("rules"), F.array().cast(SPANS).alias("spans")).write.mode("ignore").parquet(folder)
     paths = written(manifest(versions, id_col, text_col))
     todo = written(unseen(paths, spark.read.schema(schema).parquet(folder), rules))
     n = todo.count()
@@ -180,18 +180,22 @@ def redact(docs: DataFrame, findings: DataFrame, text_col: str = "text", mask: s
     held = spans.agg(F.coalesce(F.sum(F.size("__found.spans") + 2), F.lit(0))).first()[0]
     spans = F.broadcast(spans) if held <= BROADCAST_SPANS else spans
 
+    def masked(text: str, own: list[dict]) -> str:
+        parts, at = [], 0
+        for span in own:
+            if span["start"] >= at:
+                parts += [text[at : span["start"]], mask]
+            at = max(at, span["end"])
+        return "".join([*parts, text[at:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(text_col).to_pylist()
-            for row, own in enumerate(batch.column("__spans").to_pylist()):
-                if own:
-                    parts, at = [], 0
-                    for span in own:
-                        if span["start"] >= at:
-                            parts += [texts[row][at : span["start"]], mask]
-                        at = max(at, span["end"])
-                    texts[row] = "".join([*parts, texts[row][at:]])
-            yield batch.drop_columns(["__spans"]).set_column(batch.schema.get_field_index(text_col), text_col, pa.array(texts, batch.schema.field(text_col).type))
+            for part in slices(batch, text_col):
+                found = part.column("__spans").is_valid().to_numpy(zero_copy_only=False)
+                texts = part.column(text_col)
+                if found.any():
+                    texts = pa.array([masked(t, own) if own else t for t, own in zip(texts.to_pylist(), part.column("__spans").to_pylist(), strict=True)], texts.type)
+                yield part.drop_columns(["__spans"]).set_column(part.schema.get_field_index(text_col), text_col, texts)
 
     keyed = docs.withColumn("__blob", blob_of(F.col(f"`{text_col}`")))
     joined = keyed.join(spans, keyed["__blob"] == spans["__found.blob"], "left")
