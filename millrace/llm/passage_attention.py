@@ -30,6 +30,8 @@ HIDDEN, GATE = 32, 16
 #: So many labelled documents are learned from.
 TRAINING_ROWS = 4_000
 PREDICT_FROM = 0.7
+#: Texts whose passages are encoded at a time: about 60 bytes of features and their making for each byte.
+BLOCK_BYTES = 512 << 10
 
 
 def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 x, first = passages(Block(texts_of(part, "text")))
                 own = np.split(x.astype(np.float16), first[1:])
                 yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), part.column("label"), pa.array([o.tobytes() for o in own], pa.binary())], ["id", "label", "passages"])
@@ -177,7 +179,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", BLOCK_BYTES):
                 score, n, best = scores(texts_of(part, "text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array(n, pa.int64()), pa.array(best, pa.int64())], ["id", "score", "n_passages", "top_passage"])
 
@@ -194,7 +196,7 @@ def keep_good(docs: DataFrame, model: Model | None, keep_from: float, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text_col):
+            for part in slices(batch, text_col, BLOCK_BYTES):
                 yield part.filter(pa.array(scores(texts_of(part, text_col), shared.value)[0] >= keep_from))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,7 +72,7 @@ def lowest_hashes(rows: DataFrame, n: int, keys: list[str], seed: int = 0, count
     return few.dropDuplicates(["__h", *keys]).orderBy("__h", *keys).limit(n).drop("__h")
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch whose texts have about `size` bytes together; a longer text is a part alone. No row is cut or lost."""
     lengths = batch.column(column).cast(pa.large_binary())
     offsets = np.frombuffer(lengths.buffers()[1], np.int64, len(lengths) + 1, lengths.offset * 8) if len(lengths) else np.zeros(1, np.int64)
