@@ -18,10 +18,13 @@ from pyspark.sql.types import BooleanType
 from ..functions import paths as P
 from ..functions import text as T
 from .chunking import chunk_files
+from .storage import stored
 
 KEY = ["project_id", "path"]
 #: Fixed values of the reports.
 STORAGE_BUDGET, REQUEST_SIZE, REQUESTS_A_DAY = 512 * 1024 * 1024, 64, 900
+#: Bytes of ignore rules that are broadcast.
+BROADCAST_RULES = 16 << 20
 #: Inputs of an embedding batch are padded to its longest: count * longest^2 stays below this.
 BATCH_COST = 4 * 4500 * 4500
 
@@ -92,12 +95,19 @@ def binary_file(contents: pd.Series) -> pd.Series:
 def decide(walked: DataFrame, ignore_files: DataFrame | None = None) -> DataFrame:
     """walked plus text and skip_reason (null: taken). Pruned directories are dropped silently. walked: project_id, path, size, content.
 
-    ignore_files: project_id, dir, rules. A project's rules are gathered into one row per project.
+    ignore_files: project_id, dir, rules. A project's rules are gathered into one row per project. Their bytes are counted;
+    up to BROADCAST_RULES they are broadcast, so contents don't move; beyond, the paths alone are shuffled to them, and the
+    ignored ones then meet the files by project and path.
     """
     rows = walked.filter(~P.denylisted(F.col("path")))
     if ignore_files is not None:
         levels = ignore_files.groupBy("project_id").agg(F.array_sort(F.collect_list(F.struct("dir", "rules"))).alias("__levels"))
-        rows = rows.join(levels, "project_id", "left").withColumn("__ignored", gitignored("path", "__levels")).drop("__levels")
+        held = ignore_files.agg(F.sum(F.coalesce(F.octet_length("rules"), F.lit(0)) + F.coalesce(F.octet_length("dir"), F.lit(0)) + 100).alias("n")).first()["n"]
+        if (held or 0) <= BROADCAST_RULES:
+            rows = rows.join(F.broadcast(levels), "project_id", "left").withColumn("__ignored", gitignored("path", "__levels")).drop("__levels")
+        else:
+            paths = rows.select(*KEY).distinct().join(levels, "project_id").withColumn("__ignored", gitignored("path", "__levels")).filter("__ignored")
+            rows = rows.join(paths.select(*KEY, "__ignored"), KEY, "left").withColumn("__ignored", F.coalesce("__ignored", F.lit(False)))
     else:
         rows = rows.withColumn("__ignored", F.lit(False))
     text = T.normal_text(F.make_valid_utf8(F.col("content").cast("string")))
@@ -114,10 +124,16 @@ def skip_tally(decided: DataFrame) -> DataFrame:
 
 
 def diff_files(walked: DataFrame, existing: DataFrame) -> DataFrame:
-    """project_id, path, state: new, changed, unchanged or stale. Both: project_id, path, content_hash."""
-    a, b = walked.select(*KEY, F.col("content_hash").alias("now")), existing.select(*KEY, F.col("content_hash").alias("was"))
-    state = F.when(F.col("was").isNull(), "new").when(F.col("now").isNull(), "stale").when(F.col("now") == F.col("was"), "unchanged").otherwise("changed")
-    return a.join(b, KEY, "full_outer").select(*KEY, state.alias("state"))
+    """project_id, path, state: new, changed, unchanged or stale. Both: project_id, path, content_hash.
+
+    Null keys are keys like any other. A file without a hash (its text is null) is there, and equals another without one.
+    """
+    a = walked.select(*KEY, F.col("content_hash").alias("now"), F.lit(True).alias("here"))
+    b = existing.select(F.col("project_id").alias("p"), F.col("path").alias("f"), F.col("content_hash").alias("was"), F.lit(True).alias("there"))
+    state = F.when(F.col("there").isNull(), "new").when(F.col("here").isNull(), "stale").when(F.col("now").eqNullSafe(F.col("was")), "unchanged").otherwise("changed")
+    both = a.join(b, a["project_id"].eqNullSafe(b["p"]) & a["path"].eqNullSafe(b["f"]), "full_outer")
+    own = [F.when(F.col("here"), F.col(c)).otherwise(F.col(d)).alias(c) for c, d in (("project_id", "p"), ("path", "f"))]
+    return both.select(*own, state.alias("state"))
 
 
 def stale_files(walked: DataFrame, existing: DataFrame) -> DataFrame:
@@ -209,6 +225,11 @@ def cached_vectors(texts: DataFrame, cache: DataFrame, model_id: str, dim: int)
     return texts.join(good, "text_hash", "left")
 
 
+def purged_cache(cache: DataFrame, model_id: str, dim: int) -> DataFrame:
+    """The cache without this model's vectors of another length, which are never used again. Rewritten by its owner, at times of their choice."""
+    return cache.filter(~(F.col("model_id").eqNullSafe(model_id) & ~F.size("embedding").eqNullSafe(dim)))
+
+
 def batches_of(lengths: list[int], cost: int = BATCH_COST) -> list[list[int]]:
     """Row numbers in batches of similar length: count * longest^2 is at most cost, but for a row that is alone above it."""
     out: list[list[int]] = []
@@ -239,8 +260,9 @@ def embed_pending(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int,
     """(chunks with vectors, new cache rows). Each distinct text that the cache misses is embedded once; the model is made once per task."""
     text = T.model_input(T.embedding_text(F.col("path"), F.col("symbol"), F.col("start_line"), F.col("end_line"), F.col("content")))
     todo = pending_embeddings(chunks).withColumn("__text", text).withColumn("text_hash", T.sha256(F.col("__text")))
-    known = cached_vectors(todo.select("chunk_id", "text_hash"), cache, model_id, dim)
-    missing = todo.join(known.filter("vector IS NULL").select("chunk_id"), "chunk_id", "left_semi").groupBy("text_hash").agg(F.first("__text").alias("text"))
+    known = stored(cached_vectors(todo.select("chunk_id", "text_hash"), cache, model_id, dim))
+    lacking = known.filter("vector IS NULL").select("text_hash").distinct()
+    missing = todo.join(lacking, "text_hash", "left_semi").groupBy("text_hash").agg(F.first("__text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         embed = factory()
@@ -254,8 +276,10 @@ def embed_pending(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int,
                 vectors[rows] = made
             yield pa.RecordBatch.from_arrays([batch.column("text_hash"), pa.array(list(vectors), pa.list_(pa.float32()))], ["text_hash", "vector"])
 
-    fresh = missing.repartition("text_hash").mapInArrow(run, "text_hash string, vector array<float>")
-    found = known.filter("vector IS NOT NULL").select("chunk_id", "vector").unionByName(known.filter("vector IS NULL").select("chunk_id", "text_hash").join(fresh, "text_hash").select("chunk_id", "vector"))
+    # Written before it is used twice, so that the model sees each text once.
+    fresh = stored(missing.mapInArrow(run, "text_hash string, vector array<float>"))
+    made = known.filter("vector IS NULL").select("chunk_id", "text_hash").join(fresh, "text_hash").select("chunk_id", "vector")
+    found = known.filter("vector IS NOT NULL").select("chunk_id", "vector").unionByName(made)
     return set_embeddings(chunks, found, dim), fresh.select(F.lit(model_id).alias("model_id"), "text_hash", F.col("vector").alias("embedding"))
 
 

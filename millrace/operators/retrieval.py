@@ -1,17 +1,22 @@
 """Retrieval for many queries at once: vector, full-text, fuzzy and reference arms, rank fusion, hybrid and multi-project search.
 
-Chunks and queries meet within a project. Texts and vectors never move: arms give (query_id, chunk_id, score), cut to
-their pools, and metadata are joined after the top rows are known. Every ranking ends in the chunk's id.
+Chunks and queries meet within a project, in the task that reads the chunks: a block of queries (BROADCAST_QUERIES at most)
+is broadcast, each task scores its chunks against it and keeps the k best of each query. Only those leave it, at most
+k rows for each query and task: texts, vectors and postings never move, and scores of all pairs are never listed. More
+queries than a block has make further passes over the chunks. Metadata are joined after the top rows are known. Every
+ranking ends in the chunk's id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
 
@@ -20,8 +25,10 @@ VECTOR_K, TEXT_K, FUZZY_K, REFERENCE_CAP = 20, 20, 25, 100
 POOLS, WEIGHTS, RANK_CONSTANT = {"vector": 50, "fts": 50, "trigram": 25}, {"vector": 1.0, "fts": 1.0, "trigram": 0.5}, 60
 ARM_ORDER = {"vector": 0, "fts": 1, "trigram": 2}
 TERM_WEIGHT, TERM_CAP, WORD_SIMILARITY = 0.1, 256, 0.6
-#: A table of queries is broadcast up to so many rows; beyond, it is joined by shuffling (full text) or cut into such parts (vectors).
+#: Queries of one pass over the chunks, held by every task; a table of query words is broadcast up to so many rows.
 BROADCAST_QUERIES = 10_000
+#: Scores (chunks times queries) that a task computes at a time.
+BLOCK_SCORES = 1 << 21
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -38,85 +45,201 @@ def searchable_projects(projects: DataFrame, active_model: str, needs_vectors: b
     return projects.select("project_id", reason.isNull().alias("searchable"), reason.alias("reason"))
 
 
-def vector_search(chunks: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> DataFrame:
-    """query_id, chunk_id, score (cosine), rank. chunks: project_id, chunk_id, embedding; queries: query_id, project_id, vector.
-
-    Each batch of chunks is multiplied with a block of the queries and gives their k best rows of the batch.
+class Best:
+    """The k best rows of each query so far: score down, id up."""
+
+    def __init__(self, queries: int, k: int, id_type: pa.DataType):
+        self.k, self.floor = k, np.full(queries, -np.inf)
+        self.held = pa.table({"q": pa.array([], pa.int64()), "score": pa.array([], pa.float64()), "id": pa.array([], id_type)})
+        self.most = max(200_000, 2 * k * queries)
+
+    def add(self, scores: np.ndarray, eligible: np.ndarray, numbers: np.ndarray, ids: pa.Array) -> None:
+        """scores, eligible: chunks x queries; numbers: those of the queries."""
+        if len(scores) > self.k:
+            masked = np.where(eligible, scores, -np.inf)
+            eligible = eligible & (scores >= np.partition(masked, len(masked) - self.k, axis=0)[len(masked) - self.k])
+        row, column = np.nonzero(eligible & (scores >= self.floor[numbers]))
+        new = pa.table({"q": pa.array(numbers[column], pa.int64()), "score": pa.array(scores[row, column], pa.float64()), "id": ids.take(pa.array(row))})
+        self.held = pa.concat_tables([self.held, new])
+        if self.held.num_rows > self.most:
+            self.cut()
+
+    def cut(self) -> pa.Table:
+        held = self.held.sort_by([("q", "ascending"), ("score", "descending"), ("id", "ascending")]).combine_chunks()
+        q = held.column("q").to_numpy()
+        first = np.searchsorted(q, q)
+        self.held = held.filter(pa.array(np.arange(len(q)) - first < self.k))
+        q, score = self.held.column("q").to_numpy(), self.held.column("score").to_numpy()
+        last = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1)
+        self.floor[q[last]] = score[last]
+        return self.held
+
+
+def best_of_tasks(chunks: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: Callable) -> DataFrame:
+    """query_id, chunk_id, score: the k best chunks of each query in each task. chunks: project_id, chunk_id, more; queries: query_id, project_id, asked.
+
+    prepare(list of `asked`) makes what a project's queries are scored with; score(that, rows of one project) gives
+    parts of (scores, eligible, numbers of the queries, ids), chunks x queries each.
     """
     n = queries.count()
     if n > BROADCAST_QUERIES:
-        part = F.pmod(F.xxhash64("query_id"), F.lit(-(-n // BROADCAST_QUERIES)))
-        parts = [queries.filter(part == i) for i in range(-(-n // BROADCAST_QUERIES))]
-        out = vector_search(chunks, parts[0], k)
+        blocks = -(-n // BROADCAST_QUERIES)
+        kept = queries.withColumn("__part", F.pmod(F.xxhash64("query_id", "project_id"), F.lit(blocks)))
+        parts = [best_of_tasks(chunks, kept.filter(F.col("__part") == i).drop("__part"), k, prepare, score) for i in range(blocks)]
+        out = parts[0]
         for p in parts[1:]:
-            out = out.unionByName(vector_search(chunks, p, k))
+            out = out.unionByName(p)
         return out
-    own = queries.filter("vector IS NOT NULL").select("query_id", "project_id", F.col("vector").cast("array<double>")).collect()
-    by_project: dict = {}
-    for q in own:  # BROADCAST_QUERIES at most
-        by_project.setdefault(q.project_id, []).append((q.query_id, q.vector))
-    kind = queries.schema["query_id"].dataType.simpleString()
+    asked = queries.filter("asked IS NOT NULL").select("query_id", "project_id", "asked").toArrow()  # BROADCAST_QUERIES or so
+    shared = chunks.sparkSession.sparkContext.broadcast(asked.sort_by([("project_id", "ascending"), ("query_id", "ascending")]))
+    id_type = to_arrow_type(chunks.schema["chunk_id"].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        projects, wanted = table.column("project_id").combine_chunks(), table.column("asked")
+        places: dict = {}
+        for number, project in enumerate(projects.to_pylist()):
+            places.setdefault(project, []).append(number)
+        made: dict = {}
+        best = Best(table.num_rows, k, id_type)
         for batch in batches:
-            projects = np.array(batch.column("project_id").to_pylist(), dtype=object)
-            vectors = batch.column("embedding").to_pylist()
-            found: list[tuple] = []
-            for project, asked in by_project.items():
-                rows = np.flatnonzero(projects == project)
-                rows = rows[[len(vectors[r]) == len(asked[0][1]) for r in rows]] if len(rows) else rows
-                if not len(rows):
+            coded = batch.column("project_id").dictionary_encode()
+            for code, project in enumerate(coded.dictionary.to_pylist()):
+                if project not in places:
                     continue
-                x, q = np.array([vectors[r] for r in rows], np.float64), np.array([v for _, v in asked], np.float64)
-                score = (q @ x.T) / np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None], 1e-300)
-                take = min(k, len(rows))
-                for i, (query, _) in enumerate(asked):
-                    edge = np.partition(score[i], len(rows) - take)[len(rows) - take]
-                    # Scores are ranked by six digits: what may round to the edge's stays.
-                    found += [(query, int(rows[j]), float(score[i, j])) for j in np.flatnonzero(score[i] >= edge - 1.001e-6)]
-            ids = batch.column("chunk_id").take(pa.array([r for _, r, _ in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array([q for q, _, _ in found], queries_type), ids, pa.array([s for _, _, s in found], pa.float64())], ["query_id", "chunk_id", "score"])
+                if project not in made:
+                    made[project] = (np.array(places[project]), prepare(wanted.take(pa.array(places[project])).to_pylist()))
+                numbers, ready = made[project]
+                rows = batch.filter(pc.fill_null(pc.equal(coded.indices, code), False))
+                for scores, eligible, ids in score(ready, rows):
+                    best.add(scores, eligible, numbers, ids)
+        found = best.cut()
+        ids = table.column("query_id").combine_chunks().take(found.column("q").combine_chunks())
+        yield from pa.table({"query_id": ids, "chunk_id": found.column("id"), "score": found.column("score")}).combine_chunks().to_batches()
 
-    queries_type = pa.int64() if kind == "bigint" else pa.int32() if kind == "int" else pa.string()
-    chunk_kind = chunks.schema["chunk_id"].dataType.simpleString()
-    scored = chunks.filter("embedding IS NOT NULL").select("project_id", "chunk_id", "embedding").mapInArrow(run, f"query_id {kind}, chunk_id {chunk_kind}, score double")
-    return top_k(scored.withColumn("score", F.round("score", 6)), k)
+    kinds = [f"{c} {t.schema[c].dataType.simpleString()}" for t, c in ((queries, "query_id"), (chunks, "chunk_id"))]
+    return chunks.mapInArrow(run, f"{', '.join(kinds)}, score double")
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """project_id, chunk_id, lexeme, positions: the words of content and search text, pre-aggregated per chunk."""
-    words = chunks.select("project_id", "chunk_id", F.posexplode(T.lexemes(F.col("search_text"))).alias("pos", "lexeme"))
-    return words.groupBy("project_id", "chunk_id", "lexeme").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+def _row_blocks(rows: int, queries: int) -> Iterator[tuple[int, int]]:
+    step = max(1, BLOCK_SCORES // max(queries, 1))
+    for at in range(0, rows, step):
+        yield at, min(rows, at + step)
 
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """query_id, project_id, term (array of lexemes): white-space terms, each once; `or` says nothing; a term of several lexemes is a phrase."""
-    terms = F.array_distinct(F.filter(F.transform(F.split("text", r"\s+"), T.lexemes), lambda t: (F.size(t) > 0) & (t != F.array(F.lit("or")))))
-    return queries.select("query_id", "project_id", F.explode(terms).alias("term"))
+def vector_search(chunks: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> DataFrame:
+    """query_id, chunk_id, score (cosine, six digits), rank. chunks: project_id, chunk_id, embedding; queries: query_id, project_id, vector.
+
+    Vectors of another length than the query's, or without any, aren't compared with it.
+    """
 
+    def prepare(asked: list) -> list[tuple[np.ndarray, np.ndarray]]:
+        lengths = np.array([len(v) for v in asked])
+        return [(lengths == d, np.array([v for v in asked if len(v) == d], np.float64)) for d in np.unique(lengths).tolist()]
+
+    def score(ready: list, rows: pa.RecordBatch) -> Iterator[tuple]:
+        lengths = pc.list_value_length(rows.column("embedding")).to_numpy()
+        for which, q in ready:
+            same = rows.filter(pa.array(lengths == q.shape[1]))
+            flat = same.column("embedding").flatten()
+            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(same.num_rows, q.shape[1])
+            for a, b in _row_blocks(same.num_rows, len(which)):
+                norms = np.linalg.norm(x[a:b], axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
+                found = (x[a:b] @ q.T) / np.maximum(norms, 1e-300)
+                scores = np.zeros((b - a, len(which)))
+                scores[:, which] = np.copysign(np.floor(np.abs(found) * 1e6 + 0.5) / 1e6, found)
+                yield scores, np.broadcast_to(which, scores.shape), same.column("chunk_id").slice(a, b - a)
+
+    asked = queries.select("query_id", "project_id", F.col("vector").cast("array<double>").alias("asked"))
+    rows = chunks.filter("embedding IS NOT NULL").select("project_id", "chunk_id", "embedding")
+    return top_k(best_of_tasks(rows, asked, k, prepare, score).withColumn("score", F.round("score", 6)), k)
+
+
+class WordIndex:
+    """Queries by the words they ask for."""
+
+    def __init__(self, asked: list[list[str]], more: list[str] = ()):
+        """asked: the distinct words of each query; more: words that get a number too."""
+        code: dict[str, int] = {}
+        pairs = np.array([(code.setdefault(w, len(code)), q) for q, own in enumerate(asked) for w in own], np.int64).reshape(-1, 2)
+        for w in more:
+            code.setdefault(w, len(code))
+        self.code, self.queries = code, len(asked)
+        self.words = pa.array(list(code), pa.string())
+        order = np.argsort(pairs[:, 0], kind="stable")
+        self.of = pairs[order, 1]
+        self.count = np.bincount(pairs[:, 0], minlength=len(code))
+        self.first = np.cumsum(self.count) - self.count
+
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """Number of each word; -1 for those that nobody asks for."""
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def sums(self, row: np.ndarray, word: np.ndarray, n: np.ndarray, rows: int) -> np.ndarray:
+        """rows x queries: sum of n over the row's words that the query asks for. Each (row, word) once."""
+        length = self.count[word]
+        pick = np.repeat(self.first[word] - (np.cumsum(length) - length), length) + np.arange(length.sum())
+        return np.bincount(np.repeat(row, length) * self.queries + self.of[pick], np.repeat(n, length), rows * self.queries).reshape(rows, self.queries)
+
+
+def _flat(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(all items, row of each item)."""
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return lists.flatten(), np.repeat(np.arange(len(lists)), lengths)
 
-def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K, index: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, score, rank: 0.1 for each occurrence (TERM_CAP a term at most) of the query's terms.
 
-    A term meets the postings of its first lexeme; a phrase then checks that the others follow, position by position.
+def query_terms(queries: DataFrame) -> DataFrame:
+    """query_id, project_id, asked: white-space terms, each once, as arrays of lexemes; `or` says nothing; a term of several lexemes is a phrase."""
+    terms = F.array_distinct(F.filter(F.transform(F.split("text", r"\s+"), T.lexemes), lambda t: (F.size(t) > 0) & (t != F.array(F.lit("or")))))
+    return queries.select("query_id", "project_id", terms.alias("asked"))
+
+
+def chunk_words(chunks: DataFrame) -> DataFrame:
+    """project_id, chunk_id, words: the lexemes of content and search text, in order. May be stored with an index and given to the searches for the chunks."""
+    return chunks.select("project_id", "chunk_id", (F.col("words") if "words" in chunks.columns else T.lexemes(F.col("search_text"))).alias("words"))
+
+
+def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K) -> DataFrame:
+    """query_id, chunk_id, score, rank: 0.1 for each occurrence (TERM_CAP a term at most) of the query's terms; a phrase occurs where its lexemes follow each other."""
+
+    def prepare(asked: list) -> tuple[WordIndex, list[tuple[int, list[int]]]]:
+        phrases = [(q, t) for q, own in enumerate(asked) for t in own if len(t) > 1]
+        index = WordIndex([[t[0] for t in own if len(t) == 1] for own in asked], [w for _, t in phrases for w in t])
+        return index, [(q, [index.code[w] for w in t]) for q, t in phrases]
+
+    def score(ready: tuple, rows: pa.RecordBatch) -> Iterator[tuple]:
+        index, phrases = ready
+        for a, b in _row_blocks(rows.num_rows, index.queries):
+            part = rows.slice(a, b - a)
+            words, row = _flat(part.column("words"))
+            word = index.numbers(words)
+            known = word >= 0
+            pair, n = np.unique(row[known] * max(len(index.words), 1) + word[known], return_counts=True)
+            total = index.sums(pair // max(len(index.words), 1), pair % max(len(index.words), 1), np.minimum(n, TERM_CAP), b - a)
+            order = np.argsort(word, kind="stable")
+            ordered = word[order]
+            for q, term in phrases:
+                at = order[np.searchsorted(ordered, term[0]) : np.searchsorted(ordered, term[0], "right")]
+                at = at[at + len(term) <= len(word)]
+                for step in range(1, len(term)):
+                    at = at[(word[at + step] == term[step]) & (row[at + step] == row[at])]
+                where, n = np.unique(row[at], return_counts=True)
+                total[where, q] += np.minimum(n, TERM_CAP)
+            yield total, total > 0, part.column("chunk_id")
+
+    found = best_of_tasks(chunk_words(chunks), query_terms(queries), k, prepare, score)
+    return top_k(found.withColumn("score", F.round(TERM_WEIGHT * F.col("score").cast("long"), 6)), k)
+
+
+def find_references(chunks: DataFrame, symbols: DataFrame, cap: int = REFERENCE_CAP) -> DataFrame:
+    """query_id, chunk_id, path, start_line, end_line, rank: chunks that have all lexemes of the symbol, by path and line. symbols: query_id, project_id, symbol.
+
+    Only words that some symbol has leave the tasks that read the chunks, if the symbols' words are few enough to be broadcast.
     """
-    index = postings(chunks) if index is None else index
-    terms = query_terms(queries)
-    single = terms.filter(F.size("term") == 1).select("query_id", "project_id", F.col("term")[0].alias("lexeme"))
-    hits = index.join(single, ["project_id", "lexeme"]).select("query_id", "chunk_id", F.least(F.size("positions"), F.lit(TERM_CAP)).alias("n"))
-    phrase = terms.filter(F.size("term") > 1).select("query_id", "project_id", "term", F.posexplode("term").alias("step", "lexeme"))
-    met = index.join(phrase, ["project_id", "lexeme"]).select("query_id", "chunk_id", "term", "step", F.explode(F.transform("positions", lambda p: p - F.col("step"))).alias("begin"))
-    whole = met.groupBy("query_id", "chunk_id", "term", "begin").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") == F.size("term"))
-    phrases = whole.groupBy("query_id", "chunk_id", "term").agg(F.least(F.count(F.lit(1)), F.lit(TERM_CAP)).cast("int").alias("n")).drop("term")
-    scored = hits.unionByName(phrases).groupBy("query_id", "chunk_id").agg(F.round(TERM_WEIGHT * F.sum("n"), 6).alias("score"))
-    return top_k(scored, k)
-
-
-def find_references(chunks: DataFrame, symbols: DataFrame, cap: int = REFERENCE_CAP, index: DataFrame | None = None) -> DataFrame:
-    """query_id, chunk_id, path, start_line, end_line, rank: chunks that have all lexemes of the symbol, by path and line. symbols: query_id, project_id, symbol."""
-    index = postings(chunks) if index is None else index
     wanted = symbols.select("query_id", "project_id", F.array_distinct(T.lexemes(F.col("symbol"))).alias("all")).select("*", F.explode("all").alias("lexeme"))
-    found = index.join(wanted, ["project_id", "lexeme"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("m"), F.first(F.size("all")).alias("n")).filter("m = n")
+    wanted = F.broadcast(wanted) if wanted.count() <= 10 * BROADCAST_QUERIES else wanted
+    words = chunk_words(chunks).select("project_id", "chunk_id", F.explode(F.array_distinct("words")).alias("lexeme"))
+    found = words.join(wanted, ["project_id", "lexeme"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("m"), F.first(F.size("all")).alias("n")).filter("m = n")
     placed = found.join(chunks.select("chunk_id", "path", "start_line", "end_line"), "chunk_id")
     order = Window.partitionBy("query_id").orderBy("path", "start_line", "chunk_id")
     return placed.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap).select("query_id", "chunk_id", "path", "start_line", "end_line", "rank")
@@ -128,6 +251,11 @@ def trigrams(text: Column) -> Column:
     return F.flatten(F.transform(padded, lambda w: F.transform(F.sequence(F.lit(1), F.char_length(w) - 2), lambda i: F.substr(w, i, F.lit(3)))))
 
 
+def word_trigrams(word: str) -> list[str]:
+    padded = f"  {word} "
+    return [padded[i : i + 3] for i in range(len(padded) - 2)]
+
+
 def word_similarity(probe: list[str], text: list[str], least: float = WORD_SIMILARITY) -> float:
     """Best share of the probe's trigrams in a run of the text's: common / (probe + run - common), over runs that begin and end on one of the probe's. Exact from `least` on: longer runs can't reach it."""
     wanted, best = set(probe), 0.0
@@ -147,26 +275,35 @@ def word_similarity(probe: list[str], text: list[str], least: float = WORD_SIMIL
 
 
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = FUZZY_K, least: float = WORD_SIMILARITY) -> DataFrame:
-    """query_id, chunk_id, score, rank for queries that name identifiers. A chunk below ceil(least * trigrams) shared trigrams can't reach the score, so an equi-join on trigrams finds all candidates."""
-    asked = queries.select("query_id", "project_id", trigrams(F.array_join(T.identifier_tokens(F.col("text")), " ")).alias("probe")).withColumn("probe", F.array_distinct("probe")).filter(F.size("probe") > 0)
-    grams = asked.select("query_id", "project_id", F.size("probe").alias("n"), F.explode("probe").alias("gram"))
-    # Each distinct word of the corpus is cut once; only its trigrams that some query asks for meet the chunks that hold it.
-    words = chunks.select("project_id", "chunk_id", F.explode(F.array_distinct(T.lexemes(F.col("search_text")))).alias("lexeme"))
-    cut = words.select("lexeme").distinct().select("lexeme", F.explode(F.array_distinct(trigrams(F.col("lexeme")))).alias("gram"))
-    useful = cut.join(grams.select("gram").distinct(), "gram").groupBy("lexeme").agg(F.collect_set("gram").alias("grams"))
-    held = words.join(useful, "lexeme").select("project_id", "chunk_id", F.explode("grams").alias("gram")).distinct()
-    near = held.join(grams, ["project_id", "gram"]).groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).alias("m"), F.first("n").alias("n")).filter(F.col("m") >= F.ceil(least * F.col("n")))
-    pairs = near.select("query_id", "chunk_id").join(asked.select("query_id", "probe"), "query_id").join(chunks.select("chunk_id", "search_text"), "chunk_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            score = [word_similarity(p, t, least) for p, t in zip(batch.column("probe").to_pylist(), batch.column("grams").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("chunk_id"), pa.array(score, pa.float64())], ["query_id", "chunk_id", "score"])
-
-    rows = pairs.select("query_id", "chunk_id", "probe", trigrams(F.col("search_text")).alias("grams"))
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("query_id", "chunk_id"))
-    scored = rows.mapInArrow(run, f"{kinds}, score double").withColumn("score", F.round("score", 6)).filter(F.col("score") >= least)
-    return top_k(scored, k)
+    """query_id, chunk_id, score, rank for queries that name identifiers. A chunk below ceil(least * trigrams) shared trigrams can't reach the score; the others are scored where they are read."""
+
+    def prepare(asked: list) -> tuple[WordIndex, list[list[str]], np.ndarray]:
+        return WordIndex(asked), asked, np.array([int(np.ceil(least * len(p) - 1e-9)) for p in asked])
+
+    def score(ready: tuple, rows: pa.RecordBatch) -> Iterator[tuple]:
+        index, probes, needed = ready
+        for a, b in _row_blocks(rows.num_rows, index.queries):
+            part = rows.slice(a, b - a)
+            words, row = _flat(part.column("words"))
+            coded = words.dictionary_encode()
+            # Numbers of the trigrams of each distinct word that some probe has.
+            own = [[g for g in map(index.code.get, word_trigrams(w)) if g is not None] for w in coded.dictionary.to_pylist()]
+            length = np.array([len(x) for x in own], np.int64)
+            flat, first = np.array([g for x in own for g in x], np.int64), np.cumsum(length) - length
+            word = coded.indices.to_numpy()
+            pick = np.repeat(first[word] - (np.cumsum(length[word]) - length[word]), length[word]) + np.arange(length[word].sum())
+            pair = np.unique(np.repeat(row, length[word]) * max(len(index.words), 1) + flat[pick])
+            shared = index.sums(pair // max(len(index.words), 1), pair % max(len(index.words), 1), np.ones(len(pair)), b - a)
+            scores, texts = np.zeros((b - a, index.queries)), {}
+            for i, q in np.argwhere(shared >= needed[None]).tolist():
+                if i not in texts:
+                    texts[i] = [g for w in part.column("words")[i].as_py() for g in word_trigrams(w)]
+                scores[i, q] = np.floor(word_similarity(probes[q], texts[i], least) * 1e6 + 0.5) / 1e6
+            yield scores, scores >= least, part.column("chunk_id")
+
+    probe = F.array_distinct(trigrams(F.array_join(T.identifier_tokens(F.col("text")), " ")))
+    asked = queries.select("query_id", "project_id", probe.alias("asked")).filter(F.size("asked") > 0)
+    return top_k(best_of_tasks(chunk_words(chunks), asked, k, prepare, score).withColumn("score", F.round("score", 6)), k)
 
 
 def fuse(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",), item: str = "chunk_id", constant: int = RANK_CONSTANT) -> DataFrame:
@@ -198,12 +335,12 @@ def union_arms(chunks: DataFrame, arms: dict[str, DataFrame]) -> DataFrame:
     return out.join(chunks.select("chunk_id", "path"), "chunk_id")
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, index: DataFrame | None = None, with_vectors: bool = True, with_fuzzy: bool = True, embedded: DataFrame | None = None) -> DataFrame:
+def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, with_vectors: bool = True, with_fuzzy: bool = True, embedded: DataFrame | None = None) -> DataFrame:
     """query_id, rank, score, chunk_id, path, start_line, end_line: arms, one place per file, fused; metadata joined last. queries: query_id, project_id, text, vector.
 
     embedded: the chunks with their vectors, read by the vector arm alone; none: `chunks` has them.
     """
-    arms = {"fts": fulltext_search(chunks, queries, POOLS["fts"], index)}
+    arms = {"fts": fulltext_search(chunks, queries, POOLS["fts"])}
     if with_vectors:
         arms["vector"] = vector_search(chunks if embedded is None else embedded, queries, POOLS["vector"])
     if with_fuzzy:

@@ -244,7 +244,7 @@ def code_files(spark, sf_dir):
     """A source tree out of the documents: each imports the one with half its number, and some configuration and documents."""
     half = F.floor(F.col("doc_id") / 2).cast("string")
     name = F.when(F.col("doc_id") % 50 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit("/index.ts"))).when(F.col("doc_id") % 50 == 1, F.concat(F.lit("docs/r"), F.col("doc_id").cast("string"), F.lit(".md"))).otherwise(F.concat(F.lit("src/f"), F.col("doc_id").cast("string"), F.lit(".ts")))
-    content = F.concat(F.lit("import a from './f"), half, F.lit("'\nconst b = require('../src/f"), half, F.lit("')\n"), F.substring("text", 1, 1_000_000))
+    content = F.concat(F.lit("import a from './f"), half, F.lit("'\nconst b = require('../src/f"), half, F.lit("')\n"), F.coalesce("text", F.lit("")))
     return table(spark, sf_dir, "documents").select(F.lit("p").alias("project_id"), name.alias("path"), content.alias("content"))
 
 

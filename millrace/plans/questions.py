@@ -12,6 +12,7 @@ from ..operators import conversations as C
 from ..operators import evaluation as E
 from ..operators import indexing as I
 from ..operators import retrieval as R
+from ..operators.storage import stored
 from .derive import FILES, LEXEMES, MESSAGES, SEARCH_TEXT, files, messages, table, whole_chunks
 
 QUERIES: dict = {}
@@ -46,9 +47,9 @@ def fulltext_search(spark, sf_dir):
 
 @query()
 def flagship_passage_search(spark, sf_dir):
-    """Documents cut into chunks of lines, full-text search of the benchmark's passages, recall against the documents that hold them."""
+    """Documents cut into chunks of lines; the ten best chunks for each of the benchmark's passages by full-text search."""
     f = files(spark, sf_dir).withColumn("project_id", F.lit("all"))
-    chunks = I.build_chunks(f)
+    chunks = stored(I.build_chunks(f).select("chunk_id", "project_id", "path", "search_text"))
     found = R.fulltext_search(chunks, passages(spark, sf_dir), 10).join(chunks.select("chunk_id", "path"), "chunk_id")
     return found.select("query_id", "rank", "score", "path")
 
