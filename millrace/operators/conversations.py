@@ -90,6 +90,19 @@ def citation_lines(citations: DataFrame, files: DataFrame) -> DataFrame:
     return joined.withColumn("content", F.array_join(F.slice("lines", first, F.greatest(F.lit(0), F.col("end_line") - first + 1)), "\n")).drop("lines")
 
 
+def file_view(ranges: DataFrame, files: DataFrame, context: int = 20) -> DataFrame:
+    """ranges plus context_start, context_end, view: lines of indexed files with so many lines of context, clamped to the file. Ranges in files that aren't indexed give nothing.
+
+    ranges: project_id, path, start_line, end_line; files: project_id, path, lines.
+    """
+    joined = ranges.join(files.select("project_id", "path", "lines"), ["project_id", "path"])
+    first = F.greatest(F.lit(1), F.col("start_line") - context)
+    last = F.least(F.size("lines"), F.col("end_line") + context)
+    placed = joined.withColumn("context_start", first.cast("int")).withColumn("context_end", last.cast("int"))
+    shown = F.slice("lines", F.col("context_start"), F.greatest(F.lit(0), F.col("context_end") - F.col("context_start") + 1))
+    return placed.withColumn("view", shown).drop("lines")
+
+
 def slug(title: Column, fallback: Column) -> Column:
     name = F.regexp_replace(F.left(F.regexp_replace(F.regexp_replace(F.lower(title), r"[^a-z0-9]+", "-"), r"^-|-$", ""), F.lit(60)), r"-$", "")
     return F.coalesce(F.nullif(name, F.lit("")), fallback.cast("string"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, questions, streams
+from . import corpus, questions, shapes, streams
 
-_MODULES = (corpus, questions, streams)
+_MODULES = (corpus, questions, shapes, streams)
 
 
 def queries() -> dict:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.paths import PRUNED
+
 #: What an archive may hold.
 MOST_ENTRIES, ENTRY_BYTES, ARCHIVE_BYTES = 20_000, 200 << 20, 1 << 30
 FILE = "project_id string, path string, size long, content binary"
@@ -18,7 +21,8 @@ FILE = "project_id string, path string, size long, content binary"
 def read_tree(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """project_id, path (POSIX, relative), size, content: all files below each root, dot files and empty ones too. roots: project_id, root (a URI of any store pyarrow reaches).
 
-    Content is null above max_bytes. One task lists a project; contents are then read in tasks of their own.
+    Directories whose names are pruned aren't entered. Content is null above max_bytes. One task lists a project, directory
+    by directory; contents are then read in tasks of their own.
     """
 
     def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -27,7 +31,13 @@ def read_tree(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
         for batch in batches:
             for project, root in zip(batch.column("project_id").to_pylist(), batch.column("root").to_pylist(), strict=True):
                 store, top = fs.FileSystem.from_uri(root)
-                found = [f for f in store.get_file_info(fs.FileSelector(top, recursive=True)) if f.type == fs.FileType.File]
+                found, todo = [], [top]
+                while todo:
+                    for f in store.get_file_info(fs.FileSelector(todo.pop())):
+                        if f.type == fs.FileType.File:
+                            found.append(f)
+                        elif f.type == fs.FileType.Directory and f.base_name not in PRUNED:
+                            todo.append(f.path)
                 yield pa.RecordBatch.from_pydict({"project_id": [project] * len(found), "root": [root] * len(found), "path": [f.path[len(top.rstrip("/")) + 1 :] for f in found], "size": [f.size for f in found]}, pa.schema([("project_id", pa.string()), ("root", pa.string()), ("path", pa.string()), ("size", pa.int64())]))
 
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -60,29 +70,51 @@ def refused(info: zipfile.ZipInfo) -> str | None:
     return None
 
 
+def checked_entries(z: zipfile.ZipFile) -> list[zipfile.ZipInfo]:
+    """The files of an archive, after all of them have been unpacked once to count their real bytes and check their sums; ValueError if any is refused."""
+    infos = [i for i in z.infolist() if not i.is_dir()]
+    if len(infos) > MOST_ENTRIES:
+        raise ValueError("too many entries")
+    total = 0
+    for i in infos:
+        error = refused(i)
+        if error:
+            raise ValueError(error)
+        held = 0
+        with z.open(i) as f:
+            while piece := f.read(1 << 20):
+                held += len(piece)
+                total += len(piece)
+                if held > ENTRY_BYTES:
+                    raise ValueError("entry too large")
+                if total > ARCHIVE_BYTES:
+                    raise ValueError("archive too large")
+    return infos
+
+
 def read_archives(archives: DataFrame) -> DataFrame:
-    """project_id, path, size, content, error: the files of zip archives; one row with an error for an archive that is refused as a whole. archives: project_id, content (as binaryFile reads them)."""
+    """project_id, path, size, content, error: the files of zip archives; one row with an error for an archive that is refused as a whole. archives: project_id, content (as binaryFile reads them).
+
+    No file of a refused archive comes out: all entries are checked before the first is given. Encrypted, damaged and
+    unknown entries are refused likewise; a null archive is an empty one, hence no archive.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary()), ("error", pa.string())])
+        row_of = lambda *values: pa.RecordBatch.from_pylist([dict(zip(schema.names, values, strict=True))], schema)
         for batch in batches:
             for row in range(batch.num_rows):
                 project, data = batch.column("project_id")[row].as_py(), batch.column("content")[row].as_py() or b""
                 try:
-                    with zipfile.ZipFile(io.BytesIO(data)) as z:
-                        infos = [i for i in z.infolist() if not i.is_dir()]
-                        error = next(filter(None, map(refused, infos)), None)
-                        if len(infos) > MOST_ENTRIES:
-                            error = "too many entries"
-                        elif sum(i.file_size for i in infos) > ARCHIVE_BYTES:
-                            error = "archive too large"
-                        if error:
-                            raise ValueError(error)
-                        for i in infos:
-                            body = z.read(i)
-                            yield pa.RecordBatch.from_pylist([{"project_id": project, "path": i.filename.replace("\\", "/"), "size": len(body), "content": body, "error": None}], schema)
-                except (zipfile.BadZipFile, ValueError) as e:
-                    yield pa.RecordBatch.from_pylist([{"project_id": project, "path": None, "size": None, "content": None, "error": str(e)}], schema)
+                    z = zipfile.ZipFile(io.BytesIO(data))
+                    infos = checked_entries(z)
+                except (zipfile.BadZipFile, ValueError, RuntimeError, NotImplementedError, EOFError, OSError, zlib.error) as e:
+                    yield row_of(project, None, None, None, str(e))
+                    continue
+                with z:
+                    for i in infos:
+                        body = z.read(i)
+                        yield row_of(project, i.filename.replace("\\", "/"), len(body), body, None)
 
     return archives.select("project_id", "content").mapInArrow(run, f"{FILE}, error string")
 
