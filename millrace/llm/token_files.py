@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunk_memo import ChunkMemo
+from .chunk_memo import REMEMBERED, ChunkMemo
 from .shared import SharedFile, lowest_hashes, shared_folder, slices, store, written
 
 DICTIONARY_ROWS, DICTIONARY_BYTES, SAMPLE_BYTES = 1_000, 64 << 10, 32 << 10
@@ -53,7 +53,7 @@ class LibraryTokenizer:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, i in vocabulary.items():
             self.bytes_of[i] = len(token)  # the byte-level alphabet has a letter for each byte
-        self.memo = ChunkMemo(self._chunks, np.dtype(width).itemsize)
+        self.memo = ChunkMemo(self._chunks, np.dtype(width).itemsize, 2 * REMEMBERED)  # ids are short, so more chunks fit
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
         """Ids of each chunk. Many are encoded as one text, as they follow each other in texts; the bytes that ids stand for tell where each ends."""
