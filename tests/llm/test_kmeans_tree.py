@@ -49,3 +49,22 @@ def test_search_over_all_leaves_is_exact():
     order = tree.visits(x[0], tree.leaves, np.bincount(leaf, minlength=tree.leaves), 0)
     assert sorted(order) == list(range(tree.leaves))
     assert order[0] == leaf[0] or leaf[0] in order[:5]
+
+
+def test_leaves_below_leaves(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 8)) * 4
+    x = (centres[rng.integers(0, 40, 12_000)] + rng.normal(size=(12_000, 8))).astype(np.float32)
+    x[:700] = x[0]  # copies, which no tree can split
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    index = TreeIndex(df, split_rows=300, most_leaves=8)
+    assert index.below and index.measured >= 0.9
+    sizes = {r["leaf"]: r["count"] for r in index.rows.groupBy("leaf").count().collect()}
+    assert sum(sizes.values()) == len(rows) and max(sizes) >= 1 << 15
+    assert sorted(n for n in sizes.values() if n > 300)[-1] >= 700
+    got = index.search(df.filter("vec_id % 100 = 0")).collect()
+    want = brute(rows, {i for i, _ in rows if i % 100 == 0})
+    assert len(got) == 10 * len(want)
+    true = {(q, round(d, 9)) for q, near in want.items() for d, _ in near}
+    assert sum((r.query_id, round(r.score, 9)) in true for r in got) >= 0.9 * len(got)
