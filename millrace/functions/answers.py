@@ -11,7 +11,11 @@ from pyspark.sql.types import StringType
 FENCE = r"(?s)```.*?```"
 MARKER = r"\[(\d+(?:\s*,\s*\d+)*)\]|【(\d+)(?:†[^】]*)?】"
 SECTION_TITLES = ("What this project is", "How it is organized", "How a request flows through it", "Where to start reading")
-ANSWER_CHARS, TOOL_CHARS, BATCH_FILES = 600, 4000, 5
+ANSWER_CHARS, TOOL_CHARS, BATCH_FILES, CUT = 600, 4000, 5, "\n... [truncated]"
+JUDGE_NOTES = ("Note: this question is not actually answerable from the evidence above.", "Note: this question IS answerable from the evidence above.")
+CHANGE_CONTEXT = "current code of the changed files, and callers of the symbols they define"
+CHANGE_REQUEST = "Summarize the change, then flag anything that looks risky given what surrounds it."
+TOUR_REQUEST = "Describe what this group is responsible for."
 VERDICT = "grounded boolean, allClaimsCited boolean, handledUnknownCorrectly boolean, reasoning string"
 
 
@@ -92,6 +96,69 @@ def assemble_prompt(*parts: Column) -> Column:
     return F.concat_ws("\n\n", *[F.nullif(p, F.lit("")) for p in parts])
 
 
+def turns_block(exchanges: Column) -> Column:
+    """`Q: ` and `A: ` lines of each exchange, a blank line between. exchanges: array of struct(question, answer), in order."""
+    return F.array_join(F.transform(exchanges, lambda e: F.concat(F.lit("Q: "), e["question"], F.lit("\nA: "), e["answer"])), "\n\n")
+
+
+def _titled(title: str, body: Column) -> Column:
+    """`TITLE:` and the body below it; null for an empty or missing body."""
+    return F.when(body != "", F.concat(F.lit(f"{title}:\n"), body))
+
+
+def answer_prompt(overview: Column, summary: Column, exchanges: Column, evidence: Column, question: Column) -> Column:
+    """What an answer is written from; parts that are missing leave no gap, evidence and question always stand."""
+    context = F.concat(F.lit("CONTEXT:\n"), F.coalesce(evidence_block(evidence), F.lit("")))
+    earlier = [_titled("PROJECT OVERVIEW", overview), _titled("EARLIER IN THIS CONVERSATION", summary), _titled("RECENT TURNS", turns_block(exchanges))]
+    return assemble_prompt(*earlier, context, F.concat(F.lit("QUESTION:\n"), question))
+
+
+def condensation_prompt(exchanges: Column, question: Column) -> Column:
+    """Asks for a follow-up question as one that stands alone."""
+    turns = F.concat(F.lit("RECENT TURNS:\n"), F.coalesce(turns_block(exchanges), F.lit("")))
+    return assemble_prompt(turns, F.concat(F.lit("FOLLOW-UP QUESTION:\n"), question), F.lit("STANDALONE QUESTION:"))
+
+
+def summary_prompt(summary: Column, exchanges: Column) -> Column:
+    """Asks for a summary of the exchanges, or, with one at hand, for it with these folded in."""
+    turns, at_hand = turns_block(exchanges), F.coalesce(summary, F.lit("")) != ""
+    folded = assemble_prompt(_titled("EXISTING SUMMARY", summary), F.concat(F.lit("NEW TURNS TO FOLD IN:\n"), turns), F.lit("UPDATED SUMMARY:"))
+    return F.when(at_hand, folded).otherwise(assemble_prompt(F.concat(F.lit("TURNS TO SUMMARIZE:\n"), turns), F.lit("SUMMARY:")))
+
+
+def judge_prompt(evidence: Column, question: Column, answer: Column, unanswerable: Column) -> Column:
+    """What a verdict on an answer is given from."""
+    note = F.when(unanswerable, JUDGE_NOTES[0]).otherwise(JUDGE_NOTES[1])
+    parts = [F.concat(F.lit(f"{title}:\n"), body) for title, body in (("EVIDENCE", evidence_block(evidence)), ("QUESTION", question), ("ANSWER", answer))]
+    return assemble_prompt(*parts, note)
+
+
+def change_prompt(commit: Column, message: Column, diffs: Column, evidence: Column) -> Column:
+    """What a review of a commit is written from. diffs: array of struct(path, insertions, deletions, patch)."""
+    shown = F.transform(diffs, lambda d: F.format_string("--- %s (+%d/-%d) ---\n%s", d["path"], d["insertions"], d["deletions"], d["patch"]))
+    changed = F.concat(F.lit("DIFF:\n"), F.array_join(shown, "\n\n"))
+    around = F.concat(F.lit(f"CONTEXT ({CHANGE_CONTEXT}):\n"), evidence_block(evidence))
+    return assemble_prompt(F.concat(F.lit("COMMIT "), commit, F.lit(": "), message), changed, around, F.lit(CHANGE_REQUEST))
+
+
+def tour_prompt(evidence: Column) -> Column:
+    """Asks what one group of files is responsible for."""
+    return F.concat(F.lit("FILES:\n"), evidence_block(evidence), F.lit(f"\n\n{TOUR_REQUEST}"))
+
+
+def tour_summary_prompt(summaries: Column) -> Column:
+    """Asks for the tour from its groups' summaries, in order. summaries: array of string."""
+    groups = F.transform(summaries, lambda s, i: F.concat(F.lit("Group "), (i + 1).cast("string"), F.lit(":\n"), s))
+    return F.concat(F.lit("GROUP SUMMARIES:\n"), F.array_join(groups, "\n\n"))
+
+
+def tool_block(evidence: Column, longest: int = TOOL_CHARS) -> Column:
+    """What a tool shows: as evidence_block with fenced contents, all of it cut at `longest` characters with a mark."""
+    piece = "[%d] %s:%d-%d\n```\n%s\n```"
+    shown = F.array_join(F.transform(evidence, lambda e: F.format_string(piece, e["marker"], e["path"], e["start"], e["end"], e["content"])), "\n\n")
+    return F.when(F.char_length(shown) > longest, F.concat(F.left(shown, F.lit(longest)), F.lit(CUT))).otherwise(shown)
+
+
 def classify_provider_error(status: Column, message: Column) -> Column:
     """Kind of a provider's failure; null if it isn't one. Numbers in messages count only beside a word that says the same."""
     text = F.coalesce(message, F.lit(""))

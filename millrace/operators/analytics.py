@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import answers as N
 from ..functions import paths as P
 from ..functions.answers import split_provider_id
 from ..functions.text import first_paragraph
@@ -134,3 +135,14 @@ def usage_rollup(messages: DataFrame) -> DataFrame:
     who = split_provider_id(F.col("model_id"))
     rows = messages.select(who["provider"].alias("provider"), who["model"].alias("model"), F.date_trunc("day", "created_at").alias("day"), "input_tokens", "output_tokens")
     return rows.groupBy("provider", "model", "day").agg(F.count(F.lit(1)).alias("answers"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"))
+
+
+def tour_prompts(ranked: DataFrame, size: int = N.BATCH_FILES) -> DataFrame:
+    """project_id, batch (from 0), prompt: a project's ranked files, `size` to a prompt; their ranks are the markers throughout.
+
+    ranked: project_id, rank (from 1), path, start, end, content.
+    """
+    piece = F.struct(F.col("rank").alias("marker"), "path", "start", "end", "content")
+    batch = F.floor((F.col("rank") - 1) / size).cast("long").alias("batch")
+    groups = ranked.groupBy("project_id", batch).agg(F.array_sort(F.collect_list(piece)).alias("pieces"))
+    return groups.select("project_id", "batch", N.tour_prompt(F.col("pieces")).alias("prompt"))

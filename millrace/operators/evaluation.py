@@ -2,34 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Ranks that a snapshot keeps of each query: what agreement is measured on.
+SNAPSHOT_RANKS = 10
 
-def ranked_paths(retrieved: DataFrame, keys: tuple[str, ...] = ("query_id", "mode"), item: str = "path") -> DataFrame:
-    """keys, items: each list in order of rank."""
-    return retrieved.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", item))), lambda x: x[item]).alias("items"))
-
-
-def recall_at(items: Column, expected: Column, k: int) -> Column:
-    """Share of the expected items among the distinct first k; 1 if nothing is expected."""
-    hits = F.size(F.array_intersect(F.slice(items, 1, k), expected))
-    wanted = F.size(F.array_distinct(expected))
-    return F.when(wanted == 0, 1.0).otherwise(hits / wanted)
 
+def evaluate_retrieval(retrieved: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, mode, recall_5, recall_10, rr. retrieved: query_id, mode, rank, path; questions: query_id, expected (array)."""
+    expected = questions.select("query_id", F.explode("expected").alias("path"))
+    return evaluate_rows(retrieved, expected, questions)
 
-def reciprocal_rank(items: Column, expected: Column) -> Column:
-    """Of the first expected item; 0 without any."""
-    at = F.filter(F.transform(items, lambda x, i: F.when(F.array_contains(expected, x), i + 1)), lambda x: x.isNotNull())
-    return F.coalesce(1.0 / F.get(at, F.lit(0)), F.lit(0.0))
 
+def evaluate_rows(retrieved: DataFrame, expected: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, mode, recall_5, recall_10, rr: as evaluate_retrieval, expected paths being rows (query_id, path).
 
-def evaluate_retrieval(retrieved: DataFrame, questions: DataFrame) -> DataFrame:
-    """query_id, mode, recall_5, recall_10, rr. retrieved: query_id, mode, rank, path; questions: query_id, expected (array)."""
+    recall: share of the different expected paths among ranks up to 5 and 10 (ranks count from 1); 1 if nothing is expected.
+    rr: 1 by the rank of the first expected path, 0 without any. Every question has a row for every mode that occurs. Hits
+    are counted by joins and partial sums, so neither a query with very many rows nor one with very many expected paths
+    is gathered in one place.
+    """
     modes = [r["mode"] for r in retrieved.select("mode").distinct().collect()]  # a handful
-    asked = questions.withColumn("mode", F.explode(F.array(*map(F.lit, modes)).cast("array<string>")))
-    lists = asked.join(ranked_paths(retrieved), ["query_id", "mode"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
-    return lists.select("query_id", "mode", recall_at(F.col("items"), F.col("expected"), 5).alias("recall_5"), recall_at(F.col("items"), F.col("expected"), 10).alias("recall_10"), reciprocal_rank(F.col("items"), F.col("expected")).alias("rr"))
+    asked = questions.select("query_id", F.explode(F.array(*map(F.lit, modes)).cast("array<string>")).alias("mode"))
+    wanted = expected.select("query_id", "path").distinct()
+    found = retrieved.groupBy("query_id", "mode", "path").agg(F.min("rank").alias("rank")).join(wanted, ["query_id", "path"])
+    within = [F.count_if(F.col("rank") <= k).alias(f"in_{k}") for k in (5, 10)]
+    hits = found.groupBy("query_id", "mode").agg(*within, F.min("rank").alias("first"))
+    counts = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
+    rows = asked.join(counts, "query_id", "left").join(hits, ["query_id", "mode"], "left")
+    recalls = [F.when(F.col("wanted").isNull(), 1.0).otherwise(F.coalesce(f"in_{k}", F.lit(0)) / F.col("wanted")).alias(f"recall_{k}") for k in (5, 10)]
+    return rows.select("query_id", "mode", *recalls, F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("rr"))
 
 
 def retrieval_scorecard(evaluated: DataFrame) -> DataFrame:
@@ -49,10 +52,10 @@ def latency_summary(samples: DataFrame) -> DataFrame:
     return samples.groupBy("label").agg(F.count(F.lit(1)).alias("n"), *disc, F.min("ms").alias("least"), F.max("ms").alias("most"), F.round(F.avg("ms"), 6).alias("mean"))
 
 
-def snapshot_topk(retrieved: DataFrame) -> DataFrame:
-    """query_id, keys: `path:start-end` in order of rank."""
+def snapshot_topk(retrieved: DataFrame, k: int = SNAPSHOT_RANKS) -> DataFrame:
+    """query_id, keys: `path:start-end` of the ranks up to k, in order of rank."""
     key = F.format_string("%s:%d-%d", "path", "start_line", "end_line")
-    return retrieved.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key.alias("key")))), lambda x: x["key"]).alias("keys"))
+    return retrieved.filter(F.col("rank") <= k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", key.alias("key")))), lambda x: x["key"]).alias("keys"))
 
 
 def topk_agreement(baseline: DataFrame, candidate: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ Keys are (project_id, path): a project alone may be one huge repository. Diffs m
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -187,12 +188,41 @@ def embedding_coverage(chunks: DataFrame) -> DataFrame:
 
 
 def tree_hash(files: DataFrame) -> DataFrame:
-    """project_id, tree_hash: hash over the sorted `dir:hash` lines of its directories, each hashed over its own `path:hash` lines, so no group is the whole tree."""
+    """project_id, tree_hash: hash over the sorted `dir:hash` lines of its directories, each hashed over its own `path:hash` lines."""
     folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "content_hash"))), lambda x: F.concat(x["path"], F.lit(":"), x["content_hash"])), "\n")
-    per_dir = files.groupBy("project_id", folder.alias("dir")).agg(F.sha2(lines, 256).alias("h"))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("dir", "h"))), lambda x: F.concat(x["dir"], F.lit(":"), x["h"])), "\n")
-    return per_dir.groupBy("project_id").agg(F.sha2(whole, 256).alias("tree_hash"))
+    per_dir = _hash_of_lines(files.select("project_id", folder.alias("dir"), "path", "content_hash"), ["project_id", "dir"], "path", "content_hash", "h")
+    return _hash_of_lines(per_dir, ["project_id"], "dir", "h", "tree_hash")
+
+
+def _hash_of_lines(rows: DataFrame, keys: list[str], name: str, value: str, out: str) -> DataFrame:
+    """keys, out: SHA-256 over each group's `name:value` lines in order. Groups stream by, sorted; none is held whole.
+
+    Rows without name or value give no line; a group without lines has the hash of the empty string.
+    """
+    lines = rows.select(*keys, name, value, F.concat(name, F.lit(":"), value).alias("line"))
+    ordered = lines.repartition(*keys).sortWithinPartitions(*keys, name, value).select(*keys, "line")
+    schema = rows.select(*keys, F.lit("").alias(out)).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, begun, kinds = None, None, False, []
+        for batch in batches:
+            done, kinds = [], [batch.schema.field(k).type for k in keys]
+            for *own, line in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if digest is None or own != key:
+                    done += [] if digest is None else [(*key, digest.hexdigest())]
+                    key, digest, begun = own, hashlib.sha256(), False
+                if line is not None:
+                    digest.update((b"\n" if begun else b"") + line.encode())
+                    begun = True
+            yield finished(done, kinds)
+        if digest is not None:
+            yield finished([(*key, digest.hexdigest())], kinds)
+
+    def finished(done: list[tuple], kinds: list[pa.DataType]) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [()] * (len(keys) + 1)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [*kinds, pa.string()], strict=True)], [*keys, out])
+
+    return ordered.mapInArrow(run, schema)
 
 
 def cost_estimate(diff: DataFrame, chunks_now: DataFrame, cache: DataFrame, model_id: str) -> DataFrame:

@@ -340,11 +340,21 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, limit: int = 10, with_v
 
     embedded: the chunks with their vectors, read by the vector arm alone; none: `chunks` has them.
     """
+    arms = search_arms(chunks, queries, with_vectors, with_fuzzy, embedded)
+    return fuse_arms(chunks, arms, limit)
+
+
+def search_arms(chunks: DataFrame, queries: DataFrame, with_vectors: bool = True, with_fuzzy: bool = True, embedded: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Each arm's pool of rows; arguments as in hybrid_search."""
     arms = {"fts": fulltext_search(chunks, queries, POOLS["fts"])}
     if with_vectors:
         arms["vector"] = vector_search(chunks if embedded is None else embedded, queries, POOLS["vector"])
     if with_fuzzy:
         arms["trigram"] = trigram_search(chunks, queries, POOLS["trigram"])
+    return arms
+
+
+def fuse_arms(chunks: DataFrame, arms: dict[str, DataFrame], limit: int = 10) -> DataFrame:
     best = fuse(dedupe_by_file(union_arms(chunks, arms))).filter(F.col("rank") <= limit)
     return best.join(chunks.select("chunk_id", "path", "start_line", "end_line"), "chunk_id").select("query_id", "rank", "score", "chunk_id", "path", "start_line", "end_line")
 

@@ -142,6 +142,58 @@ def multi_project_search(spark, sf_dir):
     return R.multi_project_search(chunks, asked, scopes, embedded=_embedded(spark, chunks))
 
 
+WINDOW = 8
+_HOLDERS = rf"""windows AS (SELECT 'd' AS kind, lang || '/' || doc_id || '.txt' AS id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents
+  UNION ALL SELECT 'b', CAST(item_id AS VARCHAR), regexp_extract_all(text, '[^\x20\x09-\x0D]+') FROM benchmark),
+runs AS (SELECT kind, id, unnest(list_transform(range(1, greatest(1, len(w) - {WINDOW - 2})), lambda i: array_to_string(w[i:i + {WINDOW - 1}], ' '))) AS run FROM windows),
+holders AS (SELECT DISTINCT CAST(b.id AS BIGINT) AS query_id, d.id AS path FROM runs d JOIN runs b USING (run) WHERE d.kind = 'd' AND b.kind = 'b')"""
+
+
+def _holders(spark, sf_dir):
+    """query_id, path: the files that hold eight words running of a benchmark passage; what a search for it should find."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    starts = F.when(F.size("w") >= WINDOW, F.sequence(F.lit(1), F.size("w") - (WINDOW - 1)))
+    run = F.explode(F.transform(starts, lambda i: F.array_join(F.slice("w", i, F.lit(WINDOW)), " "))).alias("run")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), words.alias("w")).select("query_id", run)
+    asked = F.broadcast(asked) if asked.count() <= MOST_RUNS else asked
+    held = files(spark, sf_dir).select("path", words.alias("w")).select("path", run)
+    return held.join(asked, "run").select("query_id", "path").distinct()
+
+
+#: Passages' word runs are broadcast up to so many (some 60 bytes each); beyond, Spark shuffles them.
+MOST_RUNS = 1_000_000
+
+
+@query(f"""WITH {_TEXT_HITS}, {_HOLDERS},
+ranked AS (SELECT query_id, chunk_id AS path, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fts QUALIFY rank <= 50),
+hits AS (SELECT query_id, count(*) FILTER (rank <= 5) AS in5, count(*) FILTER (rank <= 10) AS in10, min(rank) AS first FROM ranked JOIN holders USING (query_id, path) GROUP BY 1),
+counts AS (SELECT query_id, count(*) AS wanted FROM holders GROUP BY 1)
+SELECT 'fts' AS mode, count(*) AS questions, round(avg(coalesce(in5, 0) / wanted), 6) AS recall_5, round(avg(coalesce(in10, 0) / wanted), 6) AS recall_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr
+FROM counts LEFT JOIN hits USING (query_id)""")
+def fulltext_quality(spark, sf_dir):
+    """Recall and reciprocal rank of full-text search for the passages that some file holds."""
+    chunks, holders = whole_chunks(spark, sf_dir, "all"), stored(_holders(spark, sf_dir))
+    return _quality({"fts": R.fulltext_search(chunks, passages(spark, sf_dir), R.POOLS["fts"])}, holders)
+
+
+@query()
+def retrieval_quality(spark, sf_dir):
+    """As fulltext_quality, for each of the three arms and for their fusion."""
+    chunks, holders = whole_chunks(spark, sf_dir, "all"), stored(_holders(spark, sf_dir))
+    asked = I.embed_queries(passages(spark, sf_dir), 64)
+    arms = {name: stored(found) for name, found in R.search_arms(chunks, asked, embedded=_embedded(spark, chunks)).items()}
+    return _quality(arms | {"hybrid": R.fuse_arms(chunks, arms)}, holders)
+
+
+def _quality(lists, holders):
+    """lists: for each mode query_id, chunk_id, rank; a whole file is a chunk, named by its path."""
+    retrieved = None
+    for mode, found in lists.items():
+        rows = found.select("query_id", F.lit(mode).alias("mode"), "rank", F.col("chunk_id").alias("path"))
+        retrieved = rows if retrieved is None else retrieved.unionByName(rows)
+    return E.retrieval_scorecard(E.evaluate_rows(retrieved, holders, holders.select("query_id").distinct()))
+
+
 # Three arms out of the events: their places by value, id and time, per user.
 _ARMS = """arms AS (
  SELECT user_id AS query_id, 0 AS arm_no, CAST(1.0 AS DOUBLE) AS weight, event_type AS path, event_id AS chunk_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events
@@ -305,7 +357,7 @@ def topk_agreement(spark, sf_dir):
     def snapshot(rows, *order):
         rank = F.row_number().over(Window.partitionBy("user_id").orderBy(*order))
         lists = rows.select(F.col("user_id").alias("query_id"), rank.alias("rank"), F.col("event_id").cast("string").alias("key"))
-        return lists.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("keys"))
+        return lists.filter(F.col("rank") <= E.SNAPSHOT_RANKS).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "key"))), lambda x: x["key"]).alias("keys"))
 
     return E.topk_agreement(snapshot(e, F.desc("value"), F.asc("event_id")), snapshot(e.filter("event_id % 9 <> 0"), F.desc("value"), F.desc("event_id")))
 
@@ -358,6 +410,50 @@ def assemble_prompts(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", N.assemble_prompt(F.lit(None).cast("string"), N.evidence_block(e), F.lit("Question?")).alias("prompt"))
 
 
+_TURNS = "string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) || chr(10) ORDER BY n)"
+
+
+def _turns(exchanges):
+    """conversation_id, turns: its exchanges in order (few: a window, or those that leave it)."""
+    turns = F.array_sort(F.collect_list(F.struct("n", "question", "answer")))
+    return exchanges.groupBy("conversation_id").agg(turns.alias("turns"))
+
+
+@query(f"""WITH {_EXCHANGES}, w AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY n DESC) <= 3)
+SELECT conversation_id, 'RECENT TURNS:' || chr(10) || {_TURNS} || chr(10) || chr(10) || 'FOLLOW-UP QUESTION:' || chr(10) || 'And then?' || chr(10) || chr(10) || 'STANDALONE QUESTION:' AS prompt FROM w GROUP BY 1""")
+def condensation_prompts(spark, sf_dir):
+    turns = _turns(C.recent_window(C.exchanges(messages(spark, sf_dir))))
+    return turns.select("conversation_id", N.condensation_prompt(F.col("turns"), F.lit("And then?")).alias("prompt"))
+
+
+@query(f"""WITH {_EXCHANGES}, w AS (SELECT * FROM ex QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY n DESC) <= 3),
+t AS (SELECT conversation_id, {_TURNS} AS turns FROM w GROUP BY 1)
+SELECT conversation_id, CASE WHEN conversation_id % 2 = 0 THEN 'EXISTING SUMMARY:' || chr(10) || 'so far' || chr(10) || chr(10) || 'NEW TURNS TO FOLD IN:' || chr(10) || turns || chr(10) || chr(10) || 'UPDATED SUMMARY:'
+  ELSE 'TURNS TO SUMMARIZE:' || chr(10) || turns || chr(10) || chr(10) || 'SUMMARY:' END AS prompt FROM t""")
+def summary_prompts(spark, sf_dir):
+    turns = _turns(C.recent_window(C.exchanges(messages(spark, sf_dir))))
+    at_hand = F.when(F.col("conversation_id") % 2 == 0, "so far")
+    return turns.select("conversation_id", N.summary_prompt(at_hand, F.col("turns")).alias("prompt"))
+
+
+@query("""SELECT item_id, 'EVIDENCE:' || chr(10) || '[1] p:1-2' || chr(10) || text || chr(10) || chr(10) || 'QUESTION:' || chr(10) || 'What is ' || item_id || '?' || chr(10) || chr(10) || 'ANSWER:' || chr(10) || 'This [1].' || chr(10) || chr(10) ||
+  CASE WHEN item_id % 3 = 0 THEN 'Note: this question is not actually answerable from the evidence above.' ELSE 'Note: this question IS answerable from the evidence above.' END AS prompt FROM benchmark""")
+def judge_prompts(spark, sf_dir):
+    e = F.array(F.struct(F.lit(1).alias("marker"), F.lit("p").alias("path"), F.lit(1).alias("start"), F.lit(2).alias("end"), F.col("text").alias("content")))
+    asked = F.concat(F.lit("What is "), F.col("item_id").cast("string"), F.lit("?"))
+    return table(spark, sf_dir, "benchmark").select("item_id", N.judge_prompt(e, asked, F.lit("This [1]."), F.col("item_id") % 3 == 0).alias("prompt"))
+
+
+@query(f"""WITH {FILES}, f AS (SELECT project_id, path, text, row_number() OVER (PARTITION BY project_id ORDER BY path) AS rank FROM files QUALIFY rank <= 30)
+SELECT project_id, CAST((rank - 1) // 5 AS BIGINT) AS batch, 'FILES:' || chr(10) || string_agg('[' || rank || '] ' || path || ':1-9' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) || chr(10) || chr(10) || 'Describe what this group is responsible for.' AS prompt
+FROM f GROUP BY ALL""")
+def tour_prompts(spark, sf_dir):
+    """The first thirty files of each source, five to a prompt."""
+    rank = F.row_number().over(Window.partitionBy("project_id").orderBy("path"))
+    ranked = files(spark, sf_dir).select("project_id", "path", F.lit(1).alias("start"), F.lit(9).alias("end"), F.col("text").alias("content"), rank.alias("rank"))
+    return A.tour_prompts(ranked.filter(F.col("rank") <= 30))
+
+
 @query()
 def change_evidence(spark, sf_dir):
     """Chunks of changed files and callers of their symbols, a change for each source."""

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 
@@ -7,8 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from millrace.functions import answers as N
 from millrace.operators import analytics as A
 from millrace.operators import conversations as C
+from millrace.operators import evaluation as E
 from millrace.operators import indexing as I
 from millrace.operators import retrieval as R
 from millrace.operators.chunking import LEAST, OVERLAP, TARGET, chunk_files, line_windows, structural
@@ -232,3 +235,49 @@ def test_trees_archives_and_questions(spark, tmp_path):
     assert {(r.project_id, r.path) for r in rows if r.error is None} == {("good", "a/b.ts"), ("good", "c")} and {r.project_id for r in rows if r.error} == {"up", "abs", "drive", "junk"}
     (tmp_path / "q.json").write_text('[{"q": "a", "expectedFiles": ["x"]}, {"q": "b", "expectedFiles": [], "expectUnanswerable": true}]')
     assert {(r.q, tuple(r.expected), r.unanswerable) for r in read_questions(spark, str(tmp_path / "q.json")).collect()} == {("a", ("x",), False), ("b", (), True)}
+
+
+def test_tree_hash_streams_sorted_lines(spark):
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    rows = [(p, f"{d}/{i}.py", None if i % 50 == 7 else f"h{i % 3}", "x") for p in ("a", "b", None) for d in ("src", "lib/x") for i in range(120)] + [("c", "only.py", None, "x")]
+    files = spark.createDataFrame(rows, "project_id string, path string, content_hash string, tree_hash string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {r.project_id: r.tree_hash for r in I.tree_hash(files.repartition(5)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for p in ("a", "b", None):
+        own = {d: sorted((path, h) for q, path, h, _ in rows if q == p and h and path.rsplit("/", 1)[0] == d) for d in ("src", "lib/x")}
+        want[p] = sha("\n".join(f"{d}:" + sha("\n".join(f"{a}:{b}" for a, b in own[d])) for d in sorted(own)))
+    assert got == want | {"c": sha(":" + sha(""))}
+    assert I.tree_hash(files.limit(0)).count() == 0
+
+
+def test_evaluation_by_rows(spark):
+    got = spark.createDataFrame([(1, "m", 1, "x"), (1, "m", 6, "a"), (1, "m", 11, "b"), (1, "m", 2, "x"), (2, "n", 1, "c"), (2, "n", 3, "c"), (1, "m", 3, None)], "query_id int, mode string, rank int, path string")
+    asked = spark.createDataFrame([(1, ["a", "b", "a"]), (2, ["c"]), (3, []), (4, None)], "query_id int, expected array<string>")
+    rows = {(r.query_id, r.mode): (r.recall_5, r.recall_10, round(r.rr, 4)) for r in E.evaluate_retrieval(got, asked).collect()}
+    assert rows[1, "m"] == (0.0, 0.5, 0.1667) and rows[2, "n"] == (1.0, 1.0, 1.0)
+    assert rows[1, "n"] == (0.0, 0.0, 0.0) and rows[3, "m"] == rows[4, "n"] == (1.0, 1.0, 0.0)
+    assert len(rows) == 8
+
+
+def test_prompts_of_the_family(spark):
+    pieces = "array(named_struct('marker', 1, 'path', 'p', 'start', 2, 'end', 3, 'content', 'code'))"
+    turns = "array(named_struct('question', 'q1', 'answer', 'a1'), named_struct('question', 'q2', 'answer', 'a2'))"
+    none = turns.replace("array(", "slice(array(", 1) + ", 1, 0)"
+    diffs = "array(named_struct('path', 'p', 'insertions', 1, 'deletions', 0, 'patch', '+x'))"
+    row = spark.range(1).selectExpr(f"{pieces} AS e", f"{turns} AS t", f"{none} AS none", f"{diffs} AS d", "'' AS empty", "cast(null AS string) AS nothing", "'Q?' AS q")
+    c = F.col
+    got = row.select(
+        N.answer_prompt(c("empty"), F.lit("s"), c("t"), c("e"), c("q")), N.answer_prompt(c("nothing"), c("nothing"), c("none"), c("e"), c("q")),
+        N.change_prompt(F.lit("abc"), F.lit("m"), c("d"), c("e")), N.tour_summary_prompt(F.array(F.lit("x"), F.lit("y"))), N.tool_block(c("e")), N.tool_block(c("e"), 9),
+    ).first()
+    block, said = "[1] p:2-3\ncode", "Q: q1\nA: a1\n\nQ: q2\nA: a2"
+    assert got[0] == f"EARLIER IN THIS CONVERSATION:\ns\n\nRECENT TURNS:\n{said}\n\nCONTEXT:\n{block}\n\nQUESTION:\nQ?"
+    assert got[1] == f"CONTEXT:\n{block}\n\nQUESTION:\nQ?"
+    assert got[2] == f"COMMIT abc: m\n\nDIFF:\n--- p (+1/-0) ---\n+x\n\nCONTEXT ({N.CHANGE_CONTEXT}):\n{block}\n\n{N.CHANGE_REQUEST}"
+    assert got[3] == "GROUP SUMMARIES:\nGroup 1:\nx\n\nGroup 2:\ny"
+    assert got[4] == "[1] p:2-3\n```\ncode\n```"
+    assert got[5] == "[1] p:2-3\n... [truncated]"

@@ -125,3 +125,27 @@ def test_vector_search_of_every_twentieth_row(spark):
             want |= {(q.vec_id, rank): (c, -s) for rank, (s, c) in enumerate(near, 1)}
     assert {k: c for k, (c, _) in got.items()} == {k: c for k, (c, _) in want.items()}
     assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_quality_of_each_arm(spark, tmp_path):
+    files, _ = corpus(spark, tmp_path)
+    texts = {p: text for p, (_, text) in files.items()}
+    long = [p for p, text in texts.items() if len(text.split()) >= 12]
+    questions = [(i, " ".join(texts[p].split()[2:11])) for i, p in enumerate(long[:6])] + [(90, "no such words in any file of this corpus at all"), (91, "short one")]
+    spark.createDataFrame(questions, "item_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/benchmark.parquet")
+    runs = lambda text: {tuple(text.split()[i : i + 8]) for i in range(len(text.split()) - 7)}
+    want = {q: {p for p in texts if runs(texts[p]) & runs(asked)} for q, asked in questions}
+    want = {q: paths for q, paths in want.items() if paths}
+    assert set(want) == set(range(6))
+    r5, r10, mrr = [], [], []
+    for q, paths in want.items():
+        best = [c for c, _ in hybrid(dict(questions)[q], texts)[0]]
+        r5.append(len(paths & set(best[:5])) / len(paths))
+        r10.append(len(paths & set(best)) / len(paths))
+        mrr.append(next((1 / n for n, c in enumerate(best, 1) if c in paths), 0))
+    got = {r.mode: r for r in registry.queries()["retrieval_quality"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"fts", "vector", "trigram", "hybrid"} or set(got) == {"fts", "vector", "hybrid"}
+    h = got["hybrid"]
+    assert h.questions == 6
+    assert [h.recall_5, h.recall_10, h.mrr] == [round(sum(x) / 6, 6) for x in (r5, r10, mrr)]
+    assert tuple(registry.queries()["fulltext_quality"](spark, str(tmp_path)).first()) == tuple(got["fts"])
