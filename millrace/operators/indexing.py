@@ -152,6 +152,11 @@ def build_chunks(files: DataFrame, lang_col: str | None = None) -> DataFrame:
     return cut.select(chunk_id.alias("chunk_id"), *KEY, "ord", "start_line", "end_line", "symbol", "content", T.sha256(F.col("content")).alias("content_hash"), T.search_text(F.col("content")).alias("search_text"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
+def first_chunks(chunks: DataFrame) -> DataFrame:
+    """The first chunk of every file that has any."""
+    return chunks.filter("ord = 0")
+
+
 def build_index(walked: DataFrame, files: DataFrame, chunks: DataFrame, lang_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(files, chunks) after indexing: unchanged files keep rows and vectors, new and changed ones are chunked, stale ones go.
 

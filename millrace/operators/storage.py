@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -15,12 +15,17 @@ def stored(df: DataFrame) -> DataFrame:
     machine (local master), and a cluster is refused.
     """
     spark = df.sparkSession
+    path = f"{shared_root(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The application's folder below spark.checkpoint.dir; below a temporary one with a local master and without that setting."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("millrace.stored.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-stored-", dir="/tmp")
         spark.conf.set("millrace.stored.dir", root)
-    path = f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"

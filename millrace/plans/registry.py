@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus, questions, shapes, streams
+from . import corpus, indexes, questions, shapes, streams
 
-_MODULES = (corpus, questions, shapes, streams)
+_MODULES = (corpus, questions, shapes, indexes, streams)
 
 
 def queries() -> dict:
