@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as T
+from .storage import stored
 
 #: Pools, weights and constants of the arms and of their fusion.
 VECTOR_K, TEXT_K, FUZZY_K, REFERENCE_CAP = 20, 20, 25, 100
@@ -29,6 +30,10 @@ TERM_WEIGHT, TERM_CAP, WORD_SIMILARITY = 0.1, 256, 0.6
 BROADCAST_QUERIES = 10_000
 #: Scores (chunks times queries) that a task computes at a time.
 BLOCK_SCORES = 1 << 21
+#: Approximate search: rows a bucket holds on average, sides of a bucket at least, rows that are asked to calibrate, share of
+#: their neighbours to be found, rows and queries of a bucket in one task, and buckets whose sizes are broadcast (20 bytes each).
+BUCKET_ROWS, LEAST_BITS, CALIBRATION_ROWS, ANN_RECALL = 256, 4, 200, 0.95
+MEET_ROWS, MEET_QUERIES, BROADCAST_BUCKETS = 4_096, 512, 1_000_000
 
 
 def top_k(scored: DataFrame, k: int, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -369,27 +374,119 @@ def multi_project_search(chunks: DataFrame, queries: DataFrame, scopes: DataFram
     return best.join(chunks.select("chunk_id", "project_id"), "chunk_id").select("query_id", "rank", "score", "chunk_id", "project_id")
 
 
-def hyperplane_keys(vectors: DataFrame, id_col: str, vector_col: str, dim: int, tables: int, bits: int, seed: int = 11) -> DataFrame:
-    """id, v, bucket: the sides of random hyperplanes, one bucket for each table."""
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+def flips(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(masks, sides of each): no side, each side alone, and each pair of sides."""
+    own = [0] + [1 << i for i in range(bits)] + [1 << i | 1 << j for i in range(bits) for j in range(i)]
+    masks = np.array(own, np.int64)
+    return masks, (masks[:, None] >> np.arange(bits) & 1).astype(np.float64)
+
+
+def bucket_keys(x: np.ndarray, planes: np.ndarray, probes: int = 1) -> np.ndarray:
+    """rows x tables x probes: the bucket of each row in each table, then those across the nearest planes (two at most).
+
+    planes: tables x bits x dim. The farther a bucket, by the sum of squared distances to the planes crossed, the later.
+    """
+    tables, bits = planes.shape[:2]
+    side = np.einsum("tbd,nd->ntb", planes, x)
+    own = (side > 0) @ (1 << np.arange(bits)) + (np.arange(tables, dtype=np.int64) << bits)
+    if probes == 1:
+        return own[:, :, None]
+    masks, crossed = flips(bits)
+    order = np.argsort(side**2 @ crossed.T, axis=2, kind="stable")[:, :, :probes]
+    return own[:, :, None] ^ masks[order]
+
+
+def hyperplane_keys(vectors: DataFrame, planes: np.ndarray, probes: int = 1) -> DataFrame:
+    """id, v, keys: the buckets of bucket_keys. vectors: id, v, all of the planes' length."""
+    shared = vectors.sparkSession.sparkContext.broadcast(planes)
+    tables, bits, dim = planes.shape
+    step = max(1, BLOCK_SCORES // (tables * len(flips(bits)[0])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column("v").to_pylist(), np.float64).reshape(batch.num_rows, dim)
-            sides = np.einsum("tbd,nd->ntb", planes, x) > 0
-            keys = (sides * (1 << np.arange(bits))).sum(2) + (np.arange(tables) << bits)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(keys.astype(np.int64)), pa.list_(pa.int64()))], ["id", "v", "keys"])
-
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).filter(F.size("v") == dim)
-    kinds = f"id {rows.schema['id'].dataType.simpleString()}, v {rows.schema['v'].dataType.simpleString()}, keys array<bigint>"
-    return rows.mapInArrow(run, kinds).select("id", "v", F.explode("keys").alias("bucket"))
-
-
-def ann_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, tables: int = 16, bits: int = 4) -> DataFrame:
-    """query_id, chunk_id, score, rank: exact cosine of the rows that share a bucket with the query. Both tables: id_col, vector_col."""
-    left = hyperplane_keys(vectors, id_col, vector_col, dim, tables, bits)
-    right = hyperplane_keys(queries, id_col, vector_col, dim, tables, bits).select(F.col("id").alias("query_id"), F.col("v").alias("q"), "bucket")
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    pairs = left.join(right, "bucket").filter(F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("chunk_id"), "v", "q").dropDuplicates(["query_id", "chunk_id"])
-    return top_k(pairs.select("query_id", "chunk_id", F.round(dot / (norm("v") * norm("q")), 6).alias("score")), k)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
+                flat = part.column("v").flatten().to_numpy(zero_copy_only=False)
+                keys = bucket_keys(flat.reshape(part.num_rows, dim), shared.value, probes).reshape(part.num_rows, -1)
+                lists = pa.ListArray.from_arrays(np.arange(part.num_rows + 1, dtype=np.int32) * keys.shape[1], keys.ravel())
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("v"), lists], ["id", "v", "keys"])
+
+    kind = vectors.schema["id"].dataType.simpleString()
+    return vectors.mapInArrow(run, f"id {kind}, v array<double>, keys array<bigint>")
+
+
+def _of_length(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
+    v = F.col(vector_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
+    return rows.filter(F.col("id").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull()))
+
+
+def calibrated_buckets(rows: DataFrame, count: int, dim: int, k: int, tables: int, recall: float) -> tuple[int, int]:
+    """(bits, probes): the most bits, up to about BUCKET_ROWS rows a bucket, with which some number of probes finds `recall`
+    of the true neighbours of CALIBRATION_ROWS rows, those with the lowest hashes; and the fewest such probes."""
+    some = rows.orderBy(F.xxhash64("id", "v"), "id").limit(CALIBRATION_ROWS)
+    asked = stored(some.select(F.col("id").alias("query_id"), F.lit("all").alias("project_id"), F.col("v").alias("vector")))
+    near = vector_search(rows.select(F.lit("all").alias("project_id"), F.col("id").alias("chunk_id"), F.col("v").alias("embedding")), asked, k + 1)
+    near = near.filter(F.col("chunk_id") != F.col("query_id")).select("query_id", "chunk_id")
+    pairs = near.join(asked, "query_id").join(rows.select(F.col("id").alias("chunk_id"), "v"), "chunk_id").select("vector", "v").collect()  # k a calibration row
+    bits = max(LEAST_BITS, int(np.ceil(np.log2(max(count, 1) / BUCKET_ROWS))))
+    if not pairs:
+        return bits, 1
+    q, x = (np.array([r[c] for r in pairs], np.float64) for c in ("vector", "v"))
+    while True:
+        planes = hyperplanes(dim, tables, bits)
+        every = len(flips(bits)[0])
+        turns = np.full(len(q), np.inf)
+        for at in range(0, len(q), 256):
+            met = bucket_keys(q[at : at + 256], planes, every) == bucket_keys(x[at : at + 256], planes)
+            turns[at : at + 256] = np.where(met.any(2), met.argmax(2) + 1.0, np.inf).min(1)
+        wanted = np.sort(turns)[max(0, int(np.ceil(recall * len(turns))) - 1)]
+        if np.isfinite(wanted) or bits == 1:
+            return bits, int(min(wanted, every))
+        bits -= 1
+
+
+def hyperplanes(dim: int, tables: int, bits: int, seed: int = 11) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables, bits, dim))
+
+
+def ann_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col: str, dim: int, k: int = 10, tables: int = 16, bits: int | None = None, probes: int | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: exact cosine (six digits) of the rows whose bucket a query looks into. Both tables: id_col, vector_col.
+
+    bits and probes: calibrated to ANN_RECALL unless given; bits grow with the table, so that buckets don't. Rows and
+    queries meet by bucket, cut into blocks, so that a bucket of any size is dealt over many tasks; a block gives each
+    query's k best, and only those are brought together. Rows of another length, without id or with null parts take no part;
+    a zero vector is at 0 from all. No row is its own neighbour.
+    """
+    rows, asked = _of_length(vectors, id_col, vector_col, dim), _of_length(queries, id_col, vector_col, dim)
+    if bits is None or probes is None:
+        bits, probes = calibrated_buckets(rows, rows.count(), dim, k, tables, ANN_RECALL)
+    planes = hyperplanes(dim, tables, bits)
+    left = stored(hyperplane_keys(rows, planes)).select("id", "v", F.explode("keys").alias("bucket"))
+    right = stored(hyperplane_keys(asked, planes, probes)).select("id", "v", F.explode("keys").alias("bucket"))
+    # One row per bucket that both sides have: tables * 2^bits at most, a few thousandths of the rows.
+    sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).join(right.groupBy("bucket").agg(F.count(F.lit(1)).alias("asked")), "bucket")
+    cuts = stored(sizes.select("bucket", F.ceil(F.col("rows") / MEET_ROWS).cast("int").alias("rbs"), F.ceil(F.col("asked") / MEET_QUERIES).cast("int").alias("qbs")))
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_BUCKETS else cuts
+    part = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = left.join(cuts, "bucket").select("id", "v", "bucket", part("rbs").alias("rb"), every("qbs").alias("qb"))
+    right = right.join(cuts, "bucket").select("id", "v", "bucket", every("rbs").alias("rb"), part("qbs").alias("qb"))
+    id_type, q_type = (to_arrow_type(t.schema["id"].dataType) for t in (rows, asked))
+
+    def meet(held: pa.Table, wanted: pa.Table) -> pa.Table:
+        x, q = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (held, wanted))
+        ids, q_ids = (t.column("id").combine_chunks() for t in (held, wanted))
+        best = Best(len(q), k, id_type)
+        if len(x) and len(q):
+            norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
+            found = (x @ q.T) / np.maximum(norms, 1e-300)
+            own = ids.to_numpy(zero_copy_only=False)[:, None] == q_ids.to_numpy(zero_copy_only=False)[None]
+            best.add(np.copysign(np.floor(np.abs(found) * 1e6 + 0.5) / 1e6, found), ~own, np.arange(len(q)), ids)
+        out = best.cut()
+        return pa.table({"query_id": q_ids.take(out.column("q").combine_chunks()).cast(q_type), "chunk_id": out.column("id"), "score": out.column("score")})
+
+    kinds = f"query_id {asked.schema['id'].dataType.simpleString()}, chunk_id {rows.schema['id'].dataType.simpleString()}, score double"
+    met = left.groupBy("bucket", "rb", "qb").cogroup(right.groupBy("bucket", "rb", "qb")).applyInArrow(meet, kinds)
+    once = met.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k(once.withColumn("score", F.round("score", 6)), k)
