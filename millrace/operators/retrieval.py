@@ -455,7 +455,8 @@ def ann_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
 
     bits and probes: calibrated to ANN_RECALL unless given; bits grow with the table, so that buckets don't. Rows and
     queries meet by bucket, cut into blocks, so that a bucket of any size is dealt over many tasks; a block gives each
-    query's k best, and only those are brought together. Rows of another length, without id or with null parts take no part;
+    query's k best, and only those are brought together; a query's own buckets are looked into first, and the others give
+    only what is no worse than the k-th row found there. Rows of another length, without id or with null parts take no part;
     a zero vector is at 0 from all. No row is its own neighbour.
     """
     rows, asked = _of_length(vectors, id_col, vector_col, dim), _of_length(queries, id_col, vector_col, dim)
@@ -463,30 +464,44 @@ def ann_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
         bits, probes = calibrated_buckets(rows, rows.count(), dim, k, tables, ANN_RECALL)
     planes = hyperplanes(dim, tables, bits)
     left = stored(hyperplane_keys(rows, planes)).select("id", "v", F.explode("keys").alias("bucket"))
-    right = stored(hyperplane_keys(asked, planes, probes)).select("id", "v", F.explode("keys").alias("bucket"))
-    # One row per bucket that both sides have: tables * 2^bits at most, a few thousandths of the rows.
+    right = stored(hyperplane_keys(asked, planes, probes)).select("id", "v", F.posexplode("keys").alias("at", "bucket")).withColumn("at", F.col("at") % probes)
+    none = F.lit(float("-inf"))
+    first = stored(_best_of_buckets(left, right.filter("at = 0").withColumn("least", none), k, dim))
+    if probes > 1:
+        # What a query finds in its own buckets bounds what the others give.
+        floors = first.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+        later = right.filter("at > 0").join(floors, "id", "left").withColumn("least", F.coalesce("least", none))
+        first = first.drop("rank").unionByName(_best_of_buckets(left, stored(later), k, dim).drop("rank"))
+    once = first.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
+    return top_k(once, k)
+
+
+def _best_of_buckets(left: DataFrame, right: DataFrame, k: int, dim: int) -> DataFrame:
+    """query_id, chunk_id, score, rank: each query's k best, at `least` or above, in its buckets. left: id, v, bucket; right: id, v, bucket, least."""
+    # One row per bucket that both sides have: at most tables * 2^bits, a small share of the rows.
     sizes = left.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).join(right.groupBy("bucket").agg(F.count(F.lit(1)).alias("asked")), "bucket")
     cuts = stored(sizes.select("bucket", F.ceil(F.col("rows") / MEET_ROWS).cast("int").alias("rbs"), F.ceil(F.col("asked") / MEET_QUERIES).cast("int").alias("qbs")))
     cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_BUCKETS else cuts
     part = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = left.join(cuts, "bucket").select("id", "v", "bucket", part("rbs").alias("rb"), every("qbs").alias("qb"))
-    right = right.join(cuts, "bucket").select("id", "v", "bucket", every("rbs").alias("rb"), part("qbs").alias("qb"))
-    id_type, q_type = (to_arrow_type(t.schema["id"].dataType) for t in (rows, asked))
+    held = left.join(cuts, "bucket").select("id", "v", "bucket", part("rbs").alias("rb"), every("qbs").alias("qb"))
+    wanted = right.join(cuts, "bucket").select("id", "v", "least", "bucket", every("rbs").alias("rb"), part("qbs").alias("qb"))
+    id_type = to_arrow_type(left.schema["id"].dataType)
 
-    def meet(held: pa.Table, wanted: pa.Table) -> pa.Table:
-        x, q = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (held, wanted))
-        ids, q_ids = (t.column("id").combine_chunks() for t in (held, wanted))
+    def meet(rows: pa.Table, asked: pa.Table) -> pa.Table:
+        x, q = (t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for t in (rows, asked))
+        ids, q_ids = (t.column("id").combine_chunks() for t in (rows, asked))
         best = Best(len(q), k, id_type)
         if len(x) and len(q):
+            best.floor = asked.column("least").to_numpy().copy()
             norms = np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(q, axis=1)[None]
             found = (x @ q.T) / np.maximum(norms, 1e-300)
             own = ids.to_numpy(zero_copy_only=False)[:, None] == q_ids.to_numpy(zero_copy_only=False)[None]
             best.add(np.copysign(np.floor(np.abs(found) * 1e6 + 0.5) / 1e6, found), ~own, np.arange(len(q)), ids)
         out = best.cut()
-        return pa.table({"query_id": q_ids.take(out.column("q").combine_chunks()).cast(q_type), "chunk_id": out.column("id"), "score": out.column("score")})
+        return pa.table({"query_id": q_ids.take(out.column("q").combine_chunks()), "chunk_id": out.column("id"), "score": out.column("score")})
 
-    kinds = f"query_id {asked.schema['id'].dataType.simpleString()}, chunk_id {rows.schema['id'].dataType.simpleString()}, score double"
-    met = left.groupBy("bucket", "rb", "qb").cogroup(right.groupBy("bucket", "rb", "qb")).applyInArrow(meet, kinds)
+    kinds = f"query_id {right.schema['id'].dataType.simpleString()}, chunk_id {left.schema['id'].dataType.simpleString()}, score double"
+    met = held.groupBy("bucket", "rb", "qb").cogroup(wanted.groupBy("bucket", "rb", "qb")).applyInArrow(meet, kinds)
     once = met.groupBy("query_id", "chunk_id").agg(F.max("score").alias("score"))
     return top_k(once.withColumn("score", F.round("score", 6)), k)
