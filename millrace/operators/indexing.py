@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
@@ -337,3 +337,32 @@ def latest_job(jobs: DataFrame, keys: str = "project_id", order: Column | None =
     columns = [c for c in jobs.columns if c != keys]
     newest = jobs.groupBy(keys).agg(F.max_by(F.struct(*columns), order if order is not None else F.struct("created_at", "job_id")).alias("__job"))
     return newest.select(keys, *[F.col(f"__job.{c}").alias(c) for c in columns])
+
+
+def projects_with_latest_job(projects: DataFrame, jobs: DataFrame) -> DataFrame:
+    """projects plus the columns of their newest job, null without any. Those that a project has too are named job_..."""
+    newest = latest_job(jobs)
+    names = {c: f"job_{c}" for c in newest.columns if c != "project_id" and c in projects.columns}
+    return projects.join(newest.withColumnsRenamed(names), "project_id", "left")
+
+
+def newest_jobs(jobs: DataFrame, limit: int) -> DataFrame:
+    """jobs plus place: the `limit` newest of each project, ties to the greater job_id."""
+    order = Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("job_id"))
+    return jobs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+def embed_requests_by_day(jobs: DataFrame) -> DataFrame:
+    """day, requests: the embedding requests of all jobs by the day of their start."""
+    return jobs.groupBy(F.to_date("created_at").alias("day")).agg(F.sum("embed_requests").alias("requests"))
+
+
+def embed_requests_today(jobs: DataFrame, as_of: Column) -> DataFrame:
+    """requests: those of all jobs since the midnight before as_of; 0 without any."""
+    today = jobs.filter((F.col("created_at") >= F.date_trunc("day", as_of)) & (F.col("created_at") <= as_of))
+    return today.agg(F.coalesce(F.sum("embed_requests"), F.lit(0)).cast("long").alias("requests"))
+
+
+def changed_file_chunks(chunks: DataFrame, changed: DataFrame) -> DataFrame:
+    """Chunks of the changed files, in order of path and place if written or shown. changed: project_id, path."""
+    return chunks.join(changed.select(*KEY), KEY, "left_semi").orderBy(*KEY, "ord")

@@ -221,12 +221,12 @@ def latest_job(spark, sf_dir):
 @query(f"WITH {JOBS}, l AS (SELECT * FROM jobs QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) = 1) SELECT c_custkey AS project_id, job_id, status FROM customer LEFT JOIN l ON c_custkey = l.project_id")
 def projects_with_latest_job(spark, sf_dir):
     projects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("project_id"))
-    return projects.join(I.latest_job(jobs(spark, sf_dir)), "project_id", "left").select("project_id", "job_id", "status")
+    return I.projects_with_latest_job(projects, jobs(spark, sf_dir)).select("project_id", "job_id", "status")
 
 
 @query(f"WITH {JOBS} SELECT date_trunc('day', created_at)::DATE AS day, CAST(sum(embed_requests) AS BIGINT) AS requests FROM jobs GROUP BY 1")
 def embed_requests_by_day(spark, sf_dir):
-    return jobs(spark, sf_dir).groupBy(F.to_date("created_at").alias("day")).agg(F.sum("embed_requests").alias("requests"))
+    return I.embed_requests_by_day(jobs(spark, sf_dir))
 
 
 @query(f"WITH {FILES}, c AS (SELECT project_id, lang, count(*) AS n, min(path) AS first FROM files GROUP BY ALL) SELECT project_id, upper(lang) AS language FROM c QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY n DESC, first) = 1")
@@ -267,7 +267,13 @@ def rank_files(spark, sf_dir):
     return A.rank_files(code_files(spark, sf_dir))
 
 
-@query()
+@query(rf"""WITH {FILES}, sized AS (SELECT project_id, count(*) AS n, arg_min(text, path) AS readme FROM files GROUP BY 1),
+langs AS (SELECT project_id, arg_min(upper(lang), (-n, first)) AS language FROM (SELECT project_id, lang, count(*) AS n, min(path) AS first FROM files GROUP BY ALL) GROUP BY 1),
+dirs AS (SELECT project_id, string_agg(lang || ' (' || n || ')', ', ' ORDER BY n DESC, lang) AS dirs FROM (SELECT project_id, lang, count(*) AS n FROM files GROUP BY ALL) GROUP BY 1),
+led AS (SELECT *, regexp_replace(list_filter(list_transform(regexp_split_to_array(regexp_replace(readme, '^#+\s[^\n]*(\n|$)', ''), '\n\s*\n'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')),
+  lambda p: p <> '' AND NOT regexp_matches(p, '^#+\s'))[1], '\s+', ' ', 'g') AS p FROM sized)
+SELECT project_id, concat_ws(chr(10) || chr(10), project_id || ' — ' || language || '. ' || n || ' files.' || chr(10) || 'Top dirs: ' || dirs || '.' || chr(10) || 'Detected: React 18.' || chr(10) || 'Scripts: build.',
+  CASE WHEN length(p) > {T.PARAGRAPH_CHARS} THEN substr(p, 1, {T.PARAGRAPH_CHARS}) || '…' ELSE p END) AS digest FROM led JOIN langs USING (project_id) JOIN dirs USING (project_id)""")
 def repo_digest(spark, sf_dir):
     f = files(spark, sf_dir)
     manifest = f.groupBy("project_id").agg(F.count(F.lit(1)).alias("n")).select("project_id", F.format_string('{"name": "%s", "dependencies": {"react": "^18.2.0"}, "scripts": {"build": "x"}}', "project_id").alias("content"))
@@ -284,14 +290,13 @@ def read_range(spark, sf_dir):
 def changed_file_chunks(spark, sf_dir):
     chunks = whole_chunks(spark, sf_dir)
     changed = files(spark, sf_dir).filter("doc_id % 4 = 0").select("project_id", "path")
-    return chunks.join(changed, ["project_id", "path"], "left_semi").select("project_id", "path", "ord")
+    return I.changed_file_chunks(chunks, changed).select("project_id", "path", "ord")
 
 
 @query(f"WITH {JOBS} SELECT project_id, job_id, row_number() OVER (PARTITION BY project_id ORDER BY created_at DESC, job_id DESC) AS place FROM jobs QUALIFY place <= 3")
 def listings(spark, sf_dir):
     """The newest three jobs of each project."""
-    order = Window.partitionBy("project_id").orderBy(F.desc("created_at"), F.desc("job_id"))
-    return jobs(spark, sf_dir).withColumn("place", F.row_number().over(order)).filter("place <= 3").select("project_id", "job_id", "place")
+    return I.newest_jobs(jobs(spark, sf_dir), 3).select("project_id", "job_id", "place")
 
 
 @query(f"WITH {FILES} SELECT path, regexp_replace(CASE WHEN len(p) > 500 THEN substr(p, 1, 500) || '…' ELSE p END, '^$', '') AS lead FROM (SELECT path, trim(regexp_replace(text, '[ \\n\\t\\r\\f\\v]+', ' ', 'g')) AS p FROM files WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND text NOT LIKE '#%')")

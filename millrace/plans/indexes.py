@@ -15,7 +15,7 @@ from ..operators import retrieval as R
 from ..operators.storage import shared_root
 from ..sources.files import read_questions
 from .corpus import _BEFORE, _STATE, _before, named
-from .derive import FILES, LINES, files, table, whole_chunks
+from .derive import FILES, LINES, files, jobs, table, whole_chunks
 from .questions import _TEXT_HITS, passages
 
 QUERIES: dict = {}
@@ -180,3 +180,11 @@ def write_index(spark, sf_dir):
     again = walked.filter("doc_id % 2 = 0").select("project_id").distinct()
     I.write_index(walked.join(again, "project_id", "left_semi").select("project_id", "path", "content_hash"), path)
     return spark.read.schema("path string, content_hash string, project_id string").parquet(path).select("project_id", "path", "content_hash")
+
+
+@query("SELECT CAST(sum(o_orderkey % 50) AS BIGINT) AS requests FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)")
+def embed_requests_today(spark, sf_dir):
+    """As of noon of the last day that has jobs."""
+    j = jobs(spark, sf_dir)
+    last = j.agg(F.max("created_at").alias("t")).first()["t"]
+    return I.embed_requests_today(j, F.lit(last) + F.expr("INTERVAL 12 HOURS"))

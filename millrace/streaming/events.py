@@ -56,18 +56,23 @@ def coalesced(rows: list[tuple], last: tuple | None, held: tuple | None, spaced_
 
 
 def coalesce_progress(events: DataFrame, spaced_ms: int = SPACED_MS, late: str = LATE, idle_ms: int = 3_600_000) -> DataFrame:
-    """project_id, ts, phase, done. Streaming only; a project's state goes after idle_ms without events, its held row is then emitted."""
+    """project_id, ts, phase, done. Streaming only; a project's state goes after idle_ms without events, its held row is then emitted.
+
+    No phase is a phase of its own; rows without time are left out.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last = held = None
         if state.exists:
             a, b, c, d, e, f = state.get
-            last, held = (a, b, c) if b is not None else None, (d, e, f) if e is not None else None
+            last, held = (a, b, c) if a is not None else None, (d, e, f) if d is not None else None
         if state.hasTimedOut:
             state.remove()
             out = [held] if held else []
         else:
-            rows = sorted((int(r.ts.value // 1_000_000), r.phase, float(r.done)) for f in frames for r in f.itertuples())
+            rows = [(int(r.ts.value // 1_000_000), None if pd.isna(r.phase) else r.phase, float("nan") if r.done is None else float(r.done)) for f in frames for r in f.itertuples() if not pd.isna(r.ts)]
+            # In order of time; rows without phase before those with one.
+            rows.sort(key=lambda r: (r[0], r[1] is not None, r[1] or "", r[2]))
             out, last, held = coalesced(rows, last, held, spaced_ms)
             state.update((*(last or (None, None, None)), *(held or (None, None, None))))
             state.setTimeoutDuration(idle_ms)

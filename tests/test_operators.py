@@ -1,3 +1,4 @@
+import datetime
 import hashlib
 import io
 import zipfile
@@ -281,3 +282,15 @@ def test_prompts_of_the_family(spark):
     assert got[3] == "GROUP SUMMARIES:\nGroup 1:\nx\n\nGroup 2:\ny"
     assert got[4] == "[1] p:2-3\n```\ncode\n```"
     assert got[5] == "[1] p:2-3\n... [truncated]"
+
+
+def test_jobs_of_projects(spark):
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour)
+    jobs = spark.createDataFrame([("p", 1, at(1, 5), "old", 7), ("p", 2, at(2, 5), "done", 3), ("p", 3, at(2, 5), "queued", 4), ("p", 4, at(2, 9), "later", 9)], "project_id string, job_id int, created_at timestamp, status string, embed_requests int")
+    projects = spark.createDataFrame([("p", "ready"), ("q", "new")], "project_id string, status string")
+    now = F.lit(at(2, 6))
+    assert I.embed_requests_today(jobs, now).first().requests == 7
+    assert I.embed_requests_today(jobs, F.lit(at(9, 6))).first().requests == 0
+    got = {r.project_id: (r.status, r.job_status) for r in I.projects_with_latest_job(projects, jobs.filter("job_id < 4")).collect()}
+    assert got == {"p": ("ready", "queued"), "q": ("new", None)}
+    assert {(r.job_id, r.place) for r in I.newest_jobs(jobs, 2).collect()} == {(4, 1), (3, 2)}

@@ -5,8 +5,11 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import retrieval as R
 from millrace.operators.indexing import hashing_embedder
 from millrace.operators.retrieval import word_similarity
 from millrace.plans import registry
@@ -149,3 +152,34 @@ def test_quality_of_each_arm(spark, tmp_path):
     assert h.questions == 6
     assert [h.recall_5, h.recall_10, h.mrr] == [round(sum(x) / 6, 6) for x in (r5, r10, mrr)]
     assert tuple(registry.queries()["fulltext_quality"](spark, str(tmp_path)).first()) == tuple(got["fts"])
+
+
+@pytest.mark.parametrize("bits, probes", [(3, 1), (5, 4), (6, 22)])
+def test_ann_search_looks_into_its_buckets_and_no_others(spark, monkeypatch, bits, probes):
+    """Blocks of a few rows, copies, ties, a zero vector, odd lengths, null ids and parts, beside a plain version."""
+    monkeypatch.setattr(R, "MEET_ROWS", 7)
+    monkeypatch.setattr(R, "MEET_QUERIES", 3)
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(120, 8)), 1)
+    x[60:90], x[5] = x[59], 0  # a hot bucket
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    odd = [(200, [1.0]), (201, None), (None, x[0].tolist()), (202, [None, *x[0, 1:].tolist()])]
+    table = spark.createDataFrame(rows + odd, "id int, vec array<double>").withColumn("v", F.lit("extra")).withColumn("bucket", F.lit(1))
+    asked = table.filter("id % 10 = 0 OR id = 5 OR id IS NULL")
+    got = {(r.query_id, r.rank): (r.chunk_id, r.score) for r in R.ann_search(table, asked, "id", "vec", 8, 4, 5, bits, probes).collect()}
+    planes, want = R.hyperplanes(8, 5, bits), {}
+    own, met = R.bucket_keys(x, planes)[:, :, 0], R.bucket_keys(x, planes, probes)
+    for q in [*range(0, 120, 10), 5]:
+        near = [i for i in range(120) if i != q and any(own[i, t] in met[q, t] for t in range(5))]
+        cos = {i: float(x[i] @ x[q] / max(np.linalg.norm(x[i]) * np.linalg.norm(x[q]), 1e-300)) for i in near}
+        best = sorted(near, key=lambda i: (-round(cos[i], 6) + 0.0, i))[:4]
+        want |= {(q, rank): (i, round(cos[i], 6)) for rank, i in enumerate(best, 1)}
+    assert {k: c for k, (c, _) in got.items()} == {k: c for k, (c, _) in want.items()}
+    assert all(abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
+
+
+def test_ann_search_of_empty_tables(spark):
+    none = spark.createDataFrame([], "id int, vec array<float>")
+    assert R.ann_search(none, none, "id", "vec", 8).count() == 0
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "id int, vec array<float>")
+    assert R.ann_search(one, one, "id", "vec", 2).count() == 0

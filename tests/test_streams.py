@@ -60,3 +60,10 @@ def test_incremental_index(spark, tmp_path):
     q = S.incremental_index(files, lambda batch, _: build_chunks(batch).write.mode("append").parquet(f"{tmp_path}/chunks"), f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/chunks").select(F.col("content")).first().content == "x\ny"
+
+
+def test_coalesced_progress_takes_null_phases(spark, tmp_path):
+    rows = [("p", ts(0), None, 1.0), ("p", ts(0), "a", 2.0), ("p", ts(0.1), None, None), ("p", ts(0.2), None, 3.0), ("q", None, "a", 1.0)]
+    schema = "project_id string, ts timestamp, phase string, done double"
+    got = run(S.coalesce_progress(stream(spark, tmp_path, rows, schema)), tmp_path, "append", "coalesced_nulls")
+    assert [(r.project_id, r.phase) for r in got] == [("p", None), ("p", "a"), ("p", None)]
