@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +34,12 @@ from .shared import slices, texts_of, written
 
 SENTENCE_WORDS, RUNS, BUCKETS = 40, (4, 6, 8), 1 << 18
 #: Labelled documents that are learned from, and the bytes of text that they have together at most.
-TRAINING_ROWS, TRAINING_BYTES = 6_000, 32 << 20
+TRAINING_ROWS, TRAINING_BYTES = 4_000, 12 << 20
 PREDICT_FROM = 0.5
 #: Features of fewer documents of the sample than this keep weight 0.
 LEAST_DOCUMENTS = 4
+#: Documents of the sample whose features are counted at a time.
+COUNT_DOCUMENTS = 100
 #: Documents that a feature's log-odds are drawn to the average by.
 SHRINK = 100.0
 #: Weight of all toxic documents together beside that of the others.
@@ -148,7 +150,7 @@ def hash_bytes(word: bytes) -> int:
 
 
 def bucket(hashes: np.ndarray) -> np.ndarray:
-    return ((hashes * _MIX) >> np.uint64(64 - 18)).astype(np.int64)
+    return ((hashes * _MIX) >> np.uint64(64 - 18)).astype(np.int32)
 
 
 def units(s: Sentences) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -248,16 +250,27 @@ def fit(texts: list[bytes], y: np.ndarray, terms: tuple = IDENTITY_TERMS, fairne
     share = y.mean()
     weigh = np.where(y == 1, BALANCE / share, 1 / (1 - share)) / (1 + BALANCE) / n_docs
 
-    def odds(documents: np.ndarray, own: np.ndarray) -> np.ndarray:
-        once = np.unique(own * n_docs + documents)
-        seen = np.stack([np.bincount((once // n_docs)[y[once % n_docs] == k], minlength=BUCKETS) for k in (0, 1)]).astype(np.float64)
+    def odds(documents: np.ndarray, features: Callable[[int, int], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """documents: of each item, in order; features(a, b): (item's place from a, bucket) of the items from a to b."""
+        seen = np.zeros((2, BUCKETS))
+        for of in range(0, n_docs, COUNT_DOCUMENTS):
+            a, b = np.searchsorted(documents, [of, of + COUNT_DOCUMENTS])
+            place, own = features(a, b)
+            once = np.unique(own.astype(np.int64) * n_docs + documents[a:b][place])
+            for k in (0, 1):
+                seen[k] += np.bincount((once // n_docs)[y[once % n_docs] == k], minlength=BUCKETS)
         ratio = np.log((seen[1] + SHRINK * share) / (seen[0] + SHRINK * (1 - share))) - np.log(share / (1 - share))
         return np.where(seen.sum(0) >= LEAST_DOCUMENTS, ratio, 0.0)
 
     at_word = np.unique(doc[sentence] * max(len(s.distinct), 1) + word)
     w_doc, w_word = at_word // max(len(s.distinct), 1), at_word % max(len(s.distinct), 1)
-    pick = np.repeat(begin[w_word] - (np.cumsum(width[w_word]) - width[w_word]), width[w_word]) + np.arange(width[w_word].sum())
-    scale = [odds(np.repeat(w_doc, width[w_word]), buckets[pick]), odds(doc[pair_sentence], pair), np.ones(1)]
+
+    def of_words(a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+        own, size = begin[w_word[a:b]], width[w_word[a:b]]
+        return np.repeat(np.arange(b - a), size), buckets[np.repeat(own - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+    of_pairs = lambda a, b: (np.arange(b - a), pair[a:b])
+    scale = [odds(w_doc, of_words), odds(doc[pair_sentence], of_pairs), np.ones(1)]
     factors = [np.full(BUCKETS, 0.1), np.full(BUCKETS, 0.1), np.array([np.log(share / (1 - share))])]
     pace = [np.zeros_like(p) for p in factors]
     # No step is longer than the curvature allows: at most a quarter of the mean squared length of a document's longest sentence,
