@@ -4,10 +4,11 @@ Words are summed per source (partial sums before the shuffle). The targets share
 beyond `most` times its source's size, and what is cut off is shared anew by weight until no target is above. The end of
 that sharing has a closed form: order the sources by the ratio of bound to weight; the sources before some point sit at
 their bound, and the rest share what is left by weight. A document is emitted floor(rate) times, and once more if its
-seeded hash falls below the fraction of the rate, so reruns and retried tasks agree.
+seeded hash, of id and text, falls below the fraction of the rate, so reruns and retried tasks agree.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; sources without words have
-target 0 and rate 0; a null id is hashed as the empty string; repeated rows are mixed each by itself, alike. Empty
+target 0 and rate 0; a null id or text is hashed as the empty string; rows alike in id and text are mixed alike, others that
+share an id, or have none, each by itself. Empty
 tables give empty results. Other columns, whatever their names, pass through `mix` untouched.
 """
 
@@ -29,9 +30,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def hashed_unit(seed: str, key: Column) -> Column:
-    """A number from [0, 1) with 52 bits of the SHA-256 of seed and key."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit(""))), 256)
+def hashed_unit(seed: str, key: Column, text: Column) -> Column:
+    """A number from [0, 1) with 52 bits of the SHA-256 of seed, key and text."""
+    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))), 256)
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long").cast("double") / F.lit(float(1 << 52))
 
 
@@ -59,9 +60,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return out.withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(most))).otherwise(F.lit(0.0)))
 
 
-def copies(rate: Column, key: Column, seed: str = SEED) -> Column:
+def copies(rate: Column, unit: Column) -> Column:
     whole = F.floor(rate)
-    return (whole + F.when(hashed_unit(seed, key) < rate - whole, 1).otherwise(0)).cast("long")
+    return (whole + F.when(unit < rate - whole, 1).otherwise(0)).cast("long")
 
 
 def small_or_joined(rates: DataFrame) -> DataFrame:
@@ -72,10 +73,10 @@ def small_or_joined(rates: DataFrame) -> DataFrame:
 
 def mixing_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """id, size, source_size, target, copies for every document. The text is read once; sizes are kept as a narrow table."""
-    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")))
+    sized = written(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), hashed_unit(SEED, F.col(id_col), F.col(text_col)).alias("unit")))
     targets = small_or_joined(source_targets(sized, **how).withColumnRenamed("source", "of"))
     joined = sized.join(targets, sized["source"].eqNullSafe(targets["of"]), "left")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies(F.col("rate"), F.col("id")).alias("copies"))
+    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies(F.col("rate"), F.col("unit")).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -88,6 +89,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rates = small_or_joined(source_targets(sized, **how).select(F.struct("source", "rate").alias("__mix")))
     kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     joined = kept.join(rates, kept[f"__doc.`{source_col}`"].eqNullSafe(rates["__mix.source"]), "left")
-    n = copies(F.col("__mix.rate"), F.col(f"__doc.`{id_col}`"))
+    n = copies(F.col("__mix.rate"), hashed_unit(SEED, F.col(f"__doc.`{id_col}`"), F.col(f"__doc.`{text_col}`")))
     repeated = joined.select("__doc", F.explode(F.array_repeat(F.lit(0), n.cast("int"))).alias("__copy"))
     return repeated.select(*[F.col(f"__doc.`{c}`").alias(c) for c in docs.columns])

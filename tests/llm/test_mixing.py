@@ -54,6 +54,16 @@ def test_odd_rows_and_empty_tables(spark):
     assert mixing_plan(df.limit(0)).count() == 0 and mix(df.limit(0)).count() == 0
 
 
+def test_rows_without_id_and_with_a_shared_one_near_their_target(spark):
+    for key in (None, 7):
+        rng = random.Random(1)
+        rows = [(key, f"text {i} " + "w " * rng.randint(0, 20), "a", 0.0, "", 0) for i in range(1_000)]
+        plan = mixing_plan(spark.createDataFrame(rows, SCHEMA), share=0.5).collect()
+        taken = sum(r["size"] * r.copies for r in plan)
+        assert abs(taken - plan[0].target) < 5 * 13 * math.sqrt(1_000 / 4) and {r.copies for r in plan} == {0, 1}
+        assert mix(spark.createDataFrame(rows, SCHEMA), share=0.5).count() == sum(r.copies for r in plan)
+
+
 def test_partitioning_does_not_matter(spark):
     df, _ = docs(spark, ["a", "b", None])
     once = sorted((r.doc_id, r.copies) for r in mixing_plan(df.repartition(7)).collect())

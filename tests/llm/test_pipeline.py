@@ -45,7 +45,7 @@ def copies(rows):
     for r in rows:
         rate = target[r["source"]] / sizes[r["source"]] if sizes[r["source"]] else 0
         rate = 2.0 if abs(rate - 2) < 1e-9 else rate
-        u = int(hashlib.sha256(f"{SEED}:{'' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:13], 16) / 2**52
+        u = int(hashlib.sha256(f"{SEED}:{'' if r['doc_id'] is None else r['doc_id']}:{r['text'] or ''}".encode()).hexdigest()[:13], 16) / 2**52
         out += [r] * (int(rate) + (u < rate - int(rate)))
     return out
 
@@ -78,7 +78,7 @@ def test_stages_keep_columns_and_take_odd_rows(spark, tmp_path):
             out = stage(spark, d, str(tmp_path))
             assert out.columns == docs.columns and out.dtypes == docs.dtypes
             out.collect()
-    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 0, 1, 2, 3]
+    assert sorted(r.doc_id or 0 for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [0, 0, 1, 1, 2, 3]
     assert [r.text for r in corpus_pipeline.secret_scan(spark, docs, "").filter("doc_id = 2").collect()] == ["[REDACTED]"]
     assert corpus_pipeline.quality_classifier(spark, docs.limit(0), str(tmp_path)).count() == 0
 
