@@ -26,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import labelled_sample
-from .shared import slices, texts_of, written
+from .quality_rules import bounded_sample
+from .shared import slices, texts_of
 
 SENTENCE_WORDS, RUNS, BUCKETS = 40, (4, 6, 8), 1 << 18
 #: Labelled documents that are learned from, and the bytes of text that they have together at most.
@@ -309,18 +309,9 @@ def fit(texts: list[bytes], y: np.ndarray, terms: tuple = IDENTITY_TERMS, fairne
     return Model(params[0].astype(np.float32), params[1].astype(np.float32), float(params[2][0]))
 
 
-def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, most_bytes: int, id_col: str, text_col: str) -> DataFrame:
-    """id, text, label: labelled documents by the hashes of their ids, `rows` and `most_bytes` of text at most."""
-    sample = written(labelled_sample(docs, labels, label_col, rows, id_col, text_col, seed=13))
-    # One narrow row for each row of the sample.
-    order = Window.orderBy(F.xxhash64(F.lit(13), "id"), "id").rowsBetween(Window.unboundedPreceding, 0)
-    sized = sample.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).withColumn("held", F.sum("n").over(order))
-    return sample.join(F.broadcast(sized.filter(F.col("held") <= most_bytes).select("id")), "id")
-
-
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES, terms: tuple = IDENTITY_TERMS, fairness: float = FAIRNESS) -> Model | None:
     """The texts of the bounded sample meet in one task that fits the model. None without both labels."""
-    sample = bounded_sample(docs, labels, label_col, rows, most_bytes, id_col, text_col)
+    sample = bounded_sample(docs, labels, label_col, rows, most_bytes, id_col, text_col, seed=13)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows_ = sorted((i, y, t or "") for b in batches for i, y, t in zip(*(b.column(c).to_pylist() for c in ("id", "label", "text")), strict=True))

@@ -4,7 +4,8 @@ A document is a bag of passages of PASSAGE_WORDS words; all of it is read. Each
 shares of its byte pairs and words in hashed buckets, and a few measures of its words, through one hidden layer. Gated
 attention, tanh(Vh) * sigmoid(Uh) weighed by w and made to sum to one over the document's passages, says how much each
 passage counts; the weighted sum of the encodings is scored. All layers are learned together, from the labels of
-documents alone, by gradient steps on a bounded sample (TRAINING_ROWS) that is left aside from what is judged.
+documents alone, by gradient steps on a bounded sample (TRAINING_ROWS, TRAINING_BYTES) that is left aside from what is judged.
+A text longer than a block is encoded part by part; of its parts only a running maximum and sums of the attention are kept.
 
 Defined results: null and empty texts are one passage without words and get a score as others do; repeated rows are
 scored alike; without both labels in the sample there is no model, and scores are 0.5. Empty tables give empty results.
@@ -13,6 +14,7 @@ Other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,14 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality_rules import Block, labelled_sample
+from .quality_rules import Block, bounded_sample
 from .shared import slices, texts_of
 
 PASSAGE_WORDS, PAIRS, WORDS, MEASURES = 128, 512, 256, 6
 HIDDEN, GATE = 32, 16
-#: So many labelled documents are learned from.
-TRAINING_ROWS = 4_000
+#: So many labelled documents are learned from, with so many bytes of text together.
+TRAINING_ROWS, TRAINING_BYTES = 4_000, 32 << 20
 PREDICT_FROM = 0.7
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 #: Texts whose passages are encoded at a time: about 60 bytes of features and their making for each byte.
 BLOCK_BYTES = 512 << 10
 
@@ -54,7 +57,8 @@ def passages(block: Block) -> tuple[np.ndarray, np.ndarray]:
     flat = np.frombuffer(b" ".join([block.distinct[i] for i in ids.tolist()]) + b" ", np.uint8).astype(np.int64)
     own = np.repeat(passage, lengths[ids] + 1)
     pair = ((flat[:-1] * 256 + flat[1:]) * 40503 >> 7) % PAIRS
-    pairs = np.bincount(own[:-1] * PAIRS + pair, minlength=n * PAIRS).reshape(n, PAIRS)
+    inside = own[:-1] == own[1:]
+    pairs = np.bincount(own[:-1][inside] * PAIRS + pair[inside], minlength=n * PAIRS).reshape(n, PAIRS)
     x[:, :PAIRS] = np.sqrt(pairs / np.maximum(pairs.sum(1), 1)[:, None])
     # Measures: words, distinct words, words like the one before, length of words, upper-case words, words that end in a sign.
     keys = np.unique(passage * (len(block.distinct) + 1) + ids)
@@ -86,11 +90,11 @@ class Model:
         bag = np.repeat(np.arange(len(first)), np.diff([*first, len(x)]))
         h = np.maximum(x @ self.w + self.b, 0)
         t, g = np.tanh(h @ self.v), 1 / (1 + np.exp(-h @ self.u))
-        e = (t * g) @ self.a
-        e = np.exp(e - np.maximum.reduceat(e, first)[bag])
+        attended = (t * g) @ self.a
+        e = np.exp(attended - np.maximum.reduceat(attended, first)[bag])
         attention = e / np.add.reduceat(e, first)[bag]
         z = np.add.reduceat(attention[:, None] * h, first)
-        return {"bag": bag, "h": h, "t": t, "g": g, "attention": attention, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ self.c + self.d, -30, 30)))}
+        return {"bag": bag, "h": h, "t": t, "g": g, "attended": attended, "attention": attention, "z": z, "score": 1 / (1 + np.exp(-np.clip(z @ self.c + self.d, -30, 30)))}
 
     def gradients(self, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
         """Of the mean logistic loss, in the order of the fields."""
@@ -137,9 +141,9 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, steps: int = 400, batch
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS, most_bytes: int = TRAINING_BYTES) -> Model | None:
     """Passages are encoded where the texts lie; those of the bounded sample meet in one task that fits the model. None without both labels."""
-    sample = labelled_sample(docs, labels, label_col, rows, id_col, text_col, seed=5)
+    sample = bounded_sample(docs, labels, label_col, rows, most_bytes, id_col, text_col, seed=5)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
             model = fit(np.concatenate(own).astype(np.float32), np.cumsum(sizes) - sizes, y)
             yield pa.RecordBatch.from_arrays([pa.array([p.astype(np.float32).tobytes() for p in model.parts()], pa.binary())], ["part"])
 
-    made = sample.mapInArrow(encode, "id string, label int, passages binary").repartition(1)
+    made = sample.select("id", "label", "text").mapInArrow(encode, "id string, label int, passages binary").repartition(1)
     got = made.mapInArrow(learn, "part binary").collect()
     return Model(*[np.frombuffer(r.part, np.float32).reshape(p.shape) for r, p in zip(got, start().parts(), strict=True)]) if got else None
 
@@ -173,6 +177,43 @@ def scores(texts: list[bytes], model: Model | None) -> tuple[np.ndarray, np.ndar
     return f["score"].astype(np.float64), n, np.array(best)
 
 
+def word_parts(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of about `size` bytes whose passages, in order, are those of the whole."""
+    held, at, given = b"", 0, False
+    while len(text) - at > 2 * size and (space := _SPACE.search(text, at + size)):
+        words = (held + b" " + text[at : space.start()]).split()
+        whole = len(words) - len(words) % PASSAGE_WORDS
+        if whole:
+            yield b" ".join(words[:whole])
+            given = True
+        held, at = b" ".join(words[whole:]), space.start()
+    rest = held + b" " + text[at:] if held else text[at:]
+    if not given or rest.strip():
+        yield rest
+
+
+def score_long(text: bytes, model: Model | None, size: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As scores, for one text, part by part."""
+    top, weight, z, n, best = -np.inf, 0.0, np.zeros(HIDDEN), 0, 0
+    for part in word_parts(text, size):
+        x, first = passages(Block([part]))
+        if model is not None:
+            f = model.forward(x, first)
+            e = f["attended"].astype(np.float64)
+            if e.max() > top:
+                best = n + int(e.argmax())
+                weight, z, top = weight * np.exp(top - e.max()), z * np.exp(top - e.max()), float(e.max())
+            own = np.exp(e - top)
+            weight, z = weight + own.sum(), z + own @ f["h"]
+        n += len(x)
+    score = 0.5 if model is None else 1 / (1 + np.exp(-np.clip(z / weight @ model.c + model.d, -30, 30)))[0]
+    return np.array([score], np.float64), np.array([n]), np.array([best])
+
+
+def judged(texts: list[bytes], model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return score_long(texts[0], model) if len(texts) == 1 else scores(texts, model)
+
+
 def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (probability of label 1), n_passages, top_passage (from 0)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # about 100 KB
@@ -180,7 +221,7 @@ def score_documents(docs: DataFrame, model: Model | None, id_col: str = "doc_id"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", BLOCK_BYTES):
-                score, n, best = scores(texts_of(part, "text"), shared.value)
+                score, n, best = judged(texts_of(part, "text"), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(score), pa.array(n, pa.int64()), pa.array(best, pa.int64())], ["id", "score", "n_passages", "top_passage"])
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -197,6 +238,6 @@ def keep_good(docs: DataFrame, model: Model | None, keep_from: float, text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text_col, BLOCK_BYTES):
-                yield part.filter(pa.array(scores(texts_of(part, text_col), shared.value)[0] >= keep_from))
+                yield part.filter(pa.array(judged(texts_of(part, text_col), shared.value)[0] >= keep_from))
 
     return docs.mapInArrow(run, docs.schema)

@@ -16,7 +16,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import SPACES, lowest_hashes, slices, texts_of, written
@@ -182,6 +182,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: in
     return found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
 
 
+def bounded_sample(docs: DataFrame, labels: DataFrame, label_col: str, rows: int, most_bytes: int, id_col: str = "doc_id", text_col: str = "text", seed: int = 0) -> DataFrame:
+    """id, text, label: labelled documents by the hashes of their ids, `rows` and `most_bytes` of text at most."""
+    sample = written(labelled_sample(docs, labels, label_col, rows, id_col, text_col, seed))
+    # One narrow row for each row of the sample.
+    order = Window.orderBy(F.xxhash64(F.lit(seed), "id"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    sized = sample.select("id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).withColumn("held", F.sum("n").over(order))
+    return sample.join(F.broadcast(sized.filter(F.col("held") <= most_bytes).select("id")), "id")
+
+
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", rows: int = TRAINING_ROWS) -> Model | None:
     """Features are made where the texts lie; the bounded sample's features meet in one task that fits the model. None without both labels."""
     sample = labelled_sample(docs, labels, label_col, rows, id_col, text_col)

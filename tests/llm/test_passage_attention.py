@@ -2,7 +2,7 @@ import zlib
 
 import numpy as np
 
-from millrace.llm.passage_attention import PASSAGE_WORDS, Model, passages, score_documents, start, train
+from millrace.llm.passage_attention import MEASURES, PAIRS, PASSAGE_WORDS, WORDS, Model, passages, score_documents, score_long, scores, start, train
 from millrace.llm.quality_rules import Block
 from millrace.llm.queries_op5 import op5_quality_classifier
 
@@ -48,3 +48,42 @@ def test_gradients_are_those_of_the_loss():
             down = loss()
             part[at] = old
             assert abs((up - down) / (2 * e) - gradient[at]) < 1e-6
+
+
+def plain_score(text, model):
+    """One document, passage by passage, without numbers of words: features in dictionaries, then the layers one after the other."""
+    words = text.split()
+    hidden, weights = [], []
+    for at in range(0, max(1, len(words)), PASSAGE_WORDS):
+        own = words[at : at + PASSAGE_WORDS]
+        n, x = max(1, len(own)), np.zeros(PAIRS + WORDS + MEASURES)
+        for w in own:
+            x[PAIRS + zlib.crc32(w) % WORDS] += 1 / n
+        line = b" ".join(own) + b" " if own else b""
+        for a, b in zip(line, line[1:]):
+            x[((a * 256 + b) * 40503 >> 7) % PAIRS] += 1 / (len(line) - 1)
+        x = np.sqrt(x)
+        x[-6:] = [np.log1p(len(own)) / 5, len(set(own)) / n, sum(a == b for a, b in zip(own, own[1:])) / n, sum(map(len, own)) / n / 10, sum(w[:2].isupper() for w in own) / n, sum(not w[-1:].isalnum() and w[-1:] < b"\x80" and w[-1:] not in b".,;:!?" for w in own) / n]
+        h = np.maximum(x @ model.w + model.b, 0)
+        hidden.append(h)
+        weights.append(float((np.tanh(h @ model.v) / (1 + np.exp(-h @ model.u))) @ model.a))
+    share = np.exp(np.array(weights) - max(weights))
+    return float(1 / (1 + np.exp(-(share / share.sum() @ np.array(hidden) @ model.c + model.d[0]))))
+
+
+def test_scores_are_those_of_a_plain_pass(spark, sf_dir):
+    docs, model = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), start(7)
+    got = {r.doc_id: r.score for r in score_documents(docs, model).collect()}
+    for r in docs.collect():
+        assert abs(got[r.doc_id] - plain_score((r.text or "").encode(), model)) < 2e-5
+
+
+def test_long_texts_in_parts():
+    rng, model = np.random.default_rng(2), start(9)
+    text = b" ".join(f"{'W' if rng.random() < 0.1 else 'w'}{i}".encode() for i in rng.integers(0, 900, 4_000)) + b" \n "
+    want = scores([text], model)
+    for size in (300, 5_000, 1 << 20):
+        got = score_long(text, model, size)
+        assert abs(got[0][0] - want[0][0]) < 1e-5 and got[1][0] == want[1][0] and got[2][0] == want[2][0]
+    for text in (b"", b"  ", b"a" * 5_000):
+        assert abs(score_long(text, model, 100)[0][0] - scores([text], model)[0][0]) < 1e-6
