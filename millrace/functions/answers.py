@@ -24,7 +24,7 @@ def parse_citations(answer: Column, evidence: Column) -> Column:
     prose = F.regexp_replace(answer, FENCE, "")
     marks = F.regexp_extract_all(prose, F.lit(MARKER), F.lit(0))
     numbers = F.flatten(F.transform(marks, lambda m: F.regexp_extract_all(F.regexp_replace(m, "†.*", ""), F.lit(r"(\d+)"), F.lit(1))))
-    return F.array_distinct(F.filter(F.transform(numbers, lambda n: F.try_to_number(F.left(n, F.lit(9)), F.lit("999999999")).cast("int")), lambda n: (n >= 1) & (n <= evidence)))
+    return F.array_distinct(F.filter(F.transform(F.transform(numbers, lambda n: F.ltrim(n, F.lit("0"))), lambda n: F.when(F.char_length(n) <= 9, F.try_to_number(n, F.lit("999999999")).cast("int"))), lambda n: (n >= 1) & (n <= evidence)))
 
 
 @F.pandas_udf(StringType())

@@ -24,6 +24,8 @@ from .storage import stored
 KEY = ["project_id", "path"]
 #: Fixed values of the reports.
 STORAGE_BUDGET, REQUEST_SIZE, REQUESTS_A_DAY = 512 * 1024 * 1024, 64, 900
+#: Characters of a chunk that a model's input holds beside its heading.
+FITTING_CHARS = 4000
 #: Bytes of ignore rules that are broadcast.
 BROADCAST_RULES = 16 << 20
 #: Inputs of an embedding batch are padded to its longest: count * longest^2 stays below this.
@@ -152,6 +154,22 @@ def build_chunks(files: DataFrame, lang_col: str | None = None) -> DataFrame:
     return cut.select(chunk_id.alias("chunk_id"), *KEY, "ord", "start_line", "end_line", "symbol", "content", T.sha256(F.col("content")).alias("content_hash"), T.search_text(F.col("content")).alias("search_text"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
+def fitting_chunks(chunks: DataFrame, chars: int = FITTING_CHARS) -> DataFrame:
+    """chunks, those of more than `chars` characters in parts, so that a model's input holds each whole.
+
+    Parts end before white space where there is any, follow each other without loss, and keep the chunk's place and lines; the first
+    keeps its id, the others' ids are hashes of it and their number. Hashes and search texts are made anew; vectors of parts are null.
+    """
+    parts = F.regexp_extract_all("content", F.lit(rf"(?s).{{1,{chars}}}(?=\s|\z)|(?s).{{1,{chars}}}"), F.lit(0))
+    short = chunks.filter(F.coalesce(F.char_length("content") <= chars, F.lit(True)))
+    cut = chunks.filter(F.char_length("content") > chars).select("*", F.posexplode(parts).alias("__n", "__part"))
+    own = {
+        "chunk_id": F.when(F.col("__n") == 0, F.col("chunk_id")).otherwise(F.sha2(F.concat_ws("\x00", "chunk_id", F.col("__n").cast("string")), 256)),
+        "content": F.col("__part"), "content_hash": T.sha256(F.col("__part")), "search_text": T.search_text(F.col("__part")), "embedding": F.lit(None).cast("array<float>"),
+    }
+    return short.unionByName(cut.select(*[own[c].alias(c) if c in own else F.col(c) for c in chunks.columns]))
+
+
 def first_chunks(chunks: DataFrame) -> DataFrame:
     """The first chunk of every file that has any."""
     return chunks.filter("ord = 0")
@@ -162,10 +180,11 @@ def build_index(walked: DataFrame, files: DataFrame, chunks: DataFrame, lang_col
 
     walked: project_id, path, text (taken files only).
     """
-    hashed = walked.withColumn("content_hash", T.file_content_hash(F.col("text")))
-    diff = diff_files(hashed, files)
-    fresh = hashed.join(diff.filter("state IN ('new', 'changed')").select(*KEY), KEY, "left_semi")
-    now = hashed.select(*KEY, P.lang_from_path(F.col("path")).alias("lang"), "content_hash", F.size(T.to_lines(F.col("text"))).alias("line_count"))
+    lines = F.size(T.to_lines(F.col("text"))).alias("line_count")
+    # Texts are read and hashed once for the narrow table of files; only those of fresh files are read again.
+    now = stored(walked.select(*KEY, P.lang_from_path(F.col("path")).alias("lang"), T.file_content_hash(F.col("text")).alias("content_hash"), lines))
+    diff = stored(diff_files(now, files))
+    fresh = walked.join(diff.filter("state IN ('new', 'changed')").select(*KEY), KEY, "left_semi")
     kept = unchanged_chunks(chunks, diff)
     return now, kept.unionByName(build_chunks(fresh.withColumn("lang", P.lang_from_path(F.col("path"))), lang_col))
 
@@ -292,7 +311,10 @@ def hashing_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
 
 
 def embed_pending(chunks: DataFrame, cache: DataFrame, model_id: str, dim: int, factory: Callable[[], Callable[[list[str]], np.ndarray]] = hashing_embedder) -> tuple[DataFrame, DataFrame]:
-    """(chunks with vectors, new cache rows). Each distinct text that the cache misses is embedded once; the model is made once per task."""
+    """(chunks with vectors, new cache rows). Each distinct text that the cache misses is embedded once; the model is made once per task.
+
+    chunks are read three times: store them first if they are costly to make.
+    """
     text = T.model_input(T.embedding_text(F.col("path"), F.col("symbol"), F.col("start_line"), F.col("end_line"), F.col("content")))
     todo = pending_embeddings(chunks).withColumn("__text", text).withColumn("text_hash", T.sha256(F.col("__text")))
     known = stored(cached_vectors(todo.select("chunk_id", "text_hash"), cache, model_id, dim))

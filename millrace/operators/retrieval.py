@@ -59,7 +59,8 @@ class Best:
         self.most = max(200_000, 2 * k * queries)
 
     def add(self, scores: np.ndarray, eligible: np.ndarray, numbers: np.ndarray, ids: pa.Array) -> None:
-        """scores, eligible: chunks x queries; numbers: those of the queries."""
+        """scores, eligible: chunks x queries; numbers: those of the queries. Scores that aren't finite take no place."""
+        eligible = eligible & np.isfinite(scores)
         if len(scores) > self.k:
             masked = np.where(eligible, scores, -np.inf)
             eligible = eligible & (scores >= np.partition(masked, len(masked) - self.k, axis=0)[len(masked) - self.k])
@@ -135,7 +136,8 @@ def _row_blocks(rows: int, queries: int) -> Iterator[tuple[int, int]]:
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> DataFrame:
     """query_id, chunk_id, score (cosine, six digits), rank. chunks: project_id, chunk_id, embedding; queries: query_id, project_id, vector.
 
-    Vectors of another length than the query's, or without any, aren't compared with it.
+    Vectors of another length than the query's aren't compared with it; those that are null or hold null or non-finite parts
+    take no part, on either side.
     """
 
     def prepare(asked: list) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -155,11 +157,17 @@ def vector_search(chunks: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> D
                 scores[:, which] = np.copysign(np.floor(np.abs(found) * 1e6 + 0.5) / 1e6, found)
                 yield scores, np.broadcast_to(which, scores.shape), same.column("chunk_id").slice(a, b - a)
 
-    asked = queries.select("query_id", "project_id", F.col("vector").cast("array<double>").alias("asked"))
-    rows = chunks.filter("embedding IS NOT NULL").select("project_id", "chunk_id", "embedding")
+    asked = queries.select("query_id", "project_id", F.col("vector").cast("array<double>").alias("asked")).filter(finite("asked"))
+    rows = chunks.filter(finite("embedding")).select("project_id", "chunk_id", "embedding")
     return top_k(best_of_tasks(rows, asked, k, prepare, score).withColumn("score", F.round("score", 6)), k)
 
 
+def finite(vector: str) -> Column:
+    """Whether a vector is there and all its parts are numbers."""
+    good = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
+    return F.col(vector).isNotNull() & good
+
+
 class WordIndex:
     """Queries by the words they ask for."""
 
@@ -204,8 +212,15 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
     return chunks.select("project_id", "chunk_id", (F.col("words") if "words" in chunks.columns else T.lexemes(F.col("search_text"))).alias("words"))
 
 
-def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K) -> DataFrame:
-    """query_id, chunk_id, score, rank: 0.1 for each occurrence (TERM_CAP a term at most) of the query's terms; a phrase occurs where its lexemes follow each other."""
+def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K, index: str | None = None) -> DataFrame:
+    """query_id, chunk_id, score, rank: 0.1 for each occurrence (TERM_CAP a term at most) of the query's terms; a phrase occurs where its lexemes follow each other.
+
+    index: the folder of postings of these chunks (operators/postings.py), read instead of them.
+    """
+    if index is not None:
+        from .postings import indexed_search
+
+        return indexed_search(chunks.sparkSession, index, queries, k)
 
     def prepare(asked: list) -> tuple[WordIndex, list[tuple[int, list[int]]]]:
         phrases = [(q, t) for q, own in enumerate(asked) for t in own if len(t) > 1]
@@ -418,7 +433,7 @@ def hyperplane_keys(vectors: DataFrame, planes: np.ndarray, probes: int = 1) ->
 def _of_length(vectors: DataFrame, id_col: str, vector_col: str, dim: int) -> DataFrame:
     v = F.col(vector_col).cast("array<double>")
     rows = vectors.select(F.col(id_col).alias("id"), v.alias("v"))
-    return rows.filter(F.col("id").isNotNull() & (F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull()))
+    return rows.filter(F.col("id").isNotNull() & (F.size("v") == dim) & finite("v"))
 
 
 def calibrated_buckets(rows: DataFrame, count: int, dim: int, k: int, tables: int, recall: float) -> tuple[int, int]:
@@ -456,7 +471,7 @@ def ann_search(vectors: DataFrame, queries: DataFrame, id_col: str, vector_col:
     bits and probes: calibrated to ANN_RECALL unless given; bits grow with the table, so that buckets don't. Rows and
     queries meet by bucket, cut into blocks, so that a bucket of any size is dealt over many tasks; a block gives each
     query's k best, and only those are brought together; a query's own buckets are looked into first, and the others give
-    only what is no worse than the k-th row found there. Rows of another length, without id or with null parts take no part;
+    only what is no worse than the k-th row found there. Rows of another length, without id or with null or non-finite parts take no part;
     a zero vector is at 0 from all. No row is its own neighbour.
     """
     rows, asked = _of_length(vectors, id_col, vector_col, dim), _of_length(queries, id_col, vector_col, dim)

@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import indexing as I
+from ..operators.storage import stored
 from .derive import FILES, JOBS, LINES, SEARCH_TEXT, SPLIT, files, jobs, table, whole_chunks
 
 QUERIES: dict = {}
@@ -201,7 +202,7 @@ def build_index(spark, sf_dir):
 @query()
 def embed_pending(spark, sf_dir):
     """Vectors for all chunks, with a cache that holds none."""
-    chunks = I.build_chunks(files(spark, sf_dir))
+    chunks = stored(I.fitting_chunks(I.build_chunks(files(spark, sf_dir))))
     cache = spark.createDataFrame([], "model_id string, text_hash string, embedding array<float>")
     return I.embed_pending(chunks, cache, "hash-64", 64)[0].select("chunk_id", F.size("embedding").alias("dim"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 4).alias("norm"))
 
@@ -297,9 +298,3 @@ def changed_file_chunks(spark, sf_dir):
 def listings(spark, sf_dir):
     """The newest three jobs of each project."""
     return I.newest_jobs(jobs(spark, sf_dir), 3).select("project_id", "job_id", "place")
-
-
-@query(f"WITH {FILES} SELECT path, regexp_replace(CASE WHEN len(p) > 500 THEN substr(p, 1, 500) || '…' ELSE p END, '^$', '') AS lead FROM (SELECT path, trim(regexp_replace(text, '[ \\n\\t\\r\\f\\v]+', ' ', 'g')) AS p FROM files WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%' AND text NOT LIKE '#%')")
-def first_paragraphs(spark, sf_dir):
-    plain = files(spark, sf_dir).filter(~F.contains("text", F.lit("\n\n")) & ~F.startswith("text", F.lit("#")))
-    return plain.select("path", T.first_paragraph(F.col("text")).alias("lead"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from ..operators import conversations as C
 from ..operators import evaluation as E
 from ..operators import indexing as I
 from ..operators import retrieval as R
-from ..operators.storage import stored
+from ..operators.postings import build_postings, indexed_references
+from ..operators.storage import shared_root, stored
 from .derive import FILES, LEXEMES, MESSAGES, SEARCH_TEXT, files, messages, table, whole_chunks
 
 QUERIES: dict = {}
@@ -54,16 +57,25 @@ def flagship_passage_search(spark, sf_dir):
     return found.select("query_id", "rank", "score", "path")
 
 
-@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 50 = 0),
-s AS (SELECT query_id, e.vec_id AS chunk_id, round(list_inner_product(q.v, e.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings e USING (label))
-SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20""")
-def vector_search(spark, sf_dir):
-    return _nearest(spark, sf_dir, 50)
+@query(SQL["fulltext_search"])
+def fulltext_search_indexed(spark, sf_dir):
+    """As fulltext_search, through postings that are built first."""
+    chunks = whole_chunks(spark, sf_dir, "all")
+    return R.fulltext_search(chunks, passages(spark, sf_dir), index=_index(chunks))
 
 
-@query(SQL["vector_search"].replace("vec_id % 50 = 0", "vec_id % 20 = 0"))
+def _index(chunks):
+    """A new folder with the postings of the chunks."""
+    folder = f"{shared_root(chunks.sparkSession)}/postings-{uuid.uuid4().hex}"
+    build_postings(chunks, folder)
+    return folder
+
+
+@query("""WITH q AS (SELECT vec_id AS query_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+s AS (SELECT query_id, e.vec_id AS chunk_id, round(list_inner_product(q.v, e.embedding::DOUBLE[]) / (sqrt(list_inner_product(q.v, q.v)) * sqrt(list_inner_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS score FROM q JOIN embeddings e USING (label))
+SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM s QUALIFY rank <= 20""")
 def vector_search_20(spark, sf_dir):
-    """As vector_search, for every row whose id is divisible by 20."""
+    """Nearest rows of the same label, for every row whose id is divisible by 20."""
     return _nearest(spark, sf_dir, 20)
 
 
@@ -112,12 +124,17 @@ def find_references(spark, sf_dir):
     return R.find_references(_identified(spark, sf_dir), asked).drop("end_line")
 
 
-@query(f"""WITH {_TEXT_HITS},
-arm AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fts QUALIFY rank <= 50),
-fused AS (SELECT query_id, chunk_id, round(CAST(1.0 AS DOUBLE) / (60 + rank), 6) AS score, rank FROM arm)
-SELECT query_id, rank, score, chunk_id, chunk_id AS path, 1 AS start_line FROM fused WHERE rank <= 10""")
-def hybrid_search(spark, sf_dir):
-    return R.hybrid_search(whole_chunks(spark, sf_dir, "all"), passages(spark, sf_dir), with_vectors=False, with_fuzzy=False).drop("end_line")
+@query(SQL["find_references"])
+def find_references_indexed(spark, sf_dir):
+    """As find_references, through postings that are built first."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("all").alias("project_id"), F.concat(F.lit("validateUser"), (F.col("item_id") % 100).cast("string")).alias("symbol"))
+    return indexed_references(spark, _index(_identified(spark, sf_dir)), asked).drop("end_line")
+
+
+def _pieces(spark, sf_dir, project=None):
+    """All files in chunks that a model's input holds whole; stored, as every arm reads them."""
+    f = files(spark, sf_dir)
+    return stored(I.fitting_chunks(I.build_chunks(f.withColumn("project_id", F.lit(project)) if project else f)))
 
 
 def _embedded(spark, chunks):
@@ -128,16 +145,16 @@ def _embedded(spark, chunks):
 
 @query()
 def hybrid_search_all_arms(spark, sf_dir):
-    """As hybrid_search, whose SQL has the full-text arm alone, with the vector and the trigram arm."""
-    chunks = whole_chunks(spark, sf_dir, "all")
-    return R.hybrid_search(chunks, I.embed_queries(passages(spark, sf_dir), 64), embedded=_embedded(spark, chunks)).drop("end_line")
+    """The full-text, vector and trigram arms over all files, fused."""
+    chunks = _pieces(spark, sf_dir, "all")
+    return R.hybrid_search(chunks, stored(I.embed_queries(passages(spark, sf_dir), 64)), embedded=_embedded(spark, chunks)).drop("end_line")
 
 
 @query()
 def multi_project_search(spark, sf_dir):
     """All three arms; every source is in every question's scope."""
-    chunks = whole_chunks(spark, sf_dir)
-    asked = I.embed_queries(passages(spark, sf_dir), 64)
+    chunks = _pieces(spark, sf_dir)
+    asked = stored(I.embed_queries(passages(spark, sf_dir), 64))
     scopes = asked.select("query_id").crossJoin(chunks.select("project_id").distinct())
     return R.multi_project_search(chunks, asked, scopes, embedded=_embedded(spark, chunks))
 
@@ -173,23 +190,28 @@ FROM counts LEFT JOIN hits USING (query_id)""")
 def fulltext_quality(spark, sf_dir):
     """Recall and reciprocal rank of full-text search for the passages that some file holds."""
     chunks, holders = whole_chunks(spark, sf_dir, "all"), stored(_holders(spark, sf_dir))
-    return _quality({"fts": R.fulltext_search(chunks, passages(spark, sf_dir), R.POOLS["fts"])}, holders)
+    found = R.fulltext_search(chunks, passages(spark, sf_dir), R.POOLS["fts"])
+    return _quality({"fts": found.withColumnRenamed("chunk_id", "path")}, holders)
 
 
 @query()
 def retrieval_quality(spark, sf_dir):
-    """As fulltext_quality, for each of the three arms and for their fusion."""
-    chunks, holders = whole_chunks(spark, sf_dir, "all"), stored(_holders(spark, sf_dir))
-    asked = I.embed_queries(passages(spark, sf_dir), 64)
+    """Recall and reciprocal rank of each of the three arms over chunks, and of their fusion; a file's place is its best chunk's."""
+    chunks, holders = _pieces(spark, sf_dir, "all"), stored(_holders(spark, sf_dir))
+    asked = stored(I.embed_queries(passages(spark, sf_dir), 64))
     arms = {name: stored(found) for name, found in R.search_arms(chunks, asked, embedded=_embedded(spark, chunks)).items()}
-    return _quality(arms | {"hybrid": R.fuse_arms(chunks, arms)}, holders)
+    paths = chunks.select("chunk_id", "path")
+    ranked = {name: found.join(paths, "chunk_id").drop("chunk_id") for name, found in arms.items()}
+    return _quality(ranked | {"hybrid": R.fuse_arms(chunks, arms)}, holders)
 
 
 def _quality(lists, holders):
-    """lists: for each mode query_id, chunk_id, rank; a whole file is a chunk, named by its path."""
+    """lists: for each mode query_id, path, rank of its rows."""
     retrieved = None
     for mode, found in lists.items():
-        rows = found.select("query_id", F.lit(mode).alias("mode"), "rank", F.col("chunk_id").alias("path"))
+        first = found.groupBy("query_id", "path").agg(F.min("rank").alias("at"))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("at"))
+        rows = first.select("query_id", F.lit(mode).alias("mode"), place.alias("rank"), "path")
         retrieved = rows if retrieved is None else retrieved.unionByName(rows)
     return E.retrieval_scorecard(E.evaluate_rows(retrieved, holders, holders.select("query_id").distinct()))
 

@@ -71,6 +71,7 @@ def test_modes(spark):
 def test_citations(spark):
     parse = lambda t, n=5: one(spark, N.parse_citations(F.col("t"), F.lit(n)), t=t)
     assert parse("a [2] b [1][2] c [3, 9,4] 【5】 【1†L9】 [0] [x]") == [2, 1, 3, 4, 5]
+    assert parse("[0000000012] [00] [12345678901] [3, 0004]", 12) == [12, 3, 4]
     assert parse("```\narr[1]\n``` then [2]") == [2] and parse("none") == [] and parse("[1]", 0) == []
     df = spark.createDataFrame([("see [1], [2, 3] ```x[1]``` 【1†x】",)], "t string")
     assert df.select(N.render_markers(F.col("t"), F.create_map(F.lit(1), F.lit("u1"), F.lit(3), F.lit("u3")))).first()[0] == "see [1](u1), [2] [3](u3) ```x[1]``` [1](u1)"
