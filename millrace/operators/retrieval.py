@@ -276,7 +276,7 @@ def word_trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
-def word_similarity(probe: list[str], text: list[str], least: float = WORD_SIMILARITY) -> float:
+def word_similarity(probe: list, text: list, least: float = WORD_SIMILARITY) -> float:
     """Best share of the probe's trigrams in a run of the text's: common / (probe + run - common), over runs that begin and end on one of the probe's. Exact from `least` on: longer runs can't reach it."""
     wanted, best = set(probe), 0.0
     at = [i for i, t in enumerate(text) if t in wanted]
@@ -294,31 +294,88 @@ def word_similarity(probe: list[str], text: list[str], least: float = WORD_SIMIL
     return best
 
 
+class Probes:
+    """Fuzzy queries of one project: their trigrams' numbers, the fewest that must be met, and the reach of a run.
+
+    A run that matters has at most `most` different trigrams. Where no `reach` positions in a row repeat so much that they have
+    no more, such a run is at most `reach` long, and so lies in one of the overlapping blocks of twice that length.
+    """
+
+    def __init__(self, asked: list[list[str]], least: float):
+        self.index, self.least = WordIndex(asked), least
+        self.needed = np.array([int(np.ceil(least * len(p) - 1e-9)) for p in asked])
+        self.probes = [[self.index.code[g] for g in p] for p in asked]
+        self.most = int(max(map(len, asked), default=1) / least + 1e-9)
+        self.reach = 4 * self.most
+
+    def scores(self, words: pa.Array) -> tuple[np.ndarray, int]:
+        """(chunks x queries, runs of trigrams that were scored one by one). words: the chunks' lexemes."""
+        lexemes, row = _flat(words)
+        coded, asked, n = lexemes.dictionary_encode(), len(self.index.words), len(words)
+        number = dict(self.index.code)
+        own = [[number.setdefault(g, len(number)) for g in word_trigrams(w)] for w in coded.dictionary.to_pylist()]
+        length = np.array([len(x) for x in own], np.int64)
+        flat, first, word = np.array([g for x in own for g in x], np.int64), np.cumsum(length) - length, coded.indices.to_numpy()
+        each = length[word]
+        grams = flat[np.repeat(first[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        of = np.repeat(row, each)
+        size = np.bincount(of, minlength=n)
+        begin = np.cumsum(size) - size
+        at = np.arange(len(grams)) - begin[of]
+        out, scored = np.zeros((n, self.index.queries)), 0
+        # Blocks of 2 * reach positions, one every `reach`; a repetitive chunk is one block.
+        whole = self._repetitive(grams, of, at, size, begin, len(number))
+        count = np.where(whole, 1, np.maximum(1, -(-size // self.reach)))
+        blocks = np.cumsum(count) - count
+        known = np.flatnonzero(grams < asked)
+        place = np.where(whole[of[known]], 0, at[known] // self.reach)
+        block = blocks[of[known]] + place
+        # Each position lies in its block and in the one before.
+        before = place > 0
+        pair = np.unique(np.concatenate([block * asked + grams[known], (block[before] - 1) * asked + grams[known][before]]))
+        owner = np.repeat(np.arange(n), count)
+        step = max(1, BLOCK_SCORES // max(self.index.queries, 1))
+        for low in range(0, len(owner), step):
+            a, b = np.searchsorted(pair, [low * asked, (low + step) * asked])
+            some = pair[a:b]
+            shared = self.index.sums(some // asked - low, some % asked, np.ones(len(some)), min(step, len(owner) - low))
+            for i, q in np.argwhere(shared >= self.needed[None]).tolist():
+                c = owner[low + i]
+                start = begin[c] + (0 if whole[c] else (low + i - blocks[c]) * self.reach)
+                end = begin[c] + size[c] if whole[c] else min(start + 2 * self.reach, begin[c] + size[c])
+                found = word_similarity(self.probes[q], grams[start:end].tolist(), self.least)
+                out[c, q] = max(out[c, q], np.floor(found * 1e6 + 0.5) / 1e6)
+                scored += 1
+        return out, scored
+
+    def _repetitive(self, grams: np.ndarray, of: np.ndarray, at: np.ndarray, size: np.ndarray, begin: np.ndarray, numbers: int) -> np.ndarray:
+        """Chunks in which `reach` + 1 positions in a row have no more than `most` trigrams that didn't occur within `reach` before."""
+        order = np.argsort(of * numbers + grams, kind="stable")
+        same = (of[order][1:] == of[order][:-1]) & (grams[order][1:] == grams[order][:-1])
+        near = np.zeros(len(grams), bool)
+        near[order[1:]] = same & (at[order][1:] - at[order][:-1] <= self.reach)
+        fresh = np.concatenate([[0], np.cumsum(~near)])
+        starts = np.flatnonzero(at + self.reach < size[of]) if len(grams) else np.zeros(0, np.int64)
+        few = fresh[starts + self.reach + 1] - fresh[starts] <= self.most
+        out = np.zeros(len(size), bool)
+        out[of[starts[few]]] = True
+        return out
+
+
 def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = FUZZY_K, least: float = WORD_SIMILARITY) -> DataFrame:
-    """query_id, chunk_id, score, rank for queries that name identifiers. A chunk below ceil(least * trigrams) shared trigrams can't reach the score; the others are scored where they are read."""
+    """query_id, chunk_id, score, rank for queries that name identifiers.
 
-    def prepare(asked: list) -> tuple[WordIndex, list[list[str]], np.ndarray]:
-        return WordIndex(asked), asked, np.array([int(np.ceil(least * len(p) - 1e-9)) for p in asked])
+    Chunks are cut into overlapping blocks of trigrams where they are read; a block with fewer than ceil(least * trigrams) of a
+    probe's can't reach the score, and only the others are scored run by run.
+    """
 
-    def score(ready: tuple, rows: pa.RecordBatch) -> Iterator[tuple]:
-        index, probes, needed = ready
-        for a, b in _row_blocks(rows.num_rows, index.queries):
+    def prepare(asked: list) -> Probes:
+        return Probes(asked, least)
+
+    def score(probes: Probes, rows: pa.RecordBatch) -> Iterator[tuple]:
+        for a, b in _row_blocks(rows.num_rows, max(probes.index.queries, 1 << 12)):
             part = rows.slice(a, b - a)
-            words, row = _flat(part.column("words"))
-            coded = words.dictionary_encode()
-            # Numbers of the trigrams of each distinct word that some probe has.
-            own = [[g for g in map(index.code.get, word_trigrams(w)) if g is not None] for w in coded.dictionary.to_pylist()]
-            length = np.array([len(x) for x in own], np.int64)
-            flat, first = np.array([g for x in own for g in x], np.int64), np.cumsum(length) - length
-            word = coded.indices.to_numpy()
-            pick = np.repeat(first[word] - (np.cumsum(length[word]) - length[word]), length[word]) + np.arange(length[word].sum())
-            pair = np.unique(np.repeat(row, length[word]) * max(len(index.words), 1) + flat[pick])
-            shared = index.sums(pair // max(len(index.words), 1), pair % max(len(index.words), 1), np.ones(len(pair)), b - a)
-            scores, texts = np.zeros((b - a, index.queries)), {}
-            for i, q in np.argwhere(shared >= needed[None]).tolist():
-                if i not in texts:
-                    texts[i] = [g for w in part.column("words")[i].as_py() for g in word_trigrams(w)]
-                scores[i, q] = np.floor(word_similarity(probes[q], texts[i], least) * 1e6 + 0.5) / 1e6
+            scores, _ = probes.scores(part.column("words"))
             yield scores, scores >= least, part.column("chunk_id")
 
     probe = F.array_distinct(trigrams(F.array_join(T.identifier_tokens(F.col("text")), " ")))

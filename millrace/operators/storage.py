@@ -29,3 +29,12 @@ def shared_root(spark: SparkSession) -> str:
         root = "file://" + tempfile.mkdtemp(prefix="spark-stored-", dir="/tmp")
         spark.conf.set("millrace.stored.dir", root)
     return f"{root.rstrip('/')}/millrace-{spark.sparkContext.applicationId}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a small input dealt over all cores: a table of fewer partitions than cores is often one row group, and one task.
+
+    Inputs of more partitions, as large ones are, stay as they are: nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

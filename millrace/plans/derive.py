@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.storage import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.regexp_replace("text", r"([.!?]) ", "$1\n")
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("project_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "lang", text.alias("text"))
+    return spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("source").alias("project_id"), F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), "lang", text.alias("text"))
 
 
 FILES = r"""files AS (

@@ -12,6 +12,7 @@ from ..operators import analytics as A
 from ..operators import evaluation as E
 from ..operators import indexing as I
 from ..operators import retrieval as R
+from ..operators.snapshots import apply_batch, read_snapshot
 from ..operators.storage import shared_root
 from ..sources.files import read_questions
 from .corpus import _BEFORE, _STATE, _before, named
@@ -87,6 +88,42 @@ def next_index(spark, sf_dir):
     return state.select("project_id", "path", "ord", "start_line", "end_line", "content_hash")
 
 
+_CHANGED = f"""{FILES.replace("files AS", "all_files AS", 1)},
+files AS (SELECT doc_id, project_id, path, lang, CASE WHEN doc_id % 10 = 3 THEN text || chr(10) || 'changed' ELSE text END AS text FROM all_files WHERE project_id IS DISTINCT FROM 'src0')"""
+_SNAPSHOT = f"WITH {_WINDOWS.replace(FILES, _CHANGED)} SELECT project_id, path, ord, start_line, end_line, sha256(content) AS content_hash FROM chunks WHERE project_id IS NOT NULL"
+
+
+def _batches(spark, sf_dir):
+    """(all files, some with other texts, one project's files gone)."""
+    now = files(spark, sf_dir)
+    changed = now.filter("doc_id % 10 = 3").withColumn("text", F.concat("text", F.lit("\nchanged")))
+    gone = now.filter("project_id = 'src0'").withColumn("text", F.lit(None).cast("string"))
+    return [b.select("project_id", "path", "text") for b in (now, changed, gone)]
+
+
+def _snapshot(spark, folder):
+    return read_snapshot(spark, folder, "chunks").select("project_id", "path", "ord", "start_line", "end_line", "content_hash")
+
+
+@query(_SNAPSHOT)
+def versioned_index(spark, sf_dir):
+    """Chunks of the third snapshot: after all files, changed ones, and a project that was emptied."""
+    folder = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
+    for batch in _batches(spark, sf_dir):
+        apply_batch(spark, folder, batch)
+    return _snapshot(spark, folder)
+
+
+@query(_SNAPSHOT)
+def continuous_index(spark, sf_dir):
+    """The same by a stream's batches, of which each comes twice, the second time with other texts: what was applied stays."""
+    folder = f"{shared_root(spark)}/index-{uuid.uuid4().hex}"
+    for number, batch in enumerate(_batches(spark, sf_dir)):
+        apply_batch(spark, folder, batch, "files", number)
+        apply_batch(spark, folder, batch.withColumn("text", F.lit("replayed")), "files", number)
+    return _snapshot(spark, folder)
+
+
 @query(f"WITH {_WINDOWS} SELECT project_id, path, end_line, sha256(content) AS h FROM chunks WHERE ord = 0")
 def first_chunks(spark, sf_dir):
     return I.first_chunks(I.build_chunks(files(spark, sf_dir))).select("project_id", "path", "end_line", T.sha256(F.col("content")).alias("h"))

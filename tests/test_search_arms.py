@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -217,3 +218,28 @@ def test_ann_search_of_empty_tables(spark):
     assert R.ann_search(none, none, "id", "vec", 8).count() == 0
     one = spark.createDataFrame([(1, [1.0, 0.0])], "id int, vec array<float>")
     assert R.ann_search(one, one, "id", "vec", 2).count() == 0
+
+
+def test_blocks_of_trigrams_lose_no_run():
+    rng = random.Random(6)
+    names = ["validateUser", "rateLimitOfCache", "aaaa", "parseGraphNode", "ab"]
+    probes = [list(dict.fromkeys(grams(n))) for n in names]
+    texts = []
+    for i in range(60):
+        words = [rng.choice(WORDS + ["aaaaaaaaaaaa", "abab", "valid", "user", "rate", "limit"]) for _ in range(rng.choice((0, 3, 400, 900)))]
+        for n in names:
+            if rng.random() < 0.4:
+                at = rng.randrange(len(n))
+                words.insert(rng.randint(0, len(words)), n[:at] + n[at + 1 :])
+        texts.append(words + ["a" * 3_000] * (i % 7 == 0) + ["no no no"] * (200 * (i % 11 == 0)))
+    texts = [[w for x in t for w in lexemes(x)] for t in texts]
+    made = R.Probes(probes, 0.6)
+    got, scored = made.scores(pa.array(texts, pa.list_(pa.string())))
+    for i, t in enumerate(texts):
+        whole = [g for w in t for p in [f"  {w} "] for g in (p[j : j + 3] for j in range(len(p) - 2))]
+        for q, p in enumerate(probes):
+            want = word_similarity(p, whole)
+            assert got[i, q] == pytest.approx(round(want, 6) if want >= 0.6 else got[i, q], abs=2e-6) and (got[i, q] >= 0.6) == (want >= 0.6)
+    assert (got >= 0.6).sum() > 50
+    blocks = sum(max(1, sum(len(w) + 1 for w in t) // made.reach) for t in texts)
+    assert scored < 0.2 * blocks * len(probes)
