@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import scripts
+
 #: Fixed values of the windows, and what ends one.
 TARGET, OVERLAP, LEAST, SEARCH = 60, 15, 30, 20
 _DECLARATION = re.compile(r"[ \t\v\f\r\xa0﻿]*(?:export |function |class |def |const \w+ = )", re.A)
@@ -24,12 +26,13 @@ CHUNK = "ord int, start_line int, end_line int, symbol string, content string"
 
 
 class Part(NamedTuple):
-    """Lines start (from 0) up to end, exclusive. whole: not to be merged with neighbours."""
+    """Lines start (from 0) up to end, exclusive. whole: not to be merged with neighbours; method: however short."""
 
     start: int
     end: int
     symbol: str | None = None
     whole: bool = False
+    method: bool = False
 
 
 def boundaries(lines: list[str]) -> list[int | None]:
@@ -69,22 +72,24 @@ def _python_regions(lines: list[str]) -> list[Part] | None:
     return out
 
 
-_BRACED = re.compile(r"(?:export )?(?:default )?(?:abstract )?(?:async )?(?:function\*? +(\w+)|class +(\w+))", re.A)
-
-
-def _braced_regions(lines: list[str]) -> list[Part] | None:
-    """Declarations at the left edge whose closing brace is at the left edge. None, hence windows, if one doesn't close."""
-    out, i = [], 0
-    while i < len(lines):
-        m = _BRACED.match(lines[i])
-        if not m:
-            i += 1
+def _script_regions(lines: list[str]) -> list[Part] | None:
+    """Functions and classes of the top level; of a class above TARGET lines its methods, and what lies between them under its name."""
+    found = scripts.regions(lines)
+    if found is None:
+        return None
+    out = []
+    for r in found:
+        if r.last + 1 - r.first <= TARGET or not r.methods:
+            out.append(Part(r.first, r.last + 1, r.symbol, True))
             continue
-        end = i if lines[i].rstrip().endswith("}") else next((j for j in range(i + 1, len(lines)) if lines[j].startswith("}")), None)
-        if end is None or any("`" in x and x.count("`") % 2 for x in lines[i : end + 1]):
-            return None
-        out.append(Part(i, end + 1, m[1] or m[2], True))
-        i = end + 1
+        at = r.first
+        for m in r.methods:
+            if m.first < at:
+                return None  # two members on one line
+            out += [Part(at, m.first, r.symbol, True)] if m.first > at else []
+            out.append(Part(m.first, m.last + 1, m.symbol, True, True))
+            at = m.last + 1
+        out += [Part(at, r.last + 1, r.symbol, True)] if at <= r.last else []
     return out
 
 
@@ -101,8 +106,8 @@ def merge_tiny(parts: list[Part]) -> list[Part]:
 
 
 def structural(lines: list[str], lang: str | None) -> list[Part]:
-    """Functions, classes and methods with their names, windows between them; windows alone where the language isn't known or doesn't parse."""
-    regions = _python_regions(lines) if lang == "py" else _braced_regions(lines) if lang in ("ts", "tsx", "js", "jsx") else None
+    """Functions, classes and methods (of classes above TARGET lines) with their names, windows between them; windows alone where the language isn't known or doesn't parse."""
+    regions = _python_regions(lines) if lang == "py" else _script_regions(lines) if lang in ("ts", "tsx", "js", "jsx") else None
     if not regions:
         return line_windows(lines)
     out, at = [], 0
@@ -110,7 +115,7 @@ def structural(lines: list[str], lang: str | None) -> list[Part]:
         if r.start > at:
             out += line_windows(lines, at, r.start)
         size = r.end - r.start
-        out += line_windows(lines, r.start, r.end, r.symbol) if size > TARGET else [r._replace(whole=size >= LEAST)]
+        out += [p._replace(whole=True) for p in line_windows(lines, r.start, r.end, r.symbol)] if size > TARGET else [r._replace(whole=size >= LEAST or r.method)]
         at = r.end
     if at < len(lines):
         out += line_windows(lines, at)

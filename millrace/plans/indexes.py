@@ -146,6 +146,36 @@ def structural_chunks(spark, sf_dir):
     return I.build_chunks(rows, "lang").select("path", "ord", "start_line", "end_line", "symbol")
 
 
+# A class of 66 lines or more: a head with a field, a long method, a decorated one and a short one.
+_CLASS = """import {{ a }} from './a'
+export class C{0} extends Base<{{ x: 1 }}> {{
+  field = {{ text: `}} ${{a ? '}}' : `{{`}}` }}
+  long(b: {{ c: string }} = {{ c: '}}' }}): {{ d: number }} {{
+{1}
+  }}
+  @Get('/{{')
+  async other<T>(x: T): Promise<T> {{
+    return x // }}
+  }}
+  last() {{ return /[}}]/.test('') }}
+}}"""
+
+
+@query("""WITH c AS (SELECT doc_id, 52 + doc_id % 5 AS n FROM documents)
+SELECT 'p' || doc_id AS path, o AS ord, CAST(a AS INTEGER) AS start_line, CAST(b AS INTEGER) AS end_line, 'C' || doc_id || s AS symbol
+FROM c, unnest([{'o': 0, 'a': 1, 'b': 3, 's': ''}, {'o': 1, 'a': 4, 'b': n + 4, 's': '.long'}, {'o': 2, 'a': n + 5, 'b': n + 5, 's': ''},
+  {'o': 3, 'a': n + 6, 'b': n + 8, 's': '.other'}, {'o': 4, 'a': n + 9, 'b': n + 9, 's': '.last'}, {'o': 5, 'a': n + 10, 'b': n + 10, 's': ''}]) u(r), (SELECT r.o AS o, r.a AS a, r.b AS b, r.s AS s)""")
+def class_methods(spark, sf_dir):
+    """Methods of a class of more than 60 lines; braces in strings, templates, comments, types and expressions count for nothing."""
+    n = (52 + F.col("doc_id") % 5).cast("int")
+    head, tail = _CLASS.split("{1}")
+    name = F.col("doc_id").cast("string")
+    parts = [F.lit(p.replace("{{", "{").replace("}}", "}")) for p in (*head.split("{0}"), tail)]
+    text = F.concat(parts[0], name, parts[1], F.array_join(F.array_repeat(F.lit("    y({"), n - 1), "})\n"), F.lit("})"), parts[2])
+    rows = table(spark, sf_dir, "documents").select(F.lit("p").alias("project_id"), F.concat(F.lit("p"), name).alias("path"), F.lit("ts").alias("lang"), text.alias("text"))
+    return I.build_chunks(rows, "lang").select("path", "ord", "start_line", "end_line", "symbol")
+
+
 @query(r"""WITH t AS (SELECT path, text || ' ' || regexp_extract(text, '([a-z]+) ([a-z]+)', 1) || upper(substr(regexp_extract(text, '([a-z]+) ([a-z]+)', 2), 1, 1)) || substr(regexp_extract(text, '([a-z]+) ([a-z]+)', 2), 2) || ' XMLHttpRequest RATE_LIMIT_MS svc.call(' AS t FROM files)
 SELECT path, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b[a-z]+[A-Z][A-Za-z0-9_]*|\b[A-Z_]{3,}\b|\b[A-Za-z0-9_]+\.[A-Za-z0-9_]+\('))), ' ') AS tokens FROM t""".replace("WITH t AS", f"WITH {FILES}, t AS", 1))
 def identifier_tokens(spark, sf_dir):
