@@ -133,6 +133,11 @@ def _items(parsed) -> Iterator:
             yield _ANY
 
 
+def at_end(pattern: str) -> str:
+    """The pattern as Python takes it: a `$` that ends an alternative is the end of the text, not also the place before a last line end."""
+    return re.sub(r"(?<!\\)\$(?=[|)]|$)", r"\\Z", pattern)
+
+
 def check_rules(rules: tuple[PatternRule, ...]) -> None:
     for r in rules:
         sure, either = literal_tokens(r.pattern)
@@ -203,7 +208,7 @@ def one_pass(judged: DataFrame, domains: tuple[DomainRule, ...], patterns: tuple
                     lowered, tokens = tokens_of(url)
                     for k in sorted({k for t in tokens if t in fetched for k in fetched[t]}):
                         if k not in compiled:
-                            compiled[k] = re.compile(rules[k][0])
+                            compiled[k] = re.compile(at_end(rules[k][0]))
                         if compiled[k].search(lowered):
                             columns["found"][row] = rules[k][1]
                             break

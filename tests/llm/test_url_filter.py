@@ -1,3 +1,4 @@
+from millrace.llm.url_filter import judge_urls
 import re
 
 import duckdb
@@ -39,3 +40,9 @@ def test_tokens_are_required():
         for url in own:
             tokens = set(re.findall("[a-z0-9]+", url.lower()))
             assert set(PATTERN_RULES[k].tokens) <= tokens and (not PATTERN_RULES[k].either or tokens & set(PATTERN_RULES[k].either))
+
+
+def test_the_end_of_a_url_is_its_end(spark):
+    urls = ["http://a.net/wp-login.php", "http://a.net/wp-login.php\n", "http://a.net/wp-login.php?x", "http://a.net/?utm_source=spam\n", "http://a.net/?utm_source=spam"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert {r.page_id: r.verdict for r in judge_urls(df).collect()} == {0: "block", 1: "allow", 2: "block", 3: "allow", 4: "block"}
