@@ -32,13 +32,13 @@ hashed AS (
   SELECT *, xor(list_reduce([4294967295] || flatten(list_transform(range(1, length(k) + 1), lambda i: [CAST(unicode(substr(k, i, 1)) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
     lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295) % 20 AS h FROM spaced),
 damaged AS (
-  SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+  SELECT row_number() OVER () AS n, conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
     CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
   FROM hashed, unnest(CASE WHEN h = 3 THEN [1, 2] ELSE [1] END) WHERE h <> 0),
 ordered AS (
-  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos,
-    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS seen,
-    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before FROM damaged),
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, n) AS seen,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, n) AS before FROM damaged),
 faulty AS (
   SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
     WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM ordered),
