@@ -15,6 +15,7 @@ from ..operators import evaluation as E
 from ..operators import indexing as I
 from ..operators import retrieval as R
 from ..operators.postings import build_postings, indexed_references
+from ..operators.quantized import exact_top, quantized_candidates, quantized_search as by_codes
 from ..operators.storage import shared_root, stored
 from .derive import FILES, LEXEMES, MESSAGES, SEARCH_TEXT, files, messages, table, whole_chunks
 
@@ -92,6 +93,28 @@ def ann_search(spark, sf_dir):
     return R.ann_search(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", 64)
 
 
+@query()
+def quantized_search(spark, sf_dir):
+    """Ten nearest rows by cosine for every row whose id is divisible by 20, through inverted lists of codes."""
+    rows = table(spark, sf_dir, "embeddings")
+    return by_codes(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "embedding", 64)
+
+
+@query()
+def quantized_recall(spark, sf_dir):
+    """What quantized_search finds of the true ten, all rows scored, and how many vectors a query has scored exactly at most."""
+    rows = table(spark, sf_dir, "embeddings").withColumn("v", F.col("embedding").cast("array<double>"))
+    candidates, classes, asked = quantized_candidates(rows, rows.filter("vec_id % 20 = 0"), "vec_id", "v", 64)
+    found = exact_top(candidates, classes, asked, 64, 10)
+    chunks = classes.select(F.lit("all").alias("project_id"), F.explode("ids").alias("chunk_id"), F.col("v").alias("embedding"))
+    near = R.vector_search(chunks, asked.select(F.col("id").alias("query_id"), F.lit("all").alias("project_id"), F.col("v").alias("vector")), 11)
+    true = R.top_k(near.filter("chunk_id <> query_id").drop("rank"), 10)
+    met = true.join(found.select("query_id", "chunk_id", F.lit(1).alias("hit")), ["query_id", "chunk_id"], "left")
+    recall = met.agg(F.countDistinct("query_id").alias("queries"), F.round(F.count("hit") / F.count(F.lit(1)), 6).alias("recall"))
+    scored = candidates.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most_scored"))
+    return recall.crossJoin(scored)  # one row each
+
+
 @query()
 def trigram_search(spark, sf_dir):
     """Questions that name an identifier with a letter missing; chunks that hold it."""
