@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import conversations as C
 from ..operators import indexing as I
+from ..operators.storage import shared_root, spread, stored
 from ..sources import files as S
 from .derive import FILES, files, table
 
@@ -146,3 +148,28 @@ def first_paragraphs_all(spark, sf_dir):
     """The first paragraph of every file, under headings or without."""
     head = F.when(F.col("doc_id") % 3 == 0, "# Title\n").when(F.col("doc_id") % 3 == 1, "## A\n\n## B\n\n").otherwise("")
     return files(spark, sf_dir).select("path", T.first_paragraph(F.concat(head, "text")).alias("lead"))
+
+
+@query("""WITH f AS (SELECT source AS project_id, 'src/' || lang || '/d' || (doc_id % 50) || '/' || CASE WHEN doc_id % 9 = 0 THEN '.' ELSE '' END || doc_id || '.txt' AS path, coalesce(text, '') AS t FROM documents WHERE doc_id % 8 <> 3)
+SELECT project_id, path, strlen(t) AS size, sha256(t) AS h FROM f""")
+def tree_files(spark, sf_dir):
+    """Every document as a file of a tree, some with names that begin with a dot; every eighth lies in a directory that isn't entered."""
+    top = f"{shared_root(spark)}/trees-{uuid.uuid4().hex}"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, folder = fs.FileSystem.from_uri(top)
+        for batch in batches:
+            for name, text in zip(batch.column("name").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                store.create_dir(f"{folder}/{name}".rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(f"{folder}/{name}") as f:
+                    f.write((text or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column("source")], ["project_id"])
+
+    n = F.col("doc_id").cast("string")
+    folder = F.concat(F.lit("src/"), F.when(F.col("doc_id") % 8 == 3, "dist/").otherwise(""), "lang", F.lit("/d"), (F.col("doc_id") % 50).cast("string"), F.lit("/"))
+    name = F.concat("source", F.lit("/"), folder, F.when(F.col("doc_id") % 9 == 0, ".").otherwise(""), n, F.lit(".txt"))
+    projects = spread(table(spark, sf_dir, "documents")).select("source", name.alias("name"), "text").mapInArrow(write, "project_id string")
+    roots = stored(projects.filter("project_id IS NOT NULL").distinct().withColumn("root", F.concat(F.lit(f"{top}/"), "project_id")))
+    return S.read_tree(roots).select("project_id", "path", "size", F.sha2("content", 256).alias("h"))

@@ -8,41 +8,31 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.paths import PRUNED
+from ..operators.storage import stored
 
 #: What an archive may hold.
 MOST_ENTRIES, ENTRY_BYTES, ARCHIVE_BYTES = 20_000, 200 << 20, 1 << 30
 FILE = "project_id string, path string, size long, content binary"
+LISTED = "project_id string, root string, path string, size long"
+#: Directories that a task lists on average, files of a batch of a listing, bytes that a task reads, what opening a file weighs, and parts of sums.
+LISTED_DIRECTORIES, ENTRIES_A_BATCH, TASK_BYTES, OPEN_BYTES, SUM_PARTS = 1_000, 10_000, 128 << 20, 64 << 10, 1_024
 
 
 def read_tree(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """project_id, path (POSIX, relative), size, content: all files below each root, dot files and empty ones too. roots: project_id, root (a URI of any store pyarrow reaches).
 
-    Directories whose names are pruned aren't entered. Content is null above max_bytes. One task lists a project, directory
-    by directory; contents are then read in tasks of their own.
+    Directories whose names are pruned aren't entered. Content is null above max_bytes. A root that is missing or null gives
+    nothing; a root that is given twice for a project is read once. Listing and reading are dealt over tasks, as list_tree and by_bytes say.
     """
 
-    def listing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        for batch in batches:
-            for project, root in zip(batch.column("project_id").to_pylist(), batch.column("root").to_pylist(), strict=True):
-                store, top = fs.FileSystem.from_uri(root)
-                found, todo = [], [top]
-                while todo:
-                    for f in store.get_file_info(fs.FileSelector(todo.pop())):
-                        if f.type == fs.FileType.File:
-                            found.append(f)
-                        elif f.type == fs.FileType.Directory and f.base_name not in PRUNED:
-                            todo.append(f.path)
-                yield pa.RecordBatch.from_pydict({"project_id": [project] * len(found), "root": [root] * len(found), "path": [f.path[len(top.rstrip("/")) + 1 :] for f in found], "size": [f.size for f in found]}, pa.schema([("project_id", pa.string()), ("root", pa.string()), ("path", pa.string()), ("size", pa.int64())]))
-
     def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
+        schema = pa.schema([("project_id", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("content", pa.binary())])
         for batch in batches:
             for row in batch.to_pylist():
                 data = None
@@ -50,10 +40,71 @@ def read_tree(roots: DataFrame, max_bytes: int | None = None) -> DataFrame:
                     store, top = fs.FileSystem.from_uri(row["root"])
                     with store.open_input_file(f"{top.rstrip('/')}/{row['path']}") as f:
                         data = f.read()
-                yield pa.RecordBatch.from_pydict({"project_id": [row["project_id"]], "path": [row["path"]], "size": [row["size"]], "content": pa.array([data], pa.binary())})
+                yield pa.RecordBatch.from_pylist([{**row, "content": data}], schema)
+
+    listed = list_tree(roots)
+    read = F.col("size") if max_bytes is None else F.when(F.col("size") <= max_bytes, F.col("size")).otherwise(0)
+    return by_bytes(listed, read).mapInArrow(contents, FILE)
 
-    listed = roots.select("project_id", "root").repartition("project_id").mapInArrow(listing, "project_id string, root string, path string, size long")
-    return listed.repartition("project_id", "path").mapInArrow(contents, FILE)
+
+def list_tree(roots: DataFrame) -> DataFrame:
+    """project_id, root, path, size of all files below each root. Arguments as in read_tree.
+
+    Level by level: the directories found on a level are a stored table, dealt over all tasks, and list the next level, so a
+    project of any size spreads as soon as it branches. A directory's own entries are one listing, given in batches.
+    """
+    frontier = roots.filter("root IS NOT NULL").select("project_id", "root").distinct().withColumn("path", F.lit(""))
+    levels: list[DataFrame] = []
+    cores, todo = roots.sparkSession.sparkContext.defaultParallelism, 1
+    while todo or not levels:
+        tasks = max(cores, -(-todo // LISTED_DIRECTORIES))
+        found = stored(frontier.repartition(tasks, "project_id", "root", "path").mapInArrow(_entries, f"{LISTED}, directory boolean"))
+        levels.append(found.filter("NOT directory").drop("directory"))
+        frontier = found.filter("directory").drop("directory", "size")
+        todo = frontier.count()
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.unionByName(level)
+    return out
+
+
+def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files and the directories to be entered of each directory."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for project, root, below in zip(*(batch.column(c).to_pylist() for c in ("project_id", "root", "path")), strict=True):
+            store, top = fs.FileSystem.from_uri(root)
+            folder = f"{top.rstrip('/')}/{below}" if below else top
+            held = store.get_file_info(fs.FileSelector(folder, allow_not_found=True))
+            kept = [f for f in held if f.type == fs.FileType.File or (f.type == fs.FileType.Directory and f.base_name not in PRUNED)]
+            for at in range(0, len(kept), ENTRIES_A_BATCH):
+                part = kept[at : at + ENTRIES_A_BATCH]
+                columns = {
+                    "project_id": [project] * len(part), "root": [root] * len(part), "path": [f.path[len(top.rstrip("/")) + 1 :] for f in part],
+                    "size": [f.size for f in part], "directory": [f.type == fs.FileType.Directory for f in part],
+                }
+                yield pa.RecordBatch.from_pydict(columns, pa.schema([("project_id", pa.string()), ("root", pa.string()), ("path", pa.string()), ("size", pa.int64()), ("directory", pa.bool_())]))
+
+
+def by_bytes(listed: DataFrame, size: Column, task_bytes: int = 0) -> DataFrame:
+    """The files, dealt over partitions of about task_bytes to read each, and no file split. size: bytes to be read of a row.
+
+    A file weighs its bytes and OPEN_BYTES. Files lie on a line in hashed parts; sums before each part (one row a part) and
+    inside it give every file its place, and a partition is a stretch of the line.
+    """
+    weighed = listed.withColumn("__w", size.cast("long") + OPEN_BYTES).withColumn("__p", F.pmod(F.xxhash64(*listed.columns), F.lit(SUM_PARTS)))
+    sums = weighed.groupBy("__p").agg(F.sum("__w").alias("w")).orderBy("__p").collect()  # SUM_PARTS rows
+    total = sum(r.w for r in sums)
+    share = max(1, task_bytes or min(TASK_BYTES, -(-total // listed.sparkSession.sparkContext.defaultParallelism)))
+    before, at = [], 0
+    for r in sums:
+        before.append((r["__p"], at))
+        at += r.w
+    offsets = F.broadcast(listed.sparkSession.createDataFrame(before, "__p long, __b long"))
+    inside = F.sum("__w").over(Window.partitionBy("__p").orderBy("path", "project_id", "root").rowsBetween(Window.unboundedPreceding, -1))
+    placed = weighed.join(offsets, "__p").withColumn("__t", F.floor((F.col("__b") + F.coalesce(inside, F.lit(0))) / share).cast("int"))
+    return placed.repartitionById(max(1, -(-total // share)), "__t").drop("__w", "__p", "__b", "__t")
 
 
 def refused(info: zipfile.ZipInfo) -> str | None:

@@ -5,7 +5,8 @@ import zipfile
 
 from millrace.operators.conversations import file_view
 from millrace.operators.indexing import diff_files, purged_cache
-from millrace.sources.files import read_archives, read_tree
+from millrace.sources import files as S
+from millrace.sources.files import by_bytes, list_tree, read_archives, read_tree
 
 
 def archive(entries, damage=None):
@@ -55,3 +56,30 @@ def test_diffs_of_null_hashes_and_keys(spark):
 def test_purged_cache(spark):
     cache = spark.createDataFrame([("m", "a", [1.0]), ("m", "b", [1.0, 2.0]), ("m", "c", None), ("n", "d", [1.0])], "model_id string, text_hash string, embedding array<float>")
     assert sorted(r.text_hash for r in purged_cache(cache, "m", 2).collect()) == ["b", "d"]
+
+
+def test_one_deep_project_is_listed_level_by_level(spark, tmp_path):
+    for name in ("a", "s/b", "s/t/c", "s/t/u/d", "s/t/u/v/e", ".git/x", "z/_f", "z/.g", "s/ü n/h"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "nothing").write_text("")
+    root = f"file://{tmp_path}"
+    roots = spark.createDataFrame([("p", root), ("p", root), ("q", root + "/s/"), ("gone", root + "/no-such"), ("null", None), (None, root + "/z")], "project_id string, root string")
+    got = {(r.project_id, r.path): bytes(r.content).decode() for r in read_tree(roots).collect()}
+    below = {n: n for n in ("a", "s/b", "s/t/c", "s/t/u/d", "s/t/u/v/e", "z/_f", "z/.g", "s/ü n/h")} | {"nothing": ""}
+    want = {("p", n): t for n, t in below.items()} | {("q", n[2:]): t for n, t in below.items() if n[:2] == "s/"} | {(None, n[2:]): t for n, t in below.items() if n[:2] == "z/"}
+    assert got == want
+    assert list_tree(roots.limit(0)).count() == 0 and read_tree(roots.limit(0)).count() == 0
+    assert {r.path for r in read_tree(roots.filter("project_id = 'p'"), 1).collect() if r.content is None} == {n for n, t in below.items() if len(t.encode()) > 1}
+
+
+def test_files_are_dealt_by_their_bytes(spark, monkeypatch):
+    monkeypatch.setattr(S, "OPEN_BYTES", 10)
+    rows = [("p", "r", f"f{i}", 990 if i % 10 == 0 else 90) for i in range(200)]
+    dealt = by_bytes(spark.createDataFrame(rows, S.LISTED), S.F.col("size"), 3_800)
+    held = {}
+    for r in dealt.withColumn("part", S.F.spark_partition_id()).collect():
+        held.setdefault(r.part, []).append(r.size + 10)
+    assert dealt.rdd.getNumPartitions() == 10 and sum(map(len, held.values())) == 200
+    assert max(map(sum, held.values())) < 3_800 + 1_000
