@@ -11,9 +11,10 @@ from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import evaluation as E
 from ..operators import indexing as I
+from ..operators import ranges as G
 from ..operators import retrieval as R
 from ..operators.snapshots import apply_batch, read_snapshot
-from ..operators.storage import shared_root
+from ..operators.storage import shared_root, stored
 from ..sources.files import read_questions
 from .corpus import _BEFORE, _STATE, _before, named
 from .derive import FILES, LINES, files, jobs, table, whole_chunks
@@ -77,6 +78,31 @@ def line_windows(spark, sf_dir):
     return I.build_chunks(files(spark, sf_dir)).select("project_id", "path", "ord", "start_line", "end_line", "content_hash")
 
 
+_CITED = "(1 + doc_id % 40)::INTEGER AS range_start, (1 + doc_id % 40 + doc_id % 90)::INTEGER AS range_end"
+
+
+@query(f"""WITH {_WINDOWS}, cited AS (SELECT project_id, path, {_CITED} FROM files)
+SELECT project_id, path, range_start, range_end, ord, start_line, end_line FROM cited JOIN chunks USING (project_id, path) WHERE range_start <= end_line AND start_line <= range_end""")
+def overlapping_chunks(spark, sf_dir):
+    """A cited range of every file, and all chunks that have a line of it."""
+    chunks = I.build_chunks(files(spark, sf_dir)).select("project_id", "path", F.col("ord").alias("chunk_id"), "start_line", "end_line")
+    met = G.overlapping_chunks(_cited(spark, sf_dir), chunks)
+    return met.toDF("project_id", "path", "range_start", "range_end", "ord", "start_line", "end_line")
+
+
+@query(f"""WITH {FILES}, cited AS (SELECT project_id, path, {_CITED}, string_split(text, chr(10)) AS l FROM files WHERE text IS NOT NULL)
+SELECT project_id, path, range_start, range_end, array_to_string(l[range_start : range_end], chr(10)) AS content FROM cited""")
+def range_texts(spark, sf_dir):
+    """The text of a cited range of every file, from blocks of lines."""
+    texts = G.range_texts(_cited(spark, sf_dir), stored(G.line_blocks(files(spark, sf_dir))))
+    return texts.toDF("project_id", "path", "range_start", "range_end", "content")
+
+
+def _cited(spark, sf_dir):
+    first = 1 + F.col("doc_id") % 40
+    return files(spark, sf_dir).select("project_id", "path", first.cast("int").alias("start_line"), (first + F.col("doc_id") % 90).cast("int").alias("end_line"))
+
+
 @query(f"WITH {_WINDOWS} SELECT project_id, path, ord, start_line, end_line, sha256(content) AS content_hash FROM chunks")
 def next_index(spark, sf_dir):
     """The chunks of an index that lacked, had changed and had kept files: those of all files as they are now, none of files gone since."""
