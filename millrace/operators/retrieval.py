@@ -3,7 +3,7 @@
 Chunks and queries meet within a project, in the task that reads the chunks: a block of queries (BROADCAST_QUERIES at most)
 is broadcast, each task scores its chunks against it and keeps the k best of each query. Only those leave it, at most
 k rows for each query and task: texts, vectors and postings never move, and scores of all pairs are never listed. More
-queries than a block has make further passes over the chunks. Metadata are joined after the top rows are known. Every
+queries than a block has make further passes, each over the chunks of its own projects. Metadata are joined after the top rows are known. Every
 ranking ends in the chunk's id.
 """
 
@@ -28,6 +28,8 @@ ARM_ORDER = {"vector": 0, "fts": 1, "trigram": 2}
 TERM_WEIGHT, TERM_CAP, WORD_SIMILARITY = 0.1, 256, 0.6
 #: Queries of one pass over the chunks, held by every task; a table of query words is broadcast up to so many rows.
 BROADCAST_QUERIES = 10_000
+#: How often blocks of queries are cut again where they come out larger, as repeated ids may make them.
+MOST_LEVELS = 4
 #: Scores (chunks times queries) that a task computes at a time.
 BLOCK_SCORES = 1 << 21
 #: Approximate search: rows a bucket holds on average, sides of a bucket at least, rows that are asked to calibrate, share of
@@ -81,20 +83,40 @@ class Best:
         return self.held
 
 
-def best_of_tasks(chunks: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: Callable) -> DataFrame:
+def query_blocks(queries: DataFrame, n: int, level: int = 0) -> DataFrame:
+    """queries plus __block: blocks of about half of BROADCAST_QUERIES, with few projects in more than one.
+
+    A project with few queries lies in one block; one with more than a quarter of a block's bound is cut first. So a chunk is
+    read by as many passes as its own project's queries need, not by those of all others. Blocks that come out above the bound are cut once more.
+    """
+    counts = queries.groupBy("project_id").agg(F.count(F.lit(1)).alias("__c"))
+    cut = F.ceil(F.col("__c") / max(1, BROADCAST_QUERIES // 2))
+    unit = F.when(F.col("__c") > BROADCAST_QUERIES // 4, F.pmod(F.xxhash64(F.lit(level), "query_id"), cut)).otherwise(0)
+    sized = queries.join(counts.withColumnRenamed("project_id", "__p"), F.col("project_id").eqNullSafe(F.col("__p"))).withColumn("__u", unit)
+    blocks = 2 * -(-n // BROADCAST_QUERIES)
+    return sized.withColumn("__block", F.pmod(F.xxhash64(F.lit(level), "project_id", "__u"), F.lit(blocks))).drop("__p", "__c", "__u")
+
+
+def _few(rows: DataFrame) -> DataFrame:
+    """Broadcast, if there are no more than BROADCAST_QUERIES of them."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_QUERIES else rows
+
+
+def best_of_tasks(chunks: DataFrame, queries: DataFrame, k: int, prepare: Callable, score: Callable, level: int = 0) -> DataFrame:
     """query_id, chunk_id, score: the k best chunks of each query in each task. chunks: project_id, chunk_id, more; queries: query_id, project_id, asked.
 
     prepare(list of `asked`) makes what a project's queries are scored with; score(that, rows of one project) gives
-    parts of (scores, eligible, numbers of the queries, ids), chunks x queries each.
+    parts of (scores, eligible, numbers of the queries, ids), chunks x queries each. level: how often the queries have been cut.
     """
     n = queries.count()
-    if n > BROADCAST_QUERIES:
-        blocks = -(-n // BROADCAST_QUERIES)
-        kept = queries.withColumn("__part", F.pmod(F.xxhash64("query_id", "project_id"), F.lit(blocks)))
-        parts = [best_of_tasks(chunks, kept.filter(F.col("__part") == i).drop("__part"), k, prepare, score) for i in range(blocks)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
+    if n > BROADCAST_QUERIES and level < MOST_LEVELS:
+        blocks = stored(query_blocks(queries, n, level))
+        out = None
+        for row in blocks.select("__block").distinct().orderBy("__block").collect():  # about 2 * n / BROADCAST_QUERIES rows
+            asked = blocks.filter(F.col("__block") == row["__block"]).drop("__block")
+            own = chunks.join(_few(asked.select("project_id").distinct()), "project_id", "left_semi")
+            part = best_of_tasks(own, asked, k, prepare, score, level + 1)
+            out = part if out is None else out.unionByName(part)
         return out
     asked = queries.filter("asked IS NOT NULL").select("query_id", "project_id", "asked").toArrow()  # BROADCAST_QUERIES or so
     shared = chunks.sparkSession.sparkContext.broadcast(asked.sort_by([("project_id", "ascending"), ("query_id", "ascending")]))

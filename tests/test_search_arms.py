@@ -243,3 +243,25 @@ def test_blocks_of_trigrams_lose_no_run():
     assert (got >= 0.6).sum() > 50
     blocks = sum(max(1, sum(len(w) + 1 for w in t) // made.reach) for t in texts)
     assert scored < 0.2 * blocks * len(probes)
+
+
+def test_queries_in_blocks_of_their_projects(spark, monkeypatch):
+    chunks = spark.createDataFrame([(f"p{i % 12}", f"c{i:04}", f"word{i % 7} word{i % 5} other") for i in range(600)], "project_id string, chunk_id string, search_text string")
+    asked = [(f"q{i}", f"p{i % 11}", f"word{i % 7} other") for i in range(55)] + [(f"h{i}", "p11", f"word{i % 6}") for i in range(60)] + [("gone", "no chunks", "other"), ("null", None, "other")]
+    queries = spark.createDataFrame(asked, "query_id string, project_id string, text string")
+    want = sorted(R.fulltext_search(chunks, queries, 3).collect())
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 20)
+    blocks = {}
+    for r in R.query_blocks(queries, len(asked)).collect():
+        blocks.setdefault(r.project_id, set()).add(r["__block"])
+    assert all(len(b) == 1 for p, b in blocks.items() if p != "p11") and 1 < len(blocks["p11"]) <= 6
+    assert len({b for own in blocks.values() for b in own}) > 6
+    assert sorted(R.fulltext_search(chunks, queries, 3).collect()) == want
+
+
+def test_repeated_query_ids_end(spark, monkeypatch):
+    monkeypatch.setattr(R, "BROADCAST_QUERIES", 5)
+    monkeypatch.setattr(R, "MOST_LEVELS", 2)
+    chunks = spark.createDataFrame([("p", "c", "a b")], "project_id string, chunk_id string, search_text string")
+    queries = spark.createDataFrame([("q", "p", "a")] * 12, "query_id string, project_id string, text string")
+    assert {r.chunk_id for r in R.fulltext_search(chunks, queries, 3).collect()} == {"c"}
