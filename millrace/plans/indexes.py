@@ -260,7 +260,8 @@ def read_question_files(spark, sf_dir):
     known = F.struct(F.col("text").alias("q"), F.when(n % 3 != 0, F.array(F.lit("a.ts"), F.lit("b.ts"))).alias("expectedFiles"), F.when(n % 3 == 0, F.lit(True)).alias("expectUnanswerable"))
     path = f"{shared_root(spark)}/questions-{uuid.uuid4().hex}"
     rows = table(spark, sf_dir, "benchmark").groupBy(F.floor(n / 50).alias("file")).agg(F.to_json(F.collect_list(known)).alias("value"))
-    rows.select("value").write.option("lineSep", "\n").text(path)
+    # A file holds one array: groups that share a partition are written one by one.
+    rows.select("value").write.option("lineSep", "\n").option("maxRecordsPerFile", 1).text(path)
     return read_questions(spark, path).select("q", F.size("expected").alias("expected"), "unanswerable")
 
 
