@@ -7,7 +7,8 @@ Layout of an index folder:
 
 A snapshot is what the manifest with the highest number names. A batch (new texts, null for files that are gone) reads
 the buckets of its files, leaves out files whose content hash is the same, chunks the others, writes the touched buckets anew
-under a new version, and then puts the next manifest in place with one rename. A writer that dies before that leaves the old
+under a new version, and then puts the next manifest in place with one rename. Texts are shuffled once, to their buckets, and chunked
+there; what a bucket keeps is written by the tasks that read it; search texts are made of the contents when they are read. A writer that dies before that leaves the old
 snapshot whole, and its data are in no manifest. One changed file rewrites one bucket; a project without files has no rows.
 
 Streams: a manifest also holds the last batch of each stream, so a batch that is replayed after the swap changes nothing;
@@ -35,7 +36,10 @@ from .storage import stored
 BUCKETS = 64
 FILES = "project_id string, path string, lang string, content_hash string, line_count int"
 CHUNKS = "chunk_id string, project_id string, path string, ord int, start_line int, end_line int, symbol string, content string, content_hash string, search_text string, embedding array<float>"
-_TABLES = {"files": FILES, "chunks": CHUNKS}
+#: As written: without what is made of other columns.
+_TABLES = {"files": FILES, "chunks": CHUNKS.replace("search_text string, ", "")}
+#: Keys of changed files are broadcast up to so many (some 100 bytes each).
+BROADCAST_KEYS = 400_000
 
 
 def bucket(buckets: int = BUCKETS) -> Column:
@@ -76,7 +80,28 @@ def read_snapshot(spark: SparkSession, folder: str, table: str, buckets: list[in
     places = [f"{folder}/data/{version}/{table}/bucket={b}" for b, version in held.items() if buckets is None or int(b) in buckets]
     fs, path = _store(spark, folder)
     there = [p for p in places if fs.exists(path(p))]  # a bucket that has become empty has no folder
-    return spark.read.schema(_TABLES[table]).parquet(*there) if there else spark.createDataFrame([], _TABLES[table])
+    rows = spark.read.schema(_TABLES[table]).parquet(*there) if there else spark.createDataFrame([], _TABLES[table])
+    if table == "chunks":
+        return rows.select(*[T.search_text(F.col("content")).alias(c) if c == "search_text" else F.col(c) for c in _names(CHUNKS)])
+    return rows
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def _last_of_each(batch: DataFrame) -> DataFrame:
+    """project_id, path, text: of several rows of a file the last. Texts move only for files that come more than once."""
+    named = batch.filter("project_id IS NOT NULL AND path IS NOT NULL")
+    rows = stored(named.select(*KEY, "text", *(["seq"] if "seq" in batch.columns else [])))
+    again = stored(rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*KEY))
+    count = again.count()
+    if not count:
+        return rows.select(*KEY, "text")
+    some = F.broadcast(again) if count <= BROADCAST_KEYS else again
+    rank = F.struct(F.col("seq") if "seq" in rows.columns else F.lit(0), F.col("text").isNotNull(), F.col("text"))
+    last = rows.join(some, KEY, "left_semi").groupBy(*KEY).agg(F.max_by("text", rank).alias("text"))
+    return rows.join(some, KEY, "left_anti").select(*KEY, "text").unionByName(last)
 
 
 def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, stream: str | None = None, batch_id: int | None = None, lang_col: str | None = None, buckets: int = BUCKETS) -> dict:
@@ -88,29 +113,34 @@ def apply_batch(spark: SparkSession, folder: str, batch: DataFrame, stream: str
     if stream is not None and now["streams"].get(stream, -1) >= batch_id:
         return now
     count = now["count"] if now["number"] else buckets
-    rank = F.struct(F.col("seq") if "seq" in batch.columns else F.lit(0), F.col("text").isNotNull(), F.col("text"))
-    last = batch.filter("project_id IS NOT NULL AND path IS NOT NULL").groupBy(*KEY).agg(F.max_by("text", rank).alias("text"))
-    asked = stored(last.withColumn("content_hash", T.file_content_hash(F.col("text"))).withColumn("bucket", bucket(count)))
-    touched = [r.bucket for r in asked.select("bucket").distinct().collect()]  # `count` at most
+    asked = _last_of_each(batch).withColumn("content_hash", T.file_content_hash(F.col("text"))).withColumn("bucket", bucket(count))
+    # Hashes alone meet those of the snapshot; texts follow for the files that differ.
+    hashes = stored(asked.drop("text"))
+    touched = [r.bucket for r in hashes.select("bucket").distinct().collect()]  # `count` at most
     files = read_snapshot(spark, folder, "files", touched, now)
     before = files.select(*KEY, F.col("content_hash").alias("was"))
-    changed = stored(asked.join(before, KEY, "left").filter(~F.col("content_hash").eqNullSafe(F.col("was"))).drop("was"))
-    dirty = [r.bucket for r in changed.select("bucket").distinct().collect()]
+    keys = stored(hashes.join(before, KEY, "left").filter(~F.col("content_hash").eqNullSafe(F.col("was"))).drop("was"))
+    dirty = [r.bucket for r in keys.select("bucket").distinct().collect()]
     streams = now["streams"] | ({stream: batch_id} if stream is not None else {})
     if not dirty and streams == now["streams"]:
         return now
     version = uuid.uuid4().hex
     if dirty:
-        fresh = changed.filter("text IS NOT NULL").withColumn("lang", P.lang_from_path(F.col("path")))
-        new = {
-            "files": fresh.select(*KEY, "lang", "content_hash", F.size(T.to_lines(F.col("text"))).alias("line_count")),
-            "chunks": build_chunks(fresh.select(*KEY, "text", "lang"), lang_col),
-        }
-        for table, rows in new.items():
-            kept = read_snapshot(spark, folder, table, dirty, now).join(changed.select(*KEY), KEY, "left_anti")
-            whole = kept.select(rows.columns).unionByName(rows).withColumn("bucket", bucket(count))
-            # A bucket's rows meet in one task: an index has as many buckets as keep one below some hundred megabytes.
-            whole.repartition("bucket").sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket").parquet(f"{folder}/data/{version}/{table}")
+        few = keys.count()
+        own = keys.select(*KEY)
+        own = F.broadcast(own) if few <= BROADCAST_KEYS else own
+        new = asked.filter("text IS NOT NULL")
+        # A batch that changes all it has, as a first one does, needs no join.
+        new = new if few == hashes.count() else new.join(own, KEY, "left_semi")
+        # A bucket's texts meet in one task: an index has as many buckets as keep one below some hundred megabytes.
+        fresh = stored(new.withColumn("lang", P.lang_from_path(F.col("path"))).repartition("bucket"))
+        lines = F.size(T.to_lines(F.col("text"))).alias("line_count")
+        chunks = build_chunks(fresh.select(*KEY, "text", "lang"), lang_col)
+        for table, rows in (("files", fresh.select(*KEY, "lang", "content_hash", lines)), ("chunks", chunks)):
+            kept = read_snapshot(spark, folder, table, dirty, now).join(own, KEY, "left_anti")
+            # Tasks hold whole buckets, or what one bucket keeps: none is shuffled, and each writes few files.
+            whole = kept.select(rows.columns).unionByName(rows).select(*_names(_TABLES[table])).withColumn("bucket", bucket(count))
+            whole.sortWithinPartitions("bucket", *KEY).write.partitionBy("bucket").parquet(f"{folder}/data/{version}/{table}")
     after = {"number": now["number"] + 1, "count": count, "buckets": now["buckets"] | {str(b): version for b in dirty}, "streams": streams}
     _put(spark, folder, after)
     return after
