@@ -50,6 +50,11 @@ def lexemes(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
 
+def lexeme_text(text: Column) -> Column:
+    """The lexemes with a space between each two: cheaper to make and to hand over than an array of them."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
 def embedding_text(path: Column, symbol: Column, start: Column, end: Column, content: Column) -> Column:
     named = F.when(symbol.isNotNull(), F.concat(F.lit(" ("), symbol, F.lit(")"))).otherwise("")
     return F.concat(F.lit("// "), path, named, F.lit(" lines "), start.cast("string"), F.lit("-"), end.cast("string"), F.lit("\n"), content)

@@ -32,6 +32,8 @@ BROADCAST_QUERIES = 10_000
 MOST_LEVELS = 4
 #: Scores (chunks times queries) that a task computes at a time.
 BLOCK_SCORES = 1 << 21
+#: Bytes of chunks' words that a task takes apart at a time; arrays made of them are about ten times as large.
+BLOCK_BYTES = 4 << 20
 #: Approximate search: rows a bucket holds on average, sides of a bucket at least, rows that are asked to calibrate, share of
 #: their neighbours to be found, rows and queries of a bucket in one task, and buckets whose sizes are broadcast (20 bytes each).
 BUCKET_ROWS, LEAST_BITS, CALIBRATION_ROWS, ANN_RECALL = 256, 4, 200, 0.95
@@ -155,6 +157,20 @@ def _row_blocks(rows: int, queries: int) -> Iterator[tuple[int, int]]:
         yield at, min(rows, at + step)
 
 
+def word_parts(rows: pa.RecordBatch, queries: int) -> Iterator[tuple[pa.ListArray, pa.Array]]:
+    """(words, ids) of runs of rows: no more than BLOCK_SCORES scores and BLOCK_BYTES of words each, or one row. rows: chunk_id, words (as word_texts gives them)."""
+    texts = rows.column("words")
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    step, a = max(1, BLOCK_SCORES // max(queries, 1)), 0
+    while a < len(texts):
+        full = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_BYTES, "right"))
+        b = min(len(texts), a + step, max(a + 1, full))
+        part = texts.slice(a, b - a)
+        # An empty text has one empty word, which nobody asks for.
+        yield pc.split_pattern(part, " "), rows.column("chunk_id").slice(a, b - a)
+        a = b
+
+
 def vector_search(chunks: DataFrame, queries: DataFrame, k: int = VECTOR_K) -> DataFrame:
     """query_id, chunk_id, score (cosine, six digits), rank. chunks: project_id, chunk_id, embedding; queries: query_id, project_id, vector.
 
@@ -234,6 +250,12 @@ def chunk_words(chunks: DataFrame) -> DataFrame:
     return chunks.select("project_id", "chunk_id", (F.col("words") if "words" in chunks.columns else T.lexemes(F.col("search_text"))).alias("words"))
 
 
+def word_texts(chunks: DataFrame) -> DataFrame:
+    """As chunk_words, but words are one text with a space between each two."""
+    words = F.array_join("words", " ") if "words" in chunks.columns else T.lexeme_text(F.col("search_text"))
+    return chunks.select("project_id", "chunk_id", words.alias("words"))
+
+
 def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K, index: str | None = None) -> DataFrame:
     """query_id, chunk_id, score, rank: 0.1 for each occurrence (TERM_CAP a term at most) of the query's terms; a phrase occurs where its lexemes follow each other.
 
@@ -251,15 +273,14 @@ def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K, inde
 
     def score(ready: tuple, rows: pa.RecordBatch) -> Iterator[tuple]:
         index, phrases = ready
-        for a, b in _row_blocks(rows.num_rows, index.queries):
-            part = rows.slice(a, b - a)
-            words, row = _flat(part.column("words"))
+        for lists, ids in word_parts(rows, index.queries):
+            words, row = _flat(lists)
             word = index.numbers(words)
             known = word >= 0
             pair, n = np.unique(row[known] * max(len(index.words), 1) + word[known], return_counts=True)
-            total = index.sums(pair // max(len(index.words), 1), pair % max(len(index.words), 1), np.minimum(n, TERM_CAP), b - a)
-            order = np.argsort(word, kind="stable")
-            ordered = word[order]
+            total = index.sums(pair // max(len(index.words), 1), pair % max(len(index.words), 1), np.minimum(n, TERM_CAP), len(ids))
+            order = np.argsort(word, kind="stable") if phrases else word
+            ordered = word[order] if phrases else word
             for q, term in phrases:
                 at = order[np.searchsorted(ordered, term[0]) : np.searchsorted(ordered, term[0], "right")]
                 at = at[at + len(term) <= len(word)]
@@ -267,9 +288,9 @@ def fulltext_search(chunks: DataFrame, queries: DataFrame, k: int = TEXT_K, inde
                     at = at[(word[at + step] == term[step]) & (row[at + step] == row[at])]
                 where, n = np.unique(row[at], return_counts=True)
                 total[where, q] += np.minimum(n, TERM_CAP)
-            yield total, total > 0, part.column("chunk_id")
+            yield total, total > 0, ids
 
-    found = best_of_tasks(chunk_words(chunks), query_terms(queries), k, prepare, score)
+    found = best_of_tasks(word_texts(chunks), query_terms(queries), k, prepare, score)
     return top_k(found.withColumn("score", F.round(TERM_WEIGHT * F.col("score").cast("long"), 6)), k)
 
 
@@ -298,6 +319,15 @@ def word_trigrams(word: str) -> list[str]:
     return [padded[i : i + 3] for i in range(len(padded) - 2)]
 
 
+def trigram_codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(the trigrams of all words, each as a number of its three code points; how many each word has)."""
+    points = np.frombuffer("".join([f"  {w} " for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    count = np.array([len(w) + 1 for w in words], np.int64)
+    begin = np.cumsum(count + 2) - (count + 2)
+    at = np.repeat(begin - (np.cumsum(count) - count), count) + np.arange(count.sum())
+    return points[at] << 42 | points[at + 1] << 21 | points[at + 2], count
+
+
 def word_similarity(probe: list, text: list, least: float = WORD_SIMILARITY) -> float:
     """Best share of the probe's trigrams in a run of the text's: common / (probe + run - common), over runs that begin and end on one of the probe's. Exact from `least` on: longer runs can't reach it."""
     wanted, best = set(probe), 0.0
@@ -329,15 +359,44 @@ class Probes:
         self.probes = [[self.index.code[g] for g in p] for p in asked]
         self.most = int(max(map(len, asked), default=1) / least + 1e-9)
         self.reach = 4 * self.most
+        codes = np.array([ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2]) for g in self.index.code], np.int64)
+        self.number = np.argsort(codes)
+        self.codes = codes[self.number]
+
+    def numbered(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, int]:
+        """(numbers of the words' trigrams, those of the probes by their own; how many each word has; a bound of the numbers)."""
+        codes, length = trigram_codes(words)
+        distinct, flat = np.unique(codes, return_inverse=True)
+        numbers = len(self.codes) + np.arange(len(distinct))
+        if len(self.codes):
+            at = np.minimum(np.searchsorted(self.codes, distinct), len(self.codes) - 1)
+            numbers = np.where(self.codes[at] == distinct, self.number[at], numbers)
+        return numbers[flat], length, len(self.codes) + len(distinct)
+
+    def possible(self, row: np.ndarray, word: np.ndarray, flat: np.ndarray, length: np.ndarray, rows: int) -> np.ndarray:
+        """Which rows hold, anywhere, as many of some probe's trigrams as a run has to."""
+        asked = len(self.index.words)
+        known = flat < asked
+        has = np.bincount(np.repeat(np.arange(len(length)), length)[known], minlength=len(length))
+        own, first = flat[known], np.cumsum(has) - has
+        some = has[word] > 0
+        met = np.unique(row[some] * max(len(length), 1) + word[some])
+        row, word = met // max(len(length), 1), met % max(len(length), 1)
+        each = has[word]
+        grams = own[np.repeat(first[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
+        pair = np.unique(np.repeat(row, each) * max(asked, 1) + grams)
+        shared = self.index.sums(pair // max(asked, 1), pair % max(asked, 1), np.ones(len(pair)), rows)
+        return (shared >= self.needed[None]).any(axis=1)
 
     def scores(self, words: pa.Array) -> tuple[np.ndarray, int]:
         """(chunks x queries, runs of trigrams that were scored one by one). words: the chunks' lexemes."""
         lexemes, row = _flat(words)
         coded, asked, n = lexemes.dictionary_encode(), len(self.index.words), len(words)
-        number = dict(self.index.code)
-        own = [[number.setdefault(g, len(number)) for g in word_trigrams(w)] for w in coded.dictionary.to_pylist()]
-        length = np.array([len(x) for x in own], np.int64)
-        flat, first, word = np.array([g for x in own for g in x], np.int64), np.cumsum(length) - length, coded.indices.to_numpy()
+        flat, length, numbers = self.numbered(coded.dictionary.to_pylist())
+        word, first = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(length) - length
+        # Rows that can't reach the score are as if they were empty.
+        live = self.possible(row, word, flat, length, n)[row]
+        row, word = row[live], word[live]
         each = length[word]
         grams = flat[np.repeat(first[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())]
         of = np.repeat(row, each)
@@ -346,7 +405,7 @@ class Probes:
         at = np.arange(len(grams)) - begin[of]
         out, scored = np.zeros((n, self.index.queries)), 0
         # Blocks of 2 * reach positions, one every `reach`; a repetitive chunk is one block.
-        whole = self._repetitive(grams, of, at, size, begin, len(number))
+        whole = self._repetitive(grams, of, at, size, begin, numbers)
         count = np.where(whole, 1, np.maximum(1, -(-size // self.reach)))
         blocks = np.cumsum(count) - count
         known = np.flatnonzero(grams < asked)
@@ -395,14 +454,13 @@ def trigram_search(chunks: DataFrame, queries: DataFrame, k: int = FUZZY_K, leas
         return Probes(asked, least)
 
     def score(probes: Probes, rows: pa.RecordBatch) -> Iterator[tuple]:
-        for a, b in _row_blocks(rows.num_rows, max(probes.index.queries, 1 << 12)):
-            part = rows.slice(a, b - a)
-            scores, _ = probes.scores(part.column("words"))
-            yield scores, scores >= least, part.column("chunk_id")
+        for lists, ids in word_parts(rows, max(probes.index.queries, 1 << 12)):
+            scores, _ = probes.scores(lists)
+            yield scores, scores >= least, ids
 
     probe = F.array_distinct(trigrams(F.array_join(T.identifier_tokens(F.col("text")), " ")))
     asked = queries.select("query_id", "project_id", probe.alias("asked")).filter(F.size("asked") > 0)
-    return top_k(best_of_tasks(chunk_words(chunks), asked, k, prepare, score).withColumn("score", F.round("score", 6)), k)
+    return top_k(best_of_tasks(word_texts(chunks), asked, k, prepare, score).withColumn("score", F.round("score", 6)), k)
 
 
 def fuse(ranked: DataFrame, keys: tuple[str, ...] = ("query_id",), item: str = "chunk_id", constant: int = RANK_CONSTANT) -> DataFrame:
