@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import answers as N
 from ..functions import paths as P
+from ..functions import text as T
 from ..functions.answers import split_provider_id
 from ..functions.text import first_paragraph
+from .retrieval import word_parts
+from .storage import stored
 
 #: Labels of languages and of dependencies (in order of precedence), import shapes, weights of the ranking.
 LANGUAGES = {"ts": "TypeScript", "tsx": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript", "py": "Python", "go": "Go", "rs": "Rust", "java": "Java", "rb": "Ruby", "php": "PHP", "c": "C", "h": "C", "cpp": "C++", "hpp": "C++", "cs": "C#"}
@@ -26,6 +34,39 @@ def top_language(files: DataFrame, lang_col: str = "lang", labels: dict[str, str
     return counts.groupBy("project_id").agg(F.min_by("language", F.struct((-F.col("n")).alias("n"), "first")).alias("language"))
 
 
+def lexeme_counts(texts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """lexeme, n, docs: occurrences of each word, and the documents that have it. texts: id_col, text.
+
+    Tasks count the words of a few megabytes of texts at a time, and Spark sums up. Rows that share an id are one document, and
+    are counted by word and id; those without id count as occurrences alone.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lists, ids in word_parts(batch, 1):
+                lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                coded = lists.flatten().dictionary_encode()
+                word, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), len(coded.dictionary)
+                pair = np.unique(np.repeat(np.arange(len(lists)), lengths) * max(distinct, 1) + word)
+                named = ids.is_valid().to_numpy(zero_copy_only=False)[pair // max(distinct, 1)]
+                counts = [np.bincount(w, minlength=distinct) for w in (word, pair[named] % max(distinct, 1))]
+                out = pa.RecordBatch.from_arrays([coded.dictionary, *[pa.array(c, pa.int64()) for c in counts]], ["lexeme", "n", "docs"])
+                yield out.filter(pc.not_equal(out.column("lexeme"), ""))
+
+    again = stored(texts.groupBy(id_col).agg(F.count(F.lit(1)).alias("c")).filter(f"c > 1 AND `{id_col}` IS NOT NULL").select(F.col(id_col).alias("__id")))
+    repeated = again.limit(1).count() > 0
+    words = texts.select(F.col(id_col).alias("__id"), T.lexeme_text(F.col("text")).alias("words"))
+    own = words.join(again, "__id", "left_anti") if repeated else words
+    sums = [F.sum("n").alias("n"), F.sum("docs").alias("docs")]
+    part = own.select(F.col("__id").alias("chunk_id"), "words").mapInArrow(run, "lexeme string, n long, docs long")
+    counts = part.groupBy("lexeme").agg(*sums)
+    if not repeated:
+        return counts
+    shared = words.join(again, "__id", "left_semi").select("__id", F.explode(F.split("words", " ")).alias("lexeme")).filter("lexeme <> ''")
+    each = shared.groupBy("lexeme", "__id").agg(F.count(F.lit(1)).alias("n")).select("lexeme", "n", F.lit(1).cast("long").alias("docs"))
+    return counts.unionByName(each).groupBy("lexeme").agg(*sums)
+
+
 def dir_counts(files: DataFrame, limit: int = TOP_DIRS) -> DataFrame:
     """project_id, dir, n, rank: files by directory of at most two segments; files at the root count nowhere."""
     counts = files.select("project_id", P.two_segment_dir(F.col("path")).alias("dir")).filter("dir IS NOT NULL").groupBy("project_id", "dir").agg(F.count(F.lit(1)).alias("n"))

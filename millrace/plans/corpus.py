@@ -9,7 +9,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import analytics as A
 from ..operators import indexing as I
-from ..operators.storage import stored
+from ..operators.storage import spread, stored
 from .derive import FILES, JOBS, LINES, SEARCH_TEXT, SPLIT, files, jobs, table, whole_chunks
 
 QUERIES: dict = {}
@@ -59,9 +59,7 @@ def search_texts(spark, sf_dir):
 
 @query(r"SELECT lex AS lexeme, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '')) AS lex FROM documents) GROUP BY lex")
 def lexeme_counts(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(T.lexemes(F.col("text"))).alias("lexeme"))
-    per_doc = words.groupBy("lexeme", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("lexeme").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    return A.lexeme_counts(spread(table(spark, sf_dir, "documents")), "doc_id")
 
 
 @query(f"WITH {FILES} SELECT path, sha256(substr('search_document: // ' || path || ' (s) lines 1-' || doc_id || chr(10) || text, 1, 4500)) AS h FROM files")
