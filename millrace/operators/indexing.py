@@ -160,14 +160,15 @@ def fitting_chunks(chunks: DataFrame, chars: int = FITTING_CHARS) -> DataFrame:
     Parts end before white space where there is any, follow each other without loss, and keep the chunk's place and lines; the first
     keeps its id, the others' ids are hashes of it and their number. Hashes and search texts are made anew; vectors of parts are null.
     """
-    parts = F.regexp_extract_all("content", F.lit(rf"(?s).{{1,{chars}}}(?=\s|\z)|(?s).{{1,{chars}}}"), F.lit(0))
-    short = chunks.filter(F.coalesce(F.char_length("content") <= chars, F.lit(True)))
-    cut = chunks.filter(F.char_length("content") > chars).select("*", F.posexplode(parts).alias("__n", "__part"))
+    long = F.coalesce(F.char_length("content") > chars, F.lit(False))
+    parts = F.when(long, F.regexp_extract_all("content", F.lit(rf"(?s).{{1,{chars}}}(?=\s|\z)|(?s).{{1,{chars}}}"), F.lit(0))).otherwise(F.array("content"))
+    # One pass: chunks are as costly to make as their texts are to cut.
+    cut = chunks.select("*", long.alias("__long"), F.posexplode(parts).alias("__n", "__part"))
     own = {
         "chunk_id": F.when(F.col("__n") == 0, F.col("chunk_id")).otherwise(F.sha2(F.concat_ws("\x00", "chunk_id", F.col("__n").cast("string")), 256)),
         "content": F.col("__part"), "content_hash": T.sha256(F.col("__part")), "search_text": T.search_text(F.col("__part")), "embedding": F.lit(None).cast("array<float>"),
     }
-    return short.unionByName(cut.select(*[own[c].alias(c) if c in own else F.col(c) for c in chunks.columns]))
+    return cut.select(*[F.when(F.col("__long"), own[c]).otherwise(F.col(c)).alias(c) if c in own else F.col(c) for c in chunks.columns])
 
 
 def first_chunks(chunks: DataFrame) -> DataFrame:
