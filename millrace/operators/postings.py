@@ -2,9 +2,10 @@
 
 Chunks of a project are numbered within the task that reads them: the longest first, so that high counts lie together, in segments of
 SEGMENT chunks, each in order of their ids. A block is one word's postings of one segment: places in the segment, counts,
-positions, and the greatest count. Blocks are written sorted by word into folders by the word's hash, so a query reads the
-folders of its words, and of their files the row groups that may hold them; a frequent word's blocks are dealt over several
-files. One directory row a segment, in a folder of its own, names its chunks.
+positions, and the greatest count. Words fall into folders by their hash, and a segment's blocks of one folder are a page: one
+row, in which the words are one text and numbers lie one after another, as narrow as they may be. So few rows are shuffled and
+written; a query reads the folders of its words and takes only its words' blocks out of their pages. A folder's pages are dealt
+over several files. One directory row a segment, in a folder of its own, names its chunks.
 
 A search scores the segments of each build task's longest chunks first. Their k-th scores are floors: a segment is read on
 only if, for some query, the sum of its words' greatest counts reaches the floor. Headers alone decide that; places, counts
@@ -16,6 +17,7 @@ postings; an empty table gives an empty index; other columns than those named ar
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,34 +32,40 @@ from ..functions import text as T
 from .retrieval import BROADCAST_QUERIES, REFERENCE_CAP, TERM_CAP, TERM_WEIGHT, TEXT_K, Best, WordIndex, query_terms, top_k
 from .storage import stored
 
-#: Chunks of a segment (places are bytes), folders of words, files that one word's blocks are dealt over.
+#: Chunks of a segment (places are bytes), folders of words, files that one folder's pages are dealt over.
 SEGMENT, FOLDERS, SPREAD = 256, 32, 8
-_BLOCK = "project_id string, segment long, lexeme string, most int, places binary, counts binary, positions binary, chunks array<struct<chunk_id: string, path: string, start_line: int, end_line: int>>"
+#: Bytes of a file's row groups, about: readers hold one at most.
+GROUP_BYTES = 32 << 20
+#: For each of a page's words, in their order: the greatest count, how many chunks hold it, and how many positions it has there.
+_HEADS = ("most", "chunks_of", "positions_of")
+_NUMBERS = ("places", "counts", "positions")
+_PAGE = f"project_id string, segment long, folder int, words string, {', '.join(f'{c} binary' for c in _HEADS + _NUMBERS)}, chunks array<struct<chunk_id: string, path: string, start_line: int, end_line: int>>"
+_BLOCK = "project_id string, segment long, lexeme string, most int, places binary, counts binary, positions binary"
 
 
 def build_postings(chunks: DataFrame, folder: str) -> None:
     """Writes the index of `chunks` (chunk_id, project_id, path, start_line, end_line, search_text) to a new folder."""
-    named = chunks.filter("chunk_id IS NOT NULL AND project_id IS NOT NULL AND search_text IS NOT NULL")
-    words = named.select("chunk_id", F.col("project_id").cast("string").alias("project_id"), "path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), T.lexemes(F.col("search_text")).alias("words"))
-    ordered = words.sortWithinPartitions("project_id", F.desc(F.size("words")), "chunk_id")
+    # Texts that are null go where words are read: as a filter of the table, that would make every search text twice.
+    named = chunks.filter("chunk_id IS NOT NULL AND project_id IS NOT NULL")
+    words = named.select("chunk_id", F.col("project_id").cast("string").alias("project_id"), "path", F.col("start_line").cast("int").alias("start_line"), F.col("end_line").cast("int").alias("end_line"), T.lexeme_text(F.col("search_text")).alias("words"))
+    ordered = words.sortWithinPartitions("project_id", F.desc(F.octet_length("words")), "chunk_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number = TaskContext.get().partitionId(), 0
         for part in _segments(batches):
-            yield from _blocks(part, (task << 32) + number)
+            yield _pages(part, (task << 32) + number)
             number += 1
 
-    of_word = F.when(F.col("lexeme").isNull(), -1).otherwise(F.pmod(F.xxhash64("lexeme"), F.lit(FOLDERS))).cast("int")
-    blocks = ordered.mapInArrow(run, _BLOCK).withColumn("folder", of_word)
-    spread = F.pmod(F.xxhash64("segment"), F.lit(SPREAD))
-    dealt = blocks.repartition("folder", spread).sortWithinPartitions("folder", "lexeme", "project_id", "segment")
-    dealt.write.partitionBy("folder").parquet(folder)
+    pages = ordered.mapInArrow(run, _PAGE)
+    dealt = pages.repartition("folder", F.pmod(F.xxhash64("segment"), F.lit(SPREAD))).sortWithinPartitions("folder", "project_id", "segment")
+    dealt.write.option("parquet.block.size", GROUP_BYTES).partitionBy("folder").parquet(folder)
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Runs of SEGMENT rows of one project, and what is left of each project."""
     held: pa.Table | None = None
     for batch in batches:
+        batch = batch.filter(batch.column("words").is_valid())
         held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
         while held.num_rows:
             same = pc.index(pc.equal(held.column("project_id"), held.column("project_id")[0]), False).as_py()
@@ -70,47 +78,64 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _blocks(part: pa.Table, segment: int) -> Iterator[pa.RecordBatch]:
+def _pages(part: pa.Table, segment: int) -> pa.RecordBatch:
+    """The pages of a segment's words by folder, and its directory row."""
     part = part.sort_by("chunk_id").combine_chunks()
     project, n = part.column("project_id")[0].as_py(), part.num_rows
-    lists = part.column("words").combine_chunks()
-    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    texts = pa.concat_arrays(part.column("words").chunks)
+    lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), pa.scalar(None, texts.type), texts), " ")
+    lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     coded = lists.flatten().dictionary_encode()
+    lexemes = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+    # Words are numbered by their folders.
+    folder = np.fromiter(map(zlib.crc32, lexemes), np.int64, len(lexemes)) % FOLDERS
+    ranked = np.argsort(folder, kind="stable")
+    number = np.empty(len(lexemes), np.int64)
+    number[ranked] = np.arange(len(lexemes))
     place = np.repeat(np.arange(n), lengths)
     position = np.arange(len(place)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    word = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    order = np.argsort(word, kind="stable")
-    word, place, position = word[order], place[order], position[order]
-    # Where a word's postings begin, and where each of its chunks does.
+    # By word, then place, then position: a word's number with the token's.
+    order = np.sort((number[coded.indices.to_numpy(zero_copy_only=False)] << 32) | np.arange(len(place)))
+    word, order = order >> 32, order & 0xFFFFFFFF
+    place, position = place[order], position[order]
+    # Where each of a word's chunks begins, and where its postings do.
     opens = np.concatenate([[True], (word[1:] != word[:-1]) | (place[1:] != place[:-1])]) if len(word) else np.zeros(0, bool)
     pair = np.flatnonzero(opens)
     counts = np.diff(np.append(pair, len(word)))
-    first = np.flatnonzero(np.concatenate([[True], word[pair][1:] != word[pair][:-1]])) if len(pair) else pair
-    m = len(first)
-    tokens = np.append(pair[first], len(word))
-    columns = [
-        pa.array(np.maximum.reduceat(counts, first) if m else counts, pa.int32()),
-        _binary(place[pair].astype(np.uint8), np.append(first, len(pair))),
-        _binary(counts.astype(np.uint32), np.append(first, len(pair))),
-        _binary(position.astype(np.uint32), tokens),
-    ]
+    first = np.searchsorted(word[pair], np.arange(len(lexemes) + 1))
+    tokens = np.append(pair, len(word))[first]
+    most = np.maximum.reduceat(counts, first[:-1]) if len(lexemes) else counts
+    rows = []
+    ends = np.searchsorted(folder[ranked], np.arange(FOLDERS + 1))
+    for f in range(FOLDERS):
+        a, b = ends[f], ends[f + 1]
+        if a < b:
+            chosen, at, token = slice(a, b), slice(first[a], first[b]), slice(tokens[a], tokens[b])
+            text = b" ".join([lexemes[i] for i in ranked[chosen]])
+            heads = (_narrow(most[chosen]), _narrow(np.diff(first[a : b + 1])), _narrow(np.diff(tokens[a : b + 1])))
+            rows.append((f, text, *heads, _narrow(place[pair[at]]), _narrow(counts[at]), _narrow(position[token])))
+    rows.append((-1, *[None] * (1 + len(_HEADS) + len(_NUMBERS))))
+    columns = list(zip(*rows, strict=True))
     named = part.select(["chunk_id", "path", "start_line", "end_line"]).to_pylist()
-    lexemes = coded.dictionary.take(pa.array(word[pair[first]])) if m else pa.array([], pa.string())
     directory = pa.list_(pa.struct([("chunk_id", pa.string()), ("path", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32())]))
     arrays = [
-        pa.array([project] * (m + 1), pa.string()),
-        pa.array([segment] * (m + 1), pa.int64()),
-        pa.concat_arrays([lexemes.cast(pa.string()), pa.array([None], pa.string())]),
-        *[pa.concat_arrays([c, pa.array([None], c.type)]) for c in columns],
-        pa.array([None] * m + [named], directory),
+        pa.array([project] * len(rows), pa.string()),
+        pa.array([segment] * len(rows), pa.int64()),
+        pa.array(columns[0], pa.int32()),
+        pa.array(columns[1], pa.binary()).cast(pa.string()),
+        *[pa.array(c, pa.binary()) for c in columns[2:]],
+        pa.array([None] * (len(rows) - 1) + [named], directory),
     ]
-    yield pa.RecordBatch.from_arrays(arrays, ["project_id", "segment", "lexeme", "most", "places", "counts", "positions", "chunks"])
+    return pa.RecordBatch.from_arrays(arrays, ["project_id", "segment", "folder", "words", *_HEADS, *_NUMBERS, "chunks"])
+
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Numbers of one width each, the least that holds them all; their number tells it again."""
+    return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
 
-def _binary(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
-    """The bytes of values[bounds[i]:bounds[i + 1]] as item i."""
-    offsets = (bounds * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(values.tobytes())])
+
+def _wide(values: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(values, f"u{len(values) // n}").astype(np.int64)
 
 
 @dataclass
@@ -157,17 +182,68 @@ def _keys(block: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
 
 
 def _unpacked(places: bytes, counts: bytes, positions: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(places, np.uint8).astype(np.int64), np.frombuffer(counts, np.uint32).astype(np.int64), np.frombuffer(positions, np.uint32).astype(np.int64)
+    count = _wide(counts, len(places))
+    return np.frombuffer(places, np.uint8).astype(np.int64), count, _wide(positions, int(count.sum()))
+
+
+def _pages_of(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(_PAGE).parquet(folder)
+
+
+def _wanted(asked: DataFrame) -> tuple[list[int], pa.Table | DataFrame]:
+    """The folders of the words that `asked` (project_id, lexeme; written) asks for, and the words, in memory if they are few."""
+    words = asked.select("project_id", "lexeme").distinct()
+    folders = sorted(r[0] for r in words.select((F.crc32(F.col("lexeme").cast("binary")) % FOLDERS).cast("int")).distinct().collect())  # FOLDERS at most
+    return folders, words.toArrow() if words.count() <= 100 * BROADCAST_QUERIES else words
 
 
-def asked_blocks(spark: SparkSession, folder: str, asked: DataFrame, directory: bool) -> DataFrame:
-    """The blocks of the words that `asked` (project_id, lexeme; written) asks for, and maybe the directory rows of all segments. Other folders aren't read."""
-    blocks = spark.read.schema(f"{_BLOCK}, folder int").parquet(folder)
-    words = asked.select(F.col("project_id").alias("__p"), F.col("lexeme").alias("__l")).distinct()
-    folders = sorted(r[0] for r in words.select(F.pmod(F.xxhash64("__l"), F.lit(FOLDERS)).cast("int")).distinct().collect())  # FOLDERS at most
-    words = F.broadcast(words) if words.count() <= 100 * BROADCAST_QUERIES else words
-    own = blocks.filter(F.col("folder").isin(folders)).join(words, (blocks["project_id"] == F.col("__p")) & (blocks["lexeme"] == F.col("__l")), "left_semi")
-    return own.unionByName(blocks.filter("folder = -1")) if directory else own
+def asked_blocks(pages: DataFrame, wanted: tuple[list[int], pa.Table | DataFrame], numbers: tuple[str, ...] = _NUMBERS) -> DataFrame:
+    """The blocks of the wanted words. Other folders, and numbers that aren't named, aren't read."""
+    folders, words = wanted
+    own = pages.filter(F.col("folder").isin(folders))
+    return _blocks(own, numbers, words) if isinstance(words, pa.Table) else _blocks(own, numbers).join(words, ["project_id", "lexeme"], "left_semi")
+
+
+def _directory(pages: DataFrame) -> DataFrame:
+    return pages.filter("folder = -1").select("project_id", "segment", "chunks")
+
+
+def _blocks(pages: DataFrame, numbers: tuple[str, ...], words: pa.Table | None = None) -> DataFrame:
+    """The blocks of pages, one row each: all, or those of `words` (project, lexeme). most, and those of the numbers that are named."""
+    heads = [c for c, needed in zip(_HEADS, (True, bool(numbers), "positions" in numbers), strict=True) if needed]
+    shared = pages.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: dict[str, set[str]] | None = None
+        if shared.value is not None:
+            own = {}
+            for project, lexeme in zip(*(c.to_pylist() for c in shared.value.columns), strict=True):
+                own.setdefault(project, set()).add(lexeme)
+        for batch in batches:
+            found: dict[str, list] = {c: [] for c in ("project_id", "segment", "lexeme", "most", *numbers)}
+            for i, (project, segment) in enumerate(zip(batch.column("project_id").to_pylist(), batch.column("segment").to_pylist(), strict=True)):
+                asked = None if own is None else own.get(project, ())
+                if asked is not None and not asked:
+                    continue
+                lexemes = batch.column("words")[i].as_py().split(" ")
+                chosen = [j for j, w in enumerate(lexemes) if asked is None or w in asked]
+                if not chosen:
+                    continue
+                at = {c: _wide(batch.column(c)[i].as_py(), len(lexemes)) for c in heads}
+                found["project_id"] += [project] * len(chosen)
+                found["segment"] += [segment] * len(chosen)
+                found["lexeme"] += [lexemes[j] for j in chosen]
+                found["most"] += at["most"][chosen].tolist()
+                for c in numbers:
+                    values = batch.column(c)[i].as_py()
+                    end = np.cumsum(at["positions_of" if c == "positions" else "chunks_of"])
+                    bound = np.concatenate([[0], end]) * (len(values) // int(end[-1]))
+                    found[c] += [values[bound[j] : bound[j + 1]] for j in chosen]
+            yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in found.items()], list(found))
+
+    kinds = {"project_id": pa.string(), "segment": pa.int64(), "lexeme": pa.string(), "most": pa.int32()} | dict.fromkeys(_NUMBERS, pa.binary())
+    schema = ", ".join(c for c in _BLOCK.split(", ") if c.split()[0] not in _NUMBERS or c.split()[0] in numbers)
+    return pages.select("project_id", "segment", "words", *heads, *numbers).mapInArrow(run, schema)
 
 
 def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, list[dict]]]:
@@ -185,7 +261,8 @@ def _by_segment(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, l
         yield *key, rows
 
 
-def _together(blocks: DataFrame) -> DataFrame:
+def _together(blocks: DataFrame, directory: DataFrame | None = None) -> DataFrame:
+    blocks = blocks if directory is None else blocks.unionByName(directory, allowMissingColumns=True)
     return blocks.repartition("project_id", "segment").sortWithinPartitions("project_id", "segment")
 
 
@@ -206,10 +283,10 @@ def indexed_search(spark: SparkSession, folder: str, queries: DataFrame, k: int
 
 def _search(spark: SparkSession, folder: str, terms: DataFrame, k: int) -> DataFrame:
     table = terms.toArrow().sort_by([("project_id", "ascending"), ("query_id", "ascending")])  # BROADCAST_QUERIES or so
-    lexemes = terms.select("project_id", F.explode(F.flatten("asked")).alias("lexeme"))
-    blocks = asked_blocks(spark, folder, lexemes, True)
+    wanted = _wanted(terms.select("project_id", F.explode(F.flatten("asked")).alias("lexeme")))
+    pages = _pages_of(spark, folder)
     longest = F.col("segment").bitwiseAND(0xFFFFFFFF) == 0
-    first = stored(_scored(_together(blocks.filter(longest)), terms, table, None, k))
+    first = stored(_scored(_together(asked_blocks(pages.filter(longest), wanted), _directory(pages).filter(longest)), terms, table, None, k))
     # The k-th score of a query so far, in occurrences; what can't reach it isn't looked at.
     floors = first.groupBy("query_id", "project_id").agg(F.sort_array(F.collect_list("score"), False).alias("s"))  # k a task
     floors = floors.select("query_id", "project_id", F.get("s", F.lit(k - 1)).alias("floor")).filter("floor IS NOT NULL").toArrow()
@@ -217,9 +294,13 @@ def _search(spark: SparkSession, folder: str, terms: DataFrame, k: int) -> DataF
     place = {key: i for i, key in enumerate(zip(table.column("query_id").to_pylist(), table.column("project_id").to_pylist(), strict=True))}
     for q, p, floor in zip(*(floors.column(c).to_pylist() for c in ("query_id", "project_id", "floor")), strict=True):
         least[place[q, p]] = floor
-    live = stored(_live(_together(blocks.filter(~longest & F.col("lexeme").isNotNull()).select("project_id", "segment", "lexeme", "most")), table, least))
-    live = F.broadcast(live) if live.count() <= 100 * BROADCAST_QUERIES else live
-    rest = _scored(_together(blocks.filter(~longest).join(live, ["project_id", "segment"], "left_semi")), terms, table, least, k)
+    others = pages.filter(~longest)
+    live = stored(_live(_together(asked_blocks(others, wanted, ())), table, least))
+    few = live.count() <= 100 * BROADCAST_QUERIES
+    alive = lambda rows: rows.join(F.broadcast(live) if few else live, ["project_id", "segment"], "left_semi")
+    # Pages are dropped before they are taken apart, but never shuffled.
+    blocks = asked_blocks(alive(others), wanted) if few else alive(asked_blocks(others, wanted))
+    rest = _scored(_together(blocks, alive(_directory(others))), terms, table, least, k)
     found = first.unionByName(rest).drop("project_id")
     return top_k(found.withColumn("score", F.round(TERM_WEIGHT * F.col("score").cast("long"), 6)), k)
 
@@ -279,7 +360,8 @@ def indexed_references(spark: SparkSession, folder: str, symbols: DataFrame, cap
     """query_id, chunk_id, path, start_line, end_line, rank: as find_references over the indexed chunks. symbols: query_id, project_id, symbol."""
     wanted = stored(symbols.select("query_id", F.col("project_id").cast("string").alias("project_id"), F.array_distinct(T.lexemes(F.col("symbol"))).alias("all")).filter(F.size("all") > 0))
     lexemes = wanted.select("query_id", "project_id", F.size("all").alias("n"), F.explode("all").alias("lexeme"))
-    blocks = asked_blocks(spark, folder, lexemes, False).select("project_id", "segment", "lexeme", "places")
+    pages = _pages_of(spark, folder)
+    blocks = asked_blocks(pages, _wanted(lexemes), ("places",))
     asked = F.broadcast(lexemes) if lexemes.count() <= 10 * BROADCAST_QUERIES else lexemes
     met = blocks.join(asked, ["project_id", "lexeme"])
     # Segments that lack one of a symbol's words go before any place is looked at.
@@ -289,7 +371,7 @@ def indexed_references(spark: SparkSession, folder: str, symbols: DataFrame, cap
     common = F.aggregate(F.transform("all", digits), F.lit(None).cast("array<string>"), lambda a, p: F.when(a.isNull(), p).otherwise(F.array_intersect(a, p)))
     placed = whole.select("query_id", "project_id", "segment", F.explode(common).alias("digits"))
     placed = placed.select("query_id", "project_id", "segment", F.conv("digits", 16, 10).cast("int").alias("place"))
-    directory = spark.read.schema(f"{_BLOCK}, folder int").parquet(folder).filter("folder = -1").select("project_id", "segment", F.posexplode("chunks").alias("place", "c"))
+    directory = _directory(pages).select("project_id", "segment", F.posexplode("chunks").alias("place", "c"))
     rows = placed.join(directory, ["project_id", "segment", "place"]).select("query_id", "c.*")
     order = Window.partitionBy("query_id").orderBy("path", "start_line", "chunk_id")
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= cap)
@@ -299,8 +381,8 @@ def read_bytes(spark: SparkSession, folder: str, queries: DataFrame) -> DataFram
     """query_id, blocks, bytes, all_bytes: the blocks that hold a query's words and their bytes, beside those of the whole index."""
     terms = query_terms(queries.withColumn("project_id", F.col("project_id").cast("string")))
     lexemes = stored(terms.select("query_id", "project_id", F.explode(F.array_distinct(F.flatten("asked"))).alias("lexeme")))
-    blocks = spark.read.schema(f"{_BLOCK}, folder int").parquet(folder).filter("lexeme IS NOT NULL")
-    size = F.octet_length("places") + F.octet_length("counts") + F.octet_length("positions")
-    whole = blocks.agg(F.sum(size).alias("all_bytes"))
-    own = blocks.groupBy("project_id", "lexeme").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("blocks"))
+    pages = _pages_of(spark, folder)
+    size = sum((F.octet_length(c) for c in _NUMBERS), F.lit(0))
+    whole = pages.agg(F.sum(size).alias("all_bytes"))
+    own = asked_blocks(pages, _wanted(lexemes)).groupBy("project_id", "lexeme").agg(F.sum(size).alias("bytes"), F.count(F.lit(1)).alias("blocks"))
     return own.join(lexemes, ["project_id", "lexeme"]).groupBy("query_id").agg(F.sum("blocks").alias("blocks"), F.sum("bytes").alias("bytes")).join(F.broadcast(whole))

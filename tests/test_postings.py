@@ -67,3 +67,38 @@ def test_an_empty_index(spark, tmp_path):
     chunks = corpus(spark, 1).limit(0)
     P.build_postings(chunks, f"{tmp_path}/index")
     assert R.fulltext_search(chunks, asked(spark), 5, index=f"{tmp_path}/index").count() == 0
+
+
+def test_a_row_for_each_folder_of_a_segment(spark, tmp_path):
+    chunks = corpus(spark).filter("chunk_id IS NOT NULL AND project_id IS NOT NULL AND content IS NOT NULL")
+    calls = spark.sparkContext.accumulator(0)
+
+    def noted(text):
+        calls.add(1)
+        return text
+
+    P.build_postings(chunks.withColumn("search_text", F.udf(noted)("search_text")).coalesce(1), f"{tmp_path}/index")
+    rows = spark.read.parquet(f"{tmp_path}/index")
+    segments = rows.filter("folder = -1").count()
+    # A row for each word of a segment would be more than these.
+    assert segments < rows.count() <= (P.FOLDERS + 1) * segments
+    # Search texts are made once.
+    assert calls.value == chunks.count()
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_long_chunks_and_many_words(spark, tmp_path, monkeypatch, few):
+    rows = [("long", "a b " * 35_000 + "c d", 0), ("short", "c d c", 1), ("null", None, 2), ("ends", "b a c d", 3), ("empty", " . ", 4)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, search_text string, start_line int")
+    chunks = chunks.select("*", F.lit(7).alias("project_id"), F.col("chunk_id").alias("path"), F.col("start_line").alias("end_line")).coalesce(1)
+    P.build_postings(chunks, f"{tmp_path}/index")
+    wanted = P._wanted
+    if not few:
+        monkeypatch.setattr(P, "_wanted", lambda asked: (wanted(asked)[0], asked.select("project_id", "lexeme").distinct()))
+    queries = spark.createDataFrame([(1, 7, "c-d"), (2, 7, "b-a"), (3, 7, "a"), (4, 7, "c"), (5, 8, "c")], "query_id int, project_id int, text string")
+    got = P.indexed_search(spark, f"{tmp_path}/index", queries).select("query_id", "rank", "chunk_id", "score").collect()
+    one = [(1, 1, "ends", 0.1), (1, 2, "long", 0.1), (1, 3, "short", 0.1), (2, 1, "long", 25.6), (2, 2, "ends", 0.1), (3, 1, "long", 25.6), (3, 2, "ends", 0.1)]
+    assert sorted(map(tuple, got)) == [*one, (4, 1, "short", 0.2), (4, 2, "ends", 0.1), (4, 3, "long", 0.1)]
+    symbols = queries.select("query_id", "project_id", F.col("text").alias("symbol"))
+    found = P.indexed_references(spark, f"{tmp_path}/index", symbols).groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
+    assert {r.query_id: r.ids for r in found.collect()} == {1: ["ends", "long", "short"], 2: ["ends", "long"], 3: ["ends", "long"], 4: ["ends", "long", "short"]}
