@@ -134,7 +134,7 @@ def _narrow(values: np.ndarray) -> bytes:
     return values.astype(np.min_scalar_type(int(values.max()))).tobytes()
 
 
-def _wide(values: bytes, n: int) -> np.ndarray:
+def _wide(values: bytes | pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(values, f"u{len(values) // n}").astype(np.int64)
 
 
@@ -214,31 +214,33 @@ def _blocks(pages: DataFrame, numbers: tuple[str, ...], words: pa.Table | None =
     shared = pages.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[str, set[str]] | None = None
+        own: dict[str, set[str]] = {}
         if shared.value is not None:
-            own = {}
             for project, lexeme in zip(*(c.to_pylist() for c in shared.value.columns), strict=True):
                 own.setdefault(project, set()).add(lexeme)
+            any_project = shared.value.column("lexeme").combine_chunks().unique()
         for batch in batches:
             found: dict[str, list] = {c: [] for c in ("project_id", "segment", "lexeme", "most", *numbers)}
-            for i, (project, segment) in enumerate(zip(batch.column("project_id").to_pylist(), batch.column("segment").to_pylist(), strict=True)):
-                asked = None if own is None else own.get(project, ())
-                if asked is not None and not asked:
-                    continue
-                lexemes = batch.column("words")[i].as_py().split(" ")
-                chosen = [j for j, w in enumerate(lexemes) if asked is None or w in asked]
+            lists = pc.split_pattern(batch.column("words"), " ")
+            flat, begin = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+            hits = np.arange(len(flat)) if shared.value is None else np.flatnonzero(pc.is_in(flat, value_set=any_project).to_numpy(zero_copy_only=False))
+            lexemes, bounds = flat.take(pa.array(hits)).to_pylist(), np.searchsorted(hits, begin)
+            for i in np.flatnonzero(np.diff(bounds)).tolist():
+                project, segment = batch.column("project_id")[i].as_py(), batch.column("segment")[i].as_py()
+                asked = own.get(project, ()) if shared.value is not None else None
+                chosen = {int(hits[j] - begin[i]): lexemes[j] for j in range(bounds[i], bounds[i + 1]) if asked is None or lexemes[j] in asked}
                 if not chosen:
                     continue
-                at = {c: _wide(batch.column(c)[i].as_py(), len(lexemes)) for c in heads}
+                at = {c: _wide(batch.column(c)[i].as_buffer(), int(begin[i + 1] - begin[i])) for c in heads}
                 found["project_id"] += [project] * len(chosen)
                 found["segment"] += [segment] * len(chosen)
-                found["lexeme"] += [lexemes[j] for j in chosen]
-                found["most"] += at["most"][chosen].tolist()
+                found["lexeme"] += chosen.values()
+                found["most"] += at["most"][list(chosen)].tolist()
                 for c in numbers:
-                    values = batch.column(c)[i].as_py()
+                    values = memoryview(batch.column(c)[i].as_buffer())
                     end = np.cumsum(at["positions_of" if c == "positions" else "chunks_of"])
-                    bound = np.concatenate([[0], end]) * (len(values) // int(end[-1]))
-                    found[c] += [values[bound[j] : bound[j + 1]] for j in chosen]
+                    cut = (np.concatenate([[0], end]) * (len(values) // int(end[-1]))).tolist()
+                    found[c] += [bytes(values[cut[j] : cut[j + 1]]) for j in chosen]
             yield pa.RecordBatch.from_arrays([pa.array(v, kinds[c]) for c, v in found.items()], list(found))
 
     kinds = {"project_id": pa.string(), "segment": pa.int64(), "lexeme": pa.string(), "most": pa.int32()} | dict.fromkeys(_NUMBERS, pa.binary())

@@ -102,3 +102,9 @@ def test_long_chunks_and_many_words(spark, tmp_path, monkeypatch, few):
     symbols = queries.select("query_id", "project_id", F.col("text").alias("symbol"))
     found = P.indexed_references(spark, f"{tmp_path}/index", symbols).groupBy("query_id").agg(F.sort_array(F.collect_list("chunk_id")).alias("ids"))
     assert {r.query_id: r.ids for r in found.collect()} == {1: ["ends", "long", "short"], 2: ["ends", "long"], 3: ["ends", "long"], 4: ["ends", "long", "short"]}
+
+
+def test_nothing_asked(spark, tmp_path):
+    P.build_postings(corpus(spark, 20), f"{tmp_path}/index")
+    assert R.fulltext_search(corpus(spark, 1), asked(spark).filter("query_id = 9"), 5, index=f"{tmp_path}/index").count() == 0
+    assert P.indexed_references(spark, f"{tmp_path}/index", asked(spark).filter("query_id = 9").withColumnRenamed("text", "symbol")).count() == 0
